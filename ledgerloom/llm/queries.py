@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import copies
 from .quality import quality_scores
 from .shared import table
+from .simhash import fingerprint_hex, near_duplicates
 from .toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +23,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op4_quality": op4_quality,
+        "op6_mixing": op6_mixing,
+        "op8_simhash": op8_simhash,
     }
 
 
