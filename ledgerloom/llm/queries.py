@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bottomk import edited_neighbours, hex_string
+from .chat import format_conversations, read_back
 from .decontam import contamination
 from .mixing import copies
 from .quality import quality_scores
 from .shared import table
 from .simhash import fingerprint_hex, near_duplicates
 from .toxicity import toxicity_scores
+from .warc import read_pages, write_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = write_archive(table(spark, sf_dir, "pages"))
+    return read_pages(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +55,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(probe).alias("text")) for i, r in enumerate(("user", "assistant"))))).alias("t"))
+    rows = rows.unionByName(extra.select("conv_id", "t.turn", "t.role", "t.text"))
+    read = read_back(format_conversations(rows))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
@@ -57,10 +81,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_bottomk": op5_bottomk,
         "op6_mixing": op6_mixing,
         "op8_simhash": op8_simhash,
+        "op9_chat": op9_chat,
         "op10_decontamination": op10_decontamination,
     }
 

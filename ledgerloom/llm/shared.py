@@ -39,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``cut`` after dealing the rows anew, for a reduced table that is joined on the key it was grouped by.
+
+    A join that would reuse the grouping's partitions cannot be split at a hot key; one over two
+    fresh exchanges can.
+    """
+    return cut(df.repartition(shuffle_partitions(df.sparkSession)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
