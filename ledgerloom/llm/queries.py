@@ -11,6 +11,7 @@ from .bottomk import edited_neighbours, hex_string
 from .chat import format_conversations, read_back
 from .decontam import contamination
 from .mixing import copies
+from .pii import personal_data, spans_text
 from .quality import quality_scores
 from .shared import table
 from .simhash import fingerprint_hex, near_duplicates
@@ -50,6 +51,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("email", "ip", "card", "phone")]
+    return rows.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -85,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op4_quality": op4_quality,
         "op5_bottomk": op5_bottomk,
         "op6_mixing": op6_mixing,
+        "op7_pii": op7_pii,
         "op8_simhash": op8_simhash,
         "op9_chat": op9_chat,
         "op10_decontamination": op10_decontamination,
