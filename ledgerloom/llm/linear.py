@@ -22,6 +22,8 @@ from .shared import cut, held_out
 
 #: Most labelled documents that a classifier is fitted on (expected size of the hash sample).
 MAX_TRAIN_ROWS = 20_000
+#: Texts are scored in slices of about so many characters, which bounds a worker's memory.
+SLICE_CHARS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -113,6 +115,18 @@ def fit(sample: DataFrame, spec: LinearSpec) -> np.ndarray:
     return state.dense()
 
 
+def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    part, size = [], 0
+    for text in texts:
+        if size > SLICE_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield part
+
+
 def score(documents: DataFrame, weights: np.ndarray, spec: LinearSpec, text: str = "text") -> Column:
     """Probability of label 1 for the whole text; an empty or null text gets the bias."""
     model = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
@@ -121,6 +135,7 @@ def score(documents: DataFrame, weights: np.ndarray, spec: LinearSpec, text: str
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = model.value
         for texts in batches:
-            yield pd.Series(sigmoid(features.dot_rows(*spec.rows(texts.tolist()), w) + float(w[-1])))
+            logits = [features.dot_rows(*spec.rows(part), w) for part in _slices(texts.tolist())]
+            yield pd.Series(sigmoid(np.concatenate(logits or [np.zeros(0)]) + float(w[-1])))
 
     return probability(F.col(text))
