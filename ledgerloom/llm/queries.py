@@ -16,6 +16,7 @@ from .quality import quality_scores
 from .shared import table
 from .simhash import fingerprint_hex, near_duplicates
 from .toxicity import toxicity_scores
+from .url_lists import filter_captures, host_of
 from .warc import read_pages, write_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,36 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _number(text, start: int = 1):
+    """A number from 0 to 65535 that follows from a text, the same in Spark and in SQL."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), start, 4), 16, 10).cast("int")
+
+
+def _day(n):
+    return F.timestamp_add("DAY", n, F.lit("2024-01-01").cast("timestamp_ntz"))
+
+
+def dated_entries(hosts: DataFrame) -> DataFrame:
+    """A list log made from host names: hosts blocked and removed again, domains blocked, mirrors allowed."""
+    n, day = _number(F.col("host")), _number(F.col("host"), 5) % 240
+    domain = F.regexp_replace("host", "^[^.]*[.]", "")
+    entry = lambda list_name, kind, value, action, at, when: F.when(when, F.struct(F.lit(list_name).alias("list_name"), F.lit(kind).alias("kind"), value.alias("value"), F.lit(action).alias("action"), at.alias("listed_at")))
+    entries = F.array(
+        entry("hosts", "host", F.col("host"), "block", _day(day), n % 3 == 0),
+        entry("hosts", "host", F.col("host"), "remove", _day(day + 60), n % 3 == 0),
+        entry("domains", "domain", domain, "block", _day(day), (n % 4 == 1) & (F.size(F.split("host", "[.]")) > 3)),
+        entry("mirrors", "host", F.col("host"), "allow", _day(day + 30), n % 5 == 2),
+    )
+    return hosts.select(F.explode(entries).alias("e")).where("e IS NOT NULL").select("e.*")
+
+
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", _day(_number(F.col("page_id").cast("string")) % 365))
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+    return filter_captures(captures, dated_entries(hosts))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = write_archive(table(spark, sf_dir, "pages"))
     return read_pages(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -92,6 +123,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_url_lists": op2_url_lists,
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_bottomk": op5_bottomk,
@@ -103,5 +135,89 @@ def queries() -> dict[str, Query]:
     }
 
 
+_OP2 = r"""
+WITH captures AS (
+    SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 4) AS INTEGER) % 365 AS INTEGER)) AS fetched_at,
+        nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '') AS host
+    FROM pages
+), hosts AS (
+    SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS n, CAST('0x' || substr(md5(host), 5, 4) AS INTEGER) % 240 AS day,
+        regexp_replace(host, '^[^.]*[.]', '') AS domain, len(string_split(host, '.')) AS labels
+    FROM captures WHERE host IS NOT NULL
+), entries AS (
+    SELECT 'hosts' AS list_name, 'host' AS kind, host AS value, 'block' AS action, day FROM hosts WHERE n % 3 = 0
+    UNION ALL SELECT 'hosts', 'host', host, 'remove', day + 60 FROM hosts WHERE n % 3 = 0
+    UNION ALL SELECT 'domains', 'domain', domain, 'block', day FROM hosts WHERE n % 4 = 1 AND labels > 3
+    UNION ALL SELECT 'mirrors', 'host', host, 'allow', day + 30 FROM hosts WHERE n % 5 = 2
+), one AS (
+    SELECT list_name, kind, value, day, max_by(action, CASE action WHEN 'remove' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS action FROM entries GROUP BY ALL
+), held AS (
+    SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(day AS INTEGER)) AS valid_from,
+        TIMESTAMP '2024-01-01' + to_days(CAST(lead(day) OVER (PARTITION BY list_name, kind, value ORDER BY day) AS INTEGER)) AS valid_to
+    FROM one
+), met AS (
+    SELECT c.page_id, c.url, c.fetched_at, c.host, h.list_name, h.kind, h.value, h.valid_from, h.action,
+        CASE WHEN h.kind = 'host' THEN 1000 ELSE len(string_split(h.value, '.')) END AS s
+    FROM captures c LEFT JOIN held h ON h.action <> 'remove' AND c.fetched_at >= h.valid_from AND (h.valid_to IS NULL OR c.fetched_at < h.valid_to)
+        AND (h.kind = 'host' AND h.value = c.host OR h.kind = 'domain' AND (c.host = h.value OR suffix(c.host, '.' || h.value)))
+)
+SELECT page_id, url, fetched_at, host, n_active, CASE WHEN action = 'block' THEN 'block' ELSE 'allow' END AS decision, list_name, kind, value, valid_from
+FROM (
+    SELECT *, count(action) OVER (PARTITION BY page_id) AS n_active,
+        row_number() OVER (PARTITION BY page_id ORDER BY s DESC NULLS LAST, CASE WHEN action = 'block' THEN 1 ELSE 0 END DESC, valid_from DESC, list_name DESC) AS r
+    FROM met
+) WHERE r = 1
+"""
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(floor(CAST('0x' || substr(digest, {at}, 5) AS INTEGER) / {power}) AS INTEGER) % 32 + 1, 1)"
+_BASE32 = " || ".join(_DIGIT.format(at=5 * i + 1, power=32**j) for i in range(8) for j in (3, 2, 1, 0))
+_OP3 = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+_OP9 = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), c AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
+        sum(length(text)) + sum(CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 29 + length(role) END) AS chars,
+        bool_or(regexp_matches(text, '</?s>|\[/?INST\]|</?<?/?SYS>>')) AS clash,
+        sum(len(regexp_extract_all(text, '</?s>|\[/?INST\]|\[ESC\]|<</?SYS>>')) + len(regexp_extract_all(text, '\\'))) AS codes
+    FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+    CAST(chars + CASE WHEN clash THEN 5 + codes ELSE 0 END AS BIGINT) AS formatted_chars
+FROM c
+"""
+
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_OP10 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+met AS (SELECT grams.doc_id, grams.i, grams.n, win.item_id FROM grams JOIN win ON grams.g = win.g AND grams.n = win.n),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_url_lists": _OP2,
+        "op3_warc": _OP3,
+        "op9_chat": _OP9,
+        "op10_decontamination": _OP10,
+    }
