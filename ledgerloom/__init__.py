@@ -1 +1 @@
-"""Spark-native ledger analytics."""
+"""ledgerloom: personal-finance ledger analytics as Spark jobs."""
