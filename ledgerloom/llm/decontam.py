@@ -74,7 +74,8 @@ def anchors(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     best = rated.withColumn("best", F.min("rarity").over(ahead)).where(whole).select("item_id", "copy", F.col("best.p").alias("position"), F.col("best.f").alias("frequency")).distinct()
     # a window with a term that no document has cannot occur
     best = best.where(F.col("frequency") > 0).drop("frequency")
-    return cut(terms.join(best, ["item_id", "copy", "position"]))
+    same = F.expr("t.item_id <=> b.item_id AND t.copy = b.copy AND t.position = b.position")  # items without id too
+    return cut(terms.alias("t").join(best.alias("b"), same, "left_semi"))
 
 
 def _agree(mine: str, other: str) -> Column:

@@ -58,14 +58,14 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_
     ranked = cut(_ranked(sources).withColumn("weight", weight))
     most = F.col("source_size") * float(most_copies)
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
-    level, capped = 0.0, None
+    level, capped = None, None
     while True:
-        above = most < level * F.col("weight")
+        above = F.lit(False) if level is None else most < level * F.col("weight")
         now = ranked.agg(F.count_if(above).alias("n"), F.sum(F.when(above, most).otherwise(0.0)).alias("words"), F.sum(F.when(~above, F.col("weight"))).alias("weight")).first()
         if now["n"] == capped or not now["weight"]:
             break
-        capped, level = now["n"] if level else None, (total - now["words"]) / now["weight"]
-    return ranked.withColumn("target", F.least(most, level * F.col("weight"))).drop("weight")
+        capped, level = None if level is None else now["n"], (total - now["words"]) / now["weight"]
+    return ranked.withColumn("target", F.least(most, (level or 0.0) * F.col("weight"))).drop("weight")
 
 
 def pivotal(fraction: np.ndarray, size: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, int]:
