@@ -24,7 +24,7 @@ def tokens(text):
 def test_equal_tokens_have_equal_hashes_wherever_they_stand(monkeypatch):
     monkeypatch.setattr(features, "PIECE_BYTES", 64)
     rng = random.Random(3)
-    words = ["a", "A", "über", "x-y", "...", "word", "Word", "😀", "l" * 100, "12"]
+    words = ["a", "A", "über", "x-y", "...", "word", "Word", "😀", "l" * 40, "12"]
     texts = [None, "", " ", *(" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(50))]
     owner, hashes, _ = features.token_hashes(texts)
     wanted = [(i, t) for i, text in enumerate(texts) for t in tokens(text)]
