@@ -6,7 +6,9 @@ document size: two fractions exchange words until one is 0 or 1, in a random dir
 both expectations, so the words taken from the source never change on the way. Blocks of documents
 are rounded in parallel; each leaves one unsettled document, and these meet in the next level of a
 reduction tree, until each source has one, which is rounded to the nearer whole. Within a block large documents
-meet first, so a small one is left, and a source misses its target by at most half a document.
+meet first, so a small one tends to be left. What rounding the last one adds or takes is handed back
+by documents of that last block that turn from 0 to 1 or from 1 to 0, largest first; a source misses
+its target by at most half a document, and commonly by less than the smallest one of that block.
 
 Nulls: a null text has size 0; null sources form one source, ranked last. Documents of size 0 are
 taken 0 times. Repeated rows are separate documents; ties are ordered by hash, id and size, so
@@ -92,6 +94,18 @@ def pivotal(fraction: np.ndarray, size: np.ndarray, chance: np.ndarray) -> tuple
     return np.array(p), held
 
 
+def _settle_last(p: np.ndarray, size: np.ndarray, left: int) -> np.ndarray:
+    """Rounds the one left, and turns others, largest first, as far as that brings the sum nearer to what it was."""
+    p, whole = p.copy(), float(round(p[left]))
+    rest = (p[left] - whole) * size[left]
+    p[left] = whole
+    for i in range(len(p)):
+        if i != left and size[i] <= abs(rest) + 1e-6 and p[i] == (0.0 if rest > 0 else 1.0):
+            p[i] = 1.0 - p[i]
+            rest += size[i] if p[i] == 0.0 else -size[i]
+    return p
+
+
 _ROWS = "doc_id long, rank long, size long, base long, fraction double, copies long"
 
 
@@ -101,7 +115,8 @@ def _round_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     rng = np.random.default_rng([level, rank, block])
     p, left = pivotal(pdf["fraction"].to_numpy(), pdf["size"].to_numpy(float), rng.random(len(pdf)))
     if left >= 0 and bool(key[3]):
-        p[left], left = round(p[left]), -1
+        p = _settle_last(p, pdf["size"].to_numpy(float), left)
+        left = -1
     copies = pd.Series(np.rint(p).astype(np.int64) + pdf["base"].to_numpy(), dtype="Int64")
     if left >= 0:
         copies[left] = pd.NA

@@ -59,6 +59,16 @@ def test_rounding_keeps_expectations():
     assert mean == pytest.approx(p, abs=0.04)
 
 
+def test_last_document_hands_its_rest_to_others():
+    import numpy as np
+
+    size = np.array([100.0, 30, 20, 5, 3, 1])
+    up = mixing._settle_last(np.array([0.4, 0, 1, 0, 1, 0]), size, 0)
+    assert up @ size == pytest.approx(np.array([0.4, 0, 1, 0, 1, 0]) @ size, abs=4)
+    down = mixing._settle_last(np.array([0.8, 1, 1, 1, 0, 1]), size, 0)
+    assert down.tolist() == [1, 1, 0, 1, 0, 1]
+
+
 def test_mix_keeps_columns_and_tells_repeated_ids_apart(spark):
     rows = [(1, "a b c", "en", "x", 5), (1, "a b", "en", "x", 3), (1, "a b", "en", "x", 3), (None, "q", "en", None, 1), (2, None, "en", "y", 0)]
     df = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("own")).withColumn("rank", F.lit(7))

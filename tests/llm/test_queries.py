@@ -68,14 +68,15 @@ def test_op5(spark, documents):
 
 def test_op6(spark, documents):
     got = {r["doc_id"]: r for r in QUERIES["op6_mixing"](spark, SF).collect()}
-    has, taken = defaultdict(int), defaultdict(int)
+    has, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
     for i, t, source in documents:
+        largest[source] = max(largest[source], size(t))
         assert got[i]["size"] == size(t)
         assert got[i]["taken"] <= 3 * size(t)
         has[source] += size(t)
         taken[source] += got[i]["taken"]
     for source, wanted in targets(has).items():
-        assert taken[source] == pytest.approx(wanted, rel=0.02)
+        assert abs(taken[source] - wanted) <= largest[source] / 2
 
 
 def test_op7(spark, documents):
