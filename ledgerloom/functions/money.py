@@ -91,6 +91,18 @@ def fx_recording(base: str) -> Column:
     return F.struct(rate.alias("rate"), F.when(source.isNotNull(), F.col("occurred_at")).alias("rate_date"), source.alias("source"), pending.alias("pending"))
 
 
+def money_sum(amount: Column, currency: Column) -> Column:
+    """Aggregate: the sum of amounts of one currency; an error if there are several."""
+    clash = F.raise_error(F.concat(F.lit("currency mismatch: "), F.min(currency), F.lit(" and "), F.max(currency)))
+    return F.when(F.min(currency) == F.max(currency), F.sum(amount)).when(F.count(currency) == 0, None).otherwise(clash)
+
+
+def amount_problem(text: Column) -> Column:
+    """Why an amount given as text cannot be taken: missing, unparsable or negative; null if it can. Nothing is a valid amount."""
+    amount = parse_amount(text)
+    return F.when(text.isNull() | (trim(text) == ""), "missing").when(amount.isNull(), "unparsable").when(amount < 0, "negative")
+
+
 def signed_for_spend(amount: Column, direction: Column) -> Column:
     return F.when(direction == "credit", -amount).otherwise(amount)
 

@@ -92,6 +92,16 @@ class TransactionFilter:
         return transactions.withColumn("kept", self.matches()).withColumn("not_comparable", self.other_facets() & unknown)
 
 
+def review_before(messages: DataFrame, cutoff) -> DataFrame:
+    """Pending messages received before the cutoff, which itself is not before."""
+    return messages.where(F.expr(PENDING_REVIEW) & (F.col("received_at") < F.lit(cutoff)))
+
+
+def needing_review(transactions: DataFrame) -> DataFrame:
+    """Live rows that are flagged, the latest first, rows without time last."""
+    return transactions.where(LIVE).where("needs_review").orderBy(F.col("occurred_at").desc_nulls_last(), F.desc("id"))
+
+
 def split_unreadable(rows: DataFrame, amount_text: str = "amount_text") -> tuple[DataFrame, DataFrame]:
     """(readable rows with ``amount``, unreadable rows): an amount that is no decimal is set apart, not dropped."""
     parsed = rows.withColumn("amount", F.col(amount_text).try_cast("decimal(20,4)"))

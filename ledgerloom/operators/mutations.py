@@ -6,12 +6,14 @@ from automatic changes; every change can be recorded as field differences.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import UNCATEGORIZED
+from .lineage import numbered
 
 CATEGORY_FLAGS = ("low_confidence", "unknown_merchant", "known_merchant_without_rule")
+DUPLICATE_FLAGS = ("possible_duplicate", "possible_authorisation_posting_pair")
 EDITABLE = ("amount", "currency", "merchant_text", "occurred_at", "direction", "type", "reference", "counterparty_name", "instrument_id", "category_id")
 
 
@@ -115,9 +117,8 @@ def get_or_create(table: DataFrame, wanted: DataFrame, key: str, fill: tuple[str
     old = table.join(one, key, "left").withColumns({c: F.coalesce(c, f"__{c}") for c in fill}).select(*table.columns)
     new = one.join(table.select(key), key, "left_anti")
     last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
-    # ids follow the order of keys; distinct new keys of one batch are few
-    numbered = new.withColumn("__n", F.row_number().over(Window.partitionBy().orderBy(key))).join(F.broadcast(last))
-    fresh = numbered.select((F.col("__last") + F.col("__n")).alias("id"), key, *(F.col(f"__{c}").alias(c) for c in fill))
+    # ids follow the order of keys
+    fresh = numbered(new, key, name="__n").join(F.broadcast(last)).select((F.col("__last") + F.col("__n")).alias("id"), key, *(F.col(f"__{c}").alias(c) for c in fill))
     return old.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -175,3 +176,52 @@ def discard_review(messages: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
 
     old = F.expr(PENDING_REVIEW) & (F.col("received_at") < F.lit(cutoff))
     return messages.where(~F.coalesce(old, F.lit(False))), messages.where(old).agg(F.count("*").alias("discarded"))
+
+
+def flag_duplicates(transactions: DataFrame, pairs: DataFrame, reason: str = DUPLICATE_FLAGS[0]) -> DataFrame:
+    """pairs (id, other_id): each id is flagged for review and names the other; of several, the smallest."""
+    one = pairs.groupBy("id").agg(F.min("other_id").alias("other_id"))
+    rows = _changed(transactions, one, {"other_id": "__other"})
+    hit = F.col("__hit")
+    out = rows.withColumns(
+        {
+            "needs_review": hit | F.coalesce("needs_review", F.lit(False)),
+            "review_reason": F.when(hit, reason).otherwise(F.col("review_reason")),
+            "duplicate_of": F.when(hit, F.col("__other")).otherwise(F.col("duplicate_of")),
+        }
+    )
+    return out.select(*transactions.columns)
+
+
+def resolve_duplicates(transactions: DataFrame, ids: DataFrame) -> DataFrame:
+    """Both rows are kept: the flag and the pointer go. Rows flagged for something else stay as they are."""
+    rows = _changed(transactions, ids, {})
+    hit = F.col("__hit") & F.coalesce(F.col("needs_review") & F.col("review_reason").isin(*DUPLICATE_FLAGS), F.lit(False))
+    out = rows.withColumns({"needs_review": F.col("needs_review") & ~hit, "review_reason": F.when(~hit, F.col("review_reason")), "duplicate_of": F.when(~hit, F.col("duplicate_of"))})
+    return out.select(*transactions.columns)
+
+
+def decide_transfers(transactions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """decisions (id, state, group_id): what the user says of a transfer. Only a confirmed pair keeps its group; review ends."""
+    rows = _changed(transactions, decisions, {"state": "__state", "group_id": "__group"})
+    hit = F.col("__hit")
+    out = rows.withColumns(
+        {
+            "transfer_state": F.when(hit, F.col("__state")).otherwise(F.col("transfer_state")),
+            "transfer_group": F.when(hit, F.when(F.col("__state") == "internal", F.col("__group"))).otherwise(F.col("transfer_group")),
+            "needs_review": F.col("needs_review") & ~hit,
+            "review_reason": F.when(~hit, F.col("review_reason")),
+        }
+    )
+    return out.select(*transactions.columns)
+
+
+def link_merchants(transactions: DataFrame, links: DataFrame) -> DataFrame:
+    """links (id, merchant_id)."""
+    rows = _changed(transactions, links, {"merchant_id": "__merchant"})
+    return rows.withColumn("merchant_id", F.when(F.col("__hit"), F.col("__merchant")).otherwise(F.col("merchant_id"))).select(*transactions.columns)
+
+
+def absorbed_by(transactions: DataFrame, survivor: Column | int) -> DataFrame:
+    """Rows merged into a survivor and deleted, the latest first."""
+    return transactions.where((F.col("merged_into") == survivor) & F.col("is_deleted")).orderBy(F.desc("deleted_at"), F.desc("id"))

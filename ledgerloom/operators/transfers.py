@@ -9,22 +9,12 @@ these at once and removes their legs; rounds end when no candidate is left.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW_SECONDS = 24 * 3600
-
+from .lineage import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
-    return df.checkpoint(eager=True)
+WINDOW_SECONDS = 24 * 3600
 
 
 def reference_key(c: Column) -> Column:
@@ -53,15 +43,15 @@ def transfer_candidates(transactions: DataFrame, window_seconds: int = WINDOW_SE
 
 def pair_transfers(transactions: DataFrame, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """(out_id, in_id, evidence, state, group_id): a one-to-one choice of candidates."""
-    left = _cut(transfer_candidates(transactions, window_seconds))
+    left = cut(transfer_candidates(transactions, window_seconds))
     found = None
     order = F.struct((F.col("evidence") != "reference_match").alias("e"), "out_at", "out_id", "in_id")
     while not left.isEmpty():
         ranked = left.withColumn("rank", order)
         best = ranked.withColumn("by_out", F.min("rank").over(Window.partitionBy("out_id"))).withColumn("by_in", F.min("rank").over(Window.partitionBy("in_id")))
-        taken = _cut(best.where("rank = by_out AND rank = by_in").select("out_id", "in_id", "evidence"))
+        taken = cut(best.where("rank = by_out AND rank = by_in").select("out_id", "in_id", "evidence"))
         found = taken if found is None else found.unionByName(taken)
-        left = _cut(left.join(taken.select("out_id"), "out_id", "left_anti").join(taken.select("in_id"), "in_id", "left_anti"))
+        left = cut(left.join(taken.select("out_id"), "out_id", "left_anti").join(taken.select("in_id"), "in_id", "left_anti"))
     if found is None:
         found = left.select("out_id", "in_id", "evidence")
     state = F.when(F.col("evidence") == "reference_match", "internal").otherwise("candidate")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, money, sanitize, similarity, text
-from ..operators import audit, classify, duplicates, filters, matching, merge, mutations, transfers
+from ..operators import audit, classify, duplicates, entry, filters, matching, merge, mutations, transfers
 from ..schema import CATEGORIES, INCOME_TYPES, SPEND_TYPES
 from ..sources import messages, rule_pack
 from . import reports
@@ -501,6 +501,11 @@ def r6_partial_codec(spark, d):
     return _tables(spark, d, "events").select("event_id", rule_pack.read_partial(coded)["amount"].alias("amount"))
 
 
+def _event_messages(spark, d):
+    body = F.concat(F.col("event_type"), F.lit(" "), F.col("value").cast("decimal(20,2)").cast("string"), F.lit(" SAR k="), F.get_json_object("props", "$.k"))
+    return _tables(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("address"), body.alias("body"))
+
+
 _PACK = rule_pack.load_pack(
     r"""{"schemaVersion": 1, "packId": "events", "packVersion": "1", "banks": [{"bankId": "bank", "displayName": {"en": "Bank"}, "aliases": [], "senderPatterns": ["^[0-9]+$"], "messageRules": [
     {"ruleId": "view", "priority": 50, "messageType": "info", "intent": "ignore", "match": {"anyOf": ["^view"]}},
@@ -516,9 +521,7 @@ SELECT event_id, CASE WHEN event_type = 'view' THEN 'ignored' WHEN event_type <>
     CASE WHEN event_type = 'purchase' AND length(k) = 2 THEN CAST(v AS DOUBLE) END AS amount FROM e"""
 )
 def r2_extraction(spark, d):
-    body = F.concat(F.col("event_type"), F.lit(" "), F.col("value").cast("decimal(20,2)").cast("string"), F.lit(" SAR k="), F.get_json_object("props", "$.k"))
-    rows = _tables(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("address"), body.alias("body"))
-    p = rule_pack.parse_messages(rows, _PACK)
+    p = rule_pack.parse_messages(_event_messages(spark, d), _PACK)
     return p.select("event_id", F.col("parsed.outcome").alias("outcome"), F.col("parsed.reason").alias("reason"), F.when(F.col("parsed.outcome") == "parsed", F.col("parsed.amount").cast("double")).alias("amount"))
 
 
@@ -597,6 +600,236 @@ def a19_original_values(spark, d):
     return mutations.original_values(_entries(spark, d).withColumn("id", F.col("seq")))
 
 
+# --- further operators of the inventory ------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('bank', 0, 'buy', 100, 'pos_purchase', 'transaction'), ('bank', 1, 'view', 50, 'info', 'ignore')) r(bank_id, place, rule_id, priority, message_type, intent)")
+def s6_rule_pack(spark, d):
+    return rule_pack.rules_table(spark, _PACK)
+
+
+_MESSAGES = "SELECT event_id AS id, ts AS received_at, CASE event_type WHEN 'error' THEN 'financial_unparsed' WHEN 'purchase' THEN 'financial_parsed' ELSE 'ignored' END AS classification, event_id % 7 = 0 AS dismissed_as_not_transaction FROM {events}"
+_PENDING = f"SELECT * FROM ({_MESSAGES.format(events='events')}) WHERE classification = 'financial_unparsed' AND NOT dismissed_as_not_transaction"
+_CUTOFF = datetime(2024, 1, 15)
+
+
+@query(f"SELECT id FROM ({_PENDING})")
+def f4_review_queue(spark, d):
+    return view(spark, d, _MESSAGES).where(filters.PENDING_REVIEW).select("id")
+
+
+@query(f"SELECT count(*) AS waiting FROM ({_PENDING}) WHERE received_at < TIMESTAMP '2024-01-15'")
+def f5_review_before(spark, d):
+    return filters.review_before(view(spark, d, _MESSAGES), _CUTOFF).agg(F.count("*").alias("waiting"))
+
+
+@query(f"SELECT id FROM ({_MESSAGES.format(events='events')}) EXCEPT ALL SELECT id FROM ({_PENDING}) WHERE received_at < TIMESTAMP '2024-01-15'")
+def u14_discard_review(spark, d):
+    return mutations.discard_review(view(spark, d, _MESSAGES), _CUTOFF)[0].select("id")
+
+
+@query(f"SELECT id, occurred_at, review_reason FROM ({_TX}) WHERE needs_review AND NOT is_deleted")
+def f6_needing_review(spark, d):
+    return filters.needing_review(ledger(spark, d)).select("id", "occurred_at", "review_reason")
+
+
+@query(f"SELECT id, merchant_text, category_id FROM ({_TX}) WHERE instrument_id = 7 AND NOT is_deleted")
+def f7_of_instrument(spark, d):
+    return ledger(spark, d).where(filters.LIVE).where("instrument_id = 7").select("id", "merchant_text", "category_id")
+
+
+def _merged(spark, d):
+    """Rows whose id is 1 to 3 more than a multiple of 4 are absorbed by that one."""
+    survivor = F.floor(F.col("id") / 4) * 4
+    absorbed = F.col("id") % 4 != 0
+    return ledger(spark, d).withColumns({"merged_into": F.when(absorbed, survivor).cast("bigint"), "is_deleted": absorbed, "deleted_at": F.when(absorbed, F.timestamp_seconds(F.col("id") % 3))})
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY id % 3 DESC, id DESC) AS place FROM ({_TX}) WHERE id % 4 <> 0 AND id // 4 = 8")
+def f10_absorbed(spark, d):
+    from pyspark.sql import Window
+
+    rows = mutations.absorbed_by(_merged(spark, d), 32)
+    return rows.select("id", F.row_number().over(Window.partitionBy("merged_into").orderBy(F.desc("deleted_at"), F.desc("id"))).alias("place"))
+
+
+@query(f"SELECT id // 4 * 4 AS id, arg_max(id, id % 3 * 1000000000000 + id) AS latest FROM ({_TX}) WHERE id % 4 <> 0 GROUP BY 1")
+def w5_latest_absorbed(spark, d):
+    rows = _merged(spark, d).where("merged_into IS NOT NULL AND is_deleted")
+    return rows.groupBy(F.col("merged_into").alias("id")).agg(F.max_by("id", F.struct("deleted_at", "id")).alias("latest"))
+
+
+@query(f"SELECT category, g AS group_key, sort_order AS place FROM (VALUES {_CATEGORY_ROWS}) c(category, g, sort_order)")
+def o5_category_order(spark, d):
+    return categories(spark).orderBy("sort_order", "id").select(F.col("id").alias("category"), "group_key", F.col("sort_order").alias("place"))
+
+
+@query(_CLASSIFIED + "SELECT CAST(sum(signed_base) AS DOUBLE) AS slices, CAST(sum(signed_base) AS DOUBLE) AS total, TRUE AS reconciles FROM live WHERE inside AND is_spend")
+def a8_categories_reconcile(spark, d):
+    rows = classify.classified(ledger(spark, d))
+    out = reports.category_reconciles(reports.category_breakdown(rows, categories(spark), START, END, BASE), reports.period_report(rows, START, END, BASE))
+    return out.select(*_double("slices", "total"), "reconciles")
+
+
+@query(_CLASSIFIED + "SELECT CAST(sum(signed_base) AS DOUBLE) AS slices, CAST(sum(signed_base) AS DOUBLE) AS total, TRUE AS reconciles FROM live WHERE inside AND is_spend")
+def a10_instruments_reconcile(spark, d):
+    out = reports.instruments_reconcile(reports.instrument_breakdown(classify.classified(ledger(spark, d)), START, END, BASE))
+    return out.select(*_double("slices", "total"), "reconciles")
+
+
+@query(f"SELECT count(*) FILTER ({_PERIOD} AND coalesce(category_id, 'no_such_category') = 'no_such_category') AS uncategorized FROM ({_TX}) WHERE NOT is_deleted")
+def a9_uncategorized(spark, d):
+    rows = reports.resolved_category(ledger(spark, d).where(filters.LIVE).where(filters.in_period(START, END)), categories(spark))
+    return rows.agg(F.count_if(F.col("category") == "uncategorized").alias("uncategorized"))
+
+
+@query(f"SELECT currency, CAST(sum(amount) AS DOUBLE) AS total FROM ({_TX}) GROUP BY currency")
+def a15_money_sum(spark, d):
+    return ledger(spark, d).groupBy("currency").agg(money.money_sum(F.col("amount"), F.col("currency")).cast("double").alias("total"))
+
+
+@query("SELECT CASE event_type WHEN 'view' THEN 'ignored' WHEN 'purchase' THEN CASE WHEN length(json_extract_string(props, '$.k')) = 2 THEN 'parsed' ELSE 'unparsed' END ELSE 'unparsed' END AS outcome, count(*) AS n FROM events GROUP BY 1")
+def a18_run_counters(spark, d):
+    from ..streaming.ingest import run_counters
+
+    rows = _event_messages(spark, d).withColumnRenamed("event_id", "provider_id")
+    parsed = rule_pack.parse_messages(rows, _PACK)
+    return run_counters(parsed, parsed)
+
+
+@query(_CLASSIFIED + "SELECT id, CAST(round(abs(signed_base) * 100.0 / nullif(abs(amount), 0)) AS BIGINT) AS percent FROM c")
+def a20_percent_share(spark, d):
+    value = money.signed_for_spend(money.base_amount(BASE)["value"], F.col("direction"))
+    return ledger(spark, d).select("id", money.percent_share(value, F.col("amount")).alias("percent"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(upper(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'ß', 'SS')), '[^ -~]', '', 'g')) AS folded FROM documents")
+def x3_fold(spark, d):
+    # compared by ASCII characters: engines differ in the upper case of some others
+    return _tables(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(text.fold(F.col("text")), "[^ -~]", "").cast("binary")).alias("folded"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[؀-ۿ]') THEN CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'mixed' ELSE 'arabic' END ELSE 'latin' END AS script FROM documents WHERE text IS NOT NULL")
+def x6_script(spark, d):
+    return _tables(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.script_of(F.col("text")).alias("script"))
+
+
+@query("SELECT page_id, regexp_replace(lower(url), '[^0-9]', '', 'g') AS digits, upper(url) AS upper_url FROM pages")
+def x7_transforms(spark, d):
+    url = F.col("url")
+    return _tables(spark, d, "pages").select("page_id", text.apply_transforms(url, ("lower", "digitsOnly")).alias("digits"), text.apply_transforms(url, ("trim", "collapseWs", "upper", "no such transform")).alias("upper_url"))
+
+
+@query("SELECT s_suppkey, '•••• ' || right(s_name, 4) AS card, left(s_name, 2) || '**…' || right(s_name, 4) AS iban, regexp_replace(s_name, '[0-9]', '•', 'g') AS amount FROM supplier")
+def x9_display_masks(spark, d):
+    name = F.col("s_name")
+    return _tables(spark, d, "supplier").select("s_suppkey", text.card_mask(name).alias("card"), text.iban_mask(name).alias("iban"), text.amount_mask(name).alias("amount"))
+
+
+@query(f"SELECT id, CAST(amount + fee_amount AS DOUBLE) AS both_amounts, CAST(-amount AS DOUBLE) AS negated, amount > fee_amount AS more FROM ({_TX}) WHERE currency = fee_currency")
+def n3_money_arithmetic(spark, d):
+    same = ledger(spark, d).where("currency = fee_currency")
+    amount, fee, codes = F.col("amount"), F.col("fee_amount"), (F.col("currency"), F.col("fee_currency"))
+    return same.select("id", money.guarded(amount + fee, *codes).cast("double").alias("both_amounts"), (-amount).cast("double").alias("negated"), money.guarded(amount > fee, *codes).alias("more"))
+
+
+@query(f"SELECT id, CAST(round(amount * CAST(3.75125 AS DECIMAL(18,8)), 2) AS DOUBLE) AS converted FROM ({_TX})")
+def n4_convert(spark, d):
+    return ledger(spark, d).select("id", money.convert(F.col("amount"), F.lit("3.75125").cast("decimal(18,8)"), BASE).cast("double").alias("converted"))
+
+
+@query(f"SELECT id, CASE WHEN fx_rate IS NOT NULL THEN CAST(fx_rate AS DOUBLE) WHEN converted_amount IS NOT NULL THEN 3.75 END AS rate FROM ({_TX})")
+def n7_implied_rate(spark, d):
+    return ledger(spark, d).select("id", money.implied_rate().cast("double").alias("rate"))
+
+
+@query(f"SELECT id, CAST(CASE WHEN direction = 'credit' THEN -amount ELSE amount END AS DOUBLE) AS signed FROM ({_TX})")
+def n9_signed_for_spend(spark, d):
+    return ledger(spark, d).select("id", money.signed_for_spend(F.col("amount"), F.col("direction")).cast("double").alias("signed"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'negative' END AS problem FROM supplier")
+def n10_amount_problem(spark, d):
+    return _tables(spark, d, "supplier").select("s_suppkey", money.amount_problem(F.col("s_acctbal").cast("decimal(20,4)").cast("string")).alias("problem"))
+
+
+@query(f"SELECT id, coalesce(nullif(trim(friendly_name), ''), masked) AS shown FROM ({_INST})")
+def n14_display_name(spark, d):
+    return view(spark, d, INSTRUMENT_SQL).select("id", money.display_name(F.col("friendly_name"), F.col("masked")).alias("shown"))
+
+
+@query("SELECT p_partkey, 0.60 + 0.25 * ((p_size % 21 + 80) / 100.0 - 0.80) / 0.20 AS confidence FROM part")
+def e2_token_confidence(spark, d):
+    return _tables(spark, d, "part").select("p_partkey", similarity.token_confidence((F.col("p_size") % 21 + 80) / 100.0).alias("confidence"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'purchase' AND length(json_extract_string(props, '$.k')) <> 2 THEN 'extraction_failed' WHEN event_type NOT IN ('purchase', 'view') THEN 'no_rule_matched' END AS reason FROM events")
+def r3_outcome_reasons(spark, d):
+    return rule_pack.parse_messages(_event_messages(spark, d), _PACK).select("event_id", F.col("parsed.reason").alias("reason"))
+
+
+@query(f"SELECT id, needs_review OR id % 5 = 2 AS needs_review, CASE WHEN id % 5 = 2 THEN 'possible_duplicate' ELSE review_reason END AS review_reason, CASE WHEN id % 5 = 2 THEN id + 1 END AS duplicate_of FROM ({_TX})")
+def u6_flag_duplicates(spark, d):
+    tx = ledger(spark, d)
+    pairs = tx.where("id % 5 = 2").select("id", F.explode(F.array(F.col("id") + 2, F.col("id") + 1)).alias("other_id"))
+    return mutations.flag_duplicates(tx, pairs).select("id", "needs_review", "review_reason", "duplicate_of")
+
+
+@query(f"SELECT id, needs_review AND coalesce(review_reason, '') <> 'possible_duplicate' AS needs_review, CASE WHEN NOT (needs_review AND coalesce(review_reason, '') = 'possible_duplicate') THEN review_reason END AS review_reason FROM ({_TX})")
+def u6_resolve_duplicates(spark, d):
+    tx = ledger(spark, d)
+    return mutations.resolve_duplicates(tx, tx.select("id")).select("id", "needs_review", "review_reason")
+
+
+@query(f"SELECT id, CASE WHEN type = 'transfer_out' THEN 'internal' WHEN type = 'transfer_in' THEN 'external' ELSE transfer_state END AS transfer_state, CASE WHEN type = 'transfer_out' THEN 'g' END AS transfer_group, needs_review AND type NOT IN ('transfer_out', 'transfer_in') AS needs_review FROM ({_TX})")
+def u7_transfer_decisions(spark, d):
+    tx = ledger(spark, d)
+    said = tx.where("type IN ('transfer_out', 'transfer_in')").select("id", F.when(F.col("type") == "transfer_out", "internal").otherwise("external").alias("state"), F.lit("g").alias("group_id"))
+    return mutations.decide_transfers(tx, said).select("id", "transfer_state", "transfer_group", "needs_review")
+
+
+@query(f"WITH m AS ({_MERCHANT}), r AS (SELECT id AS merchant_id, CASE WHEN id % 2 = 0 THEN 'groceries' ELSE 'gone' END AS category_id, id % 5 = 0 AS mine FROM m WHERE id % 3 = 0) SELECT id AS merchant_id, CASE WHEN r.mine THEN r.category_id ELSE 'dining' END AS category_id FROM m LEFT JOIN r ON r.merchant_id = m.id WHERE r.merchant_id IS NOT NULL OR id % 2 = 0")
+def u8_upsert_rules(spark, d):
+    m, _, rules = _merchant_tables(spark, d)
+    wanted = m.where("id % 3 = 0 OR id % 2 = 0").select(F.col("id").alias("merchant_id"), F.explode(F.array(F.lit("dining"), F.lit("no_such_category"))).alias("category_id"), F.lit("seed").alias("source"))
+    return mutations.upsert_rules(rules, wanted, categories(spark)).select("merchant_id", "category_id")
+
+
+@query(f"WITH i AS ({_INST}) SELECT id, CASE WHEN settlement_account_id IS NULL OR id % 2 = 0 THEN 1 ELSE settlement_account_id END AS settlement_account_id FROM i")
+def u9_settlement_links(spark, d):
+    inst = view(spark, d, INSTRUMENT_SQL).withColumn("link_source", F.lit(None).cast("string"))
+    links = inst.select("id", F.lit(1).cast("bigint").alias("account_id"), F.when(F.col("id") % 2 == 0, "user").otherwise("sms").alias("source"))
+    return mutations.link_settlement(inst, links).select("id", F.col("settlement_account_id").cast("bigint").alias("settlement_account_id"))
+
+
+def _drafts(spark, d):
+    s = _tables(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("draft_id"), F.col("s_acctbal").cast("decimal(20,4)").cast("string").alias("amount_text"), F.when(F.col("s_nationkey") % 5 != 0, "sar").alias("currency"), F.lit(START).alias("occurred_at"), F.when(F.col("s_nationkey") % 2 == 0, "withdrawal").otherwise("fee").alias("type"), F.lit("debit").alias("direction"))
+
+
+@query("SELECT s_suppkey AS draft_id, CASE WHEN s_acctbal < 0 THEN 'amount' WHEN s_nationkey % 5 = 0 THEN 'amount,currency' ELSE '' END AS missing FROM supplier")
+def u12_check_entries(spark, d):
+    return entry.check_entries(_drafts(spark, d)).select("draft_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT 1000 + row_number() OVER (ORDER BY s_suppkey) AS id, s_suppkey AS draft_id, 'SAR' AS currency, s_nationkey % 2 <> 0 AS affects_spend FROM supplier WHERE s_acctbal >= 0 AND s_nationkey % 5 <> 0")
+def u12_manual_entries(spark, d):
+    return entry.manual_entries(_drafts(spark, d), 1000).select("id", "draft_id", "currency", "affects_spend")
+
+
+@query(f"SELECT s_suppkey AS message_id, CASE WHEN s_nationkey % 5 = 0 THEN 'rejected' WHEN s_suppkey IN (SELECT id FROM ({_PENDING})) THEN 'accepted' ELSE 'unavailable' END AS status FROM supplier")
+def u12_complete_messages(spark, d):
+    drafts = _drafts(spark, d).withColumnRenamed("draft_id", "message_id")
+    return entry.complete_messages(drafts, view(spark, d, _MESSAGES)).select("message_id", "status")
+
+
+@query("SELECT event_id, least(TIMESTAMP '2024-01-10', date_trunc('month', ts + INTERVAL 3 HOUR) - INTERVAL 3 HOUR) AS since FROM events")
+def g7_rescan_window(spark, d):
+    from ..streaming.backfill import rescan_window
+
+    return _tables(spark, d, "events").select("event_id", rescan_window(F.col("ts").cast("timestamp"), F.lit(datetime(2024, 1, 10)).cast("timestamp")).cast("timestamp_ntz").alias("since"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 

@@ -128,6 +128,19 @@ def settlement_labels(instruments: DataFrame) -> DataFrame:
     return instruments.join(other, F.col("settlement_account_id") == F.col("__id"), "left").select("id", "settlement_label")
 
 
+def category_reconciles(breakdown: DataFrame, report: DataFrame) -> DataFrame:
+    """(slices, total, reconciles): the categories' sum against the period's spend, exact; two unknown sums agree."""
+    slices = breakdown.agg(F.sum("base").alias("slices"))
+    total = report.where("measure = 'spend'").select(F.col("base").alias("total"))
+    return slices.join(total).withColumn("reconciles", F.col("slices").eqNullSafe(F.col("total")))
+
+
+def instruments_reconcile(breakdown: DataFrame) -> DataFrame:
+    """(slices, total, reconciles): the instruments' sum, with the rows that have none, against the total row."""
+    both = breakdown.agg(F.sum(F.when(~F.col("is_total"), F.col("base"))).alias("slices"), F.sum(F.when(F.col("is_total"), F.col("base"))).alias("total"))
+    return both.withColumn("reconciles", F.col("slices").eqNullSafe(F.col("total")))
+
+
 def monthly_spend(classified: DataFrame, base: str) -> DataFrame:
     """(month, base, unconverted_count, rows) by Riyadh month of dated live rows."""
     dated = classified.where(LIVE).where("occurred_at IS NOT NULL").withColumn("month", local_month(F.col("occurred_at")))

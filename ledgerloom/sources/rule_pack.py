@@ -132,6 +132,12 @@ def load_pack(text: str) -> RulePack:
         raise PackError(f"malformed pack: {e!r}") from None
 
 
+def rules_table(spark, pack: RulePack) -> DataFrame:
+    """(bank_id, place, rule_id, priority, message_type, intent): the rules in the order in which they are tried."""
+    rows = [(b.bank_id, i, r.rule_id, r.priority, r.message_type, r.intent) for b in pack.banks for i, r in enumerate(b.rules)]
+    return spark.createDataFrame(rows, "bank_id string, place int, rule_id string, priority int, message_type string, intent string")
+
+
 def _first(branches: list[tuple[Column, Column]], default: Column) -> Column:
     out = default
     for test, value in reversed(branches):

@@ -19,6 +19,7 @@ from ..functions.sanitize import sanitize
 from ..functions.text import normalize_message
 from ..operators.duplicates import exact_new
 from ..schema import RAW_MESSAGE
+from ..sources.messages import high_water_mark
 from ..sources.rule_pack import RulePack, parse_messages, partial_json
 
 OUTCOMES = ("parsed", "unparsed", "ignored", "not_financial", "duplicate")
@@ -69,9 +70,19 @@ class Ingest:
         batch.where("provider_id IS NULL").write.mode("overwrite").parquet(path.format("dead_letter"))
 
 
-def start(spark: SparkSession, source: str, ingest: Ingest, checkpoint: str, files_per_trigger: int = 100, continuous: bool = False) -> StreamingQuery:
-    """Reads new files of messages and ingests them; ends when there are no more, unless ``continuous``."""
+def first_cursor(spark: SparkSession, source: str) -> int:
+    """Where a first run begins: after the newest message there is, so that it reads none of the old ones."""
+    return high_water_mark(spark.read.schema(RAW_MESSAGE).parquet(source)).first()["last_id"] or 0
+
+
+def start(spark: SparkSession, source: str, ingest: Ingest, checkpoint: str, files_per_trigger: int = 100, continuous: bool = False, after_id: int | None = None) -> StreamingQuery:
+    """Reads new files of messages and ingests them; ends when there are no more, unless ``continuous``.
+
+    ``after_id``: only messages after this provider id, see ``first_cursor``.
+    """
     stream = spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    if after_id is not None:
+        stream = stream.where(F.col("provider_id").isNull() | (F.col("provider_id") > after_id))
     writer = stream.writeStream.foreachBatch(ingest.write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime="15 minutes") if continuous else writer.trigger(availableNow=True)).start()
 
