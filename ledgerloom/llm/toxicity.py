@@ -47,7 +47,7 @@ def swap_identity_terms(text: str) -> str | None:
 
 
 SPEC = LinearSpec(
-    ftrl=FtrlParams(alpha=0.3, l1=2.0, l2=0.1, epochs=2),
+    ftrl=FtrlParams(alpha=1.0, l1=4.0, l2=0.1, epochs=3),
     ngrams=1,
     prefixes=(4, 6, 7),
     presence=True,

@@ -57,18 +57,20 @@ def test_sparse_dot_product_matches_brute_force():
     assert ptr[3] - ptr[2] == 1
 
 
-@pytest.mark.parametrize(("module", "label", "most", "least"), [("quality", "quality", 0.12, 0.9), ("toxicity", "toxic", 0.12, 0.9)])
-def test_held_out_accuracy(spark, module, label, most, least):
-    """Error and ranking on labelled documents that no training saw."""
+@pytest.mark.parametrize(("module", "label", "recall", "false_alarms"), [("quality", "quality", 0.98, 0.1), ("toxicity", "toxic", 0.85, 0.02)])
+def test_held_out_accuracy(spark, module, label, recall, false_alarms):
+    """Labelled documents that no training saw: share of 1s found, share of 0s taken for 1s, ranking."""
     folder = "/root/testdata/sf0.1"
     scores = {"quality": quality.quality_scores, "toxicity": toxicity.toxicity_scores}[module]
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     rows = scores(documents, labels).join(labels.where(f"{label} IS NOT NULL"), "doc_id").where("held_out").select("score", "predicted", label).collect()
     y, s = np.array([r[label] for r in rows]), np.array([r["score"] for r in rows])
-    assert (np.array([r["predicted"] for r in rows]) != y).mean() <= most
+    told = np.array([r["predicted"] for r in rows])
+    assert told[y == 1].mean() >= recall
+    assert told[y == 0].mean() <= false_alarms
     good, bad = s[y == 1], s[y == 0]
     auc = (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean()
-    assert auc >= least
+    assert auc >= 0.98
 
 
 def test_rows_columns_and_edges(spark):
