@@ -483,10 +483,10 @@ def x13_content_hmac(spark, d):
     return _tables(spark, d, "pages").select("page_id", hashing.content_hmac(b"test key", text.normalize_message(F.col("html")), F.col("url")).alias("hmac"))
 
 
-@query("SELECT item_id, CASE WHEN n = 0 THEN 0.0 ELSE CAST(low AS DOUBLE) / n END AS jaccard FROM (SELECT item_id, count(*) AS n, count(*) FILTER (shared) AS low FROM (SELECT item_id, t, count(DISTINCT side) = 2 AS shared FROM (SELECT item_id, 'a' AS side, unnest(string_split(text, ' ')) AS t FROM benchmark UNION ALL SELECT item_id, 'b', unnest(list_slice(string_split(text, ' '), 1, 10)) FROM benchmark) GROUP BY ALL) GROUP BY 1)")
+@query("SELECT item_id, CASE WHEN n = 0 THEN 0.0 ELSE CAST(low AS DOUBLE) / n END AS jaccard FROM (SELECT item_id, count(*) AS n, count(*) FILTER (shared) AS low FROM (SELECT item_id, t, count(DISTINCT side) = 2 AS shared FROM (SELECT item_id, 'a' AS side, unnest(string_split(text, ' ')) AS t FROM benchmark UNION ALL SELECT item_id, 'b', unnest(list_filter(string_split(text, ' '), lambda w: length(w) > 4)) FROM benchmark) GROUP BY ALL) GROUP BY 1)")
 def e1_jaccard(spark, d):
     words = F.array_distinct(F.split("text", " "))
-    return _tables(spark, d, "benchmark").select("item_id", similarity.multiset_jaccard(words, F.array_distinct(F.slice(F.split("text", " "), 1, 10))).alias("jaccard"))
+    return _tables(spark, d, "benchmark").select("item_id", similarity.multiset_jaccard(words, F.filter(words, lambda w: F.char_length(w) > 4)).alias("jaccard"))
 
 
 @query()
@@ -758,9 +758,9 @@ def n14_display_name(spark, d):
     return view(spark, d, INSTRUMENT_SQL).select("id", money.display_name(F.col("friendly_name"), F.col("masked")).alias("shown"))
 
 
-@query("SELECT p_partkey, 0.60 + 0.25 * ((p_size % 21 + 80) / 100.0 - 0.80) / 0.20 AS confidence FROM part")
+@query("SELECT p_partkey, round(0.60 + 0.25 * ((p_size % 21 + 80) / CAST(100.0 AS DOUBLE) - 0.80) / 0.20, 6) AS confidence FROM part")
 def e2_token_confidence(spark, d):
-    return _tables(spark, d, "part").select("p_partkey", similarity.token_confidence((F.col("p_size") % 21 + 80) / 100.0).alias("confidence"))
+    return _tables(spark, d, "part").select("p_partkey", F.round(similarity.token_confidence((F.col("p_size") % 21 + 80) / 100.0), 6).alias("confidence"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'purchase' AND length(json_extract_string(props, '$.k')) <> 2 THEN 'extraction_failed' WHEN event_type NOT IN ('purchase', 'view') THEN 'no_rule_matched' END AS reason FROM events")
