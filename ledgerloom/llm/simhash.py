@@ -10,13 +10,17 @@ fingerprint is the coordinate of a range join, and what passes is verified on th
 of segments follows the number of fingerprints, so cells stay small; every pair within the
 threshold meets in some cell at any size.
 
-A cell larger than ``CELL_ROWS`` is cut into blocks, and each pair of blocks is a task of its own.
-A cell yields a spanning forest of its links, not all pairs, so links grow with the fingerprints.
+In a cell larger than ``CELL_ROWS``, the fingerprint nearest to the majority of its bits is the pivot.
+What links to the pivot is connected by that, so only pairs with one that does not are compared, in
+blocks, each pair of blocks a task of its own. Copies of one text with few changes thus cost as much
+as they are. A cell yields a spanning forest of its links, not all pairs, so links grow with the
+fingerprints.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +38,8 @@ THRESHOLD = 4
 CELL_ROWS = 16_384
 #: More large cells than this are joined by a shuffle.
 MAX_BROADCAST_CELLS = 100_000
+#: Side of the rows of a cell that is compared as a whole.
+WHOLE = -1
 #: Node numbers of fingerprints of which no document has an id start here.
 NO_ID = 1 << 62
 
@@ -150,12 +156,43 @@ def _match_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if edges:
         yield pd.DataFrame(edges, columns=["a", "b"])
     for s, e in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
-        sides = np.unique(block[s:e])
-        edges = forest(fps[s:e], nodes[s:e], THRESHOLD, block[s:e] if len(sides) > 1 else None)
+        side = block[s:e]
+        if side[0] != WHOLE and (side == side[0]).all():
+            continue  # a block that meets nothing
+        edges = forest(fps[s:e], nodes[s:e], THRESHOLD, None if side[0] == WHOLE else side)
         if edges:
             yield pd.DataFrame(edges, columns=["a", "b"])
 
 
+def _pivots(rows: DataFrame) -> DataFrame:
+    """(layer, cell, pivot, pivot_node): the fingerprint of each cell that is nearest to the majority of its bits."""
+    bit = lambda i: F.shiftright("fp", i).bitwiseAND(F.lit(1))
+    sums = rows.groupBy("layer", "cell").agg(F.count("*").alias("n"), *(F.sum(bit(i)).alias(f"bit{i}") for i in range(64)))
+    majority = reduce(lambda x, y: x.bitwiseOR(y), (F.when(2 * F.col(f"bit{i}") > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(64)))
+    near = rows.join(sums.select("layer", "cell", majority.alias("majority")), ["layer", "cell"])
+    best = near.groupBy("layer", "cell").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("majority"))), "fp", "node")).alias("p"))
+    return best.select("layer", "cell", F.col("p.fp").alias("pivot"), F.col("p.node").alias("pivot_node"))
+
+
+def _large_cells(rows: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of (layer, cell, count, fp, node) in large cells: (links to the pivots, the pairs of blocks that are left to compare)."""
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= THRESHOLD
+    joined = cut(rows.join(_pivots(rows), ["layer", "cell"]).withColumn("far", ~near))
+    direct = joined.where("NOT far").select(F.col("node").alias("a"), F.col("pivot_node").alias("b"))
+    far = joined.where("far").groupBy("layer", "cell").agg(F.count("*").alias("n_far"))
+    half = cell_rows / 2
+    open_ = joined.join(far, ["layer", "cell"]).withColumn("blocks", F.ceil(F.col("count") / half)).withColumn("far_blocks", F.ceil(F.col("n_far") / half))
+    own, other = F.pmod(F.xxhash64("fp"), F.col("blocks")), F.pmod(F.xxhash64("fp"), F.col("far_blocks"))
+    zero = F.lit(0).cast("long")
+    # a pair of blocks: any rows on side 0, rows far from the pivot on side 1
+    left = open_.withColumn("x", F.explode(F.sequence(zero, F.col("far_blocks") - 1))).withColumn("pair", own * F.col("far_blocks") + F.col("x")).withColumn("block", F.lit(0))
+    right = open_.where("far").withColumn("x", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("pair", F.col("x") * F.col("far_blocks") + other).withColumn("block", F.lit(1))
+    return direct, left.unionByName(right).select(*_DEALT)
+
+
+_DEALT = ("layer", "cell", "pair", "block", "fp", "node")
+
+
 def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Edges (a, b) between nodes that connect all (fp, node) within the threshold; fingerprints must be distinct."""
     spark = prints.sparkSession
@@ -164,20 +201,17 @@ def links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     layers = F.explode(F.array(*(F.struct(F.lit(i).alias("layer"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(masks))))
     dealt = prints.select("fp", "node", layers.alias("x")).select("fp", "node", "x.layer", "x.cell")
     large = cut(dealt.groupBy("layer", "cell").count().where(F.col("count") > cell_rows))
-    n_large = large.count()
+    n_large, direct = large.count(), None
     if n_large:
         cells = F.broadcast(large) if n_large <= MAX_BROADCAST_CELLS else large
-        blocks = F.coalesce(F.ceil(F.col("count") / (cell_rows / 2)), F.lit(1)).cast("int")
-        dealt = dealt.join(cells, ["layer", "cell"], "left").withColumn("blocks", blocks)
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-        # the pair of blocks (i, j), i <= j, is i * blocks + j; a block meets itself in (i, i)
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        dealt = dealt.withColumn("other", other).withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
-    else:
-        dealt = dealt.withColumn("block", F.lit(0)).withColumn("pair", F.lit(0))
+        counted = dealt.join(cells, ["layer", "cell"], "left")
+        direct, pairs = _large_cells(cut(counted.where("count IS NOT NULL")), cell_rows)
+        dealt = counted.where("count IS NULL")
+    whole = dealt.withColumn("pair", F.lit(0).cast("long")).withColumn("block", F.lit(WHOLE)).select(*_DEALT)
+    rows = whole.unionByName(pairs) if n_large else whole
     parts = max(shuffle_partitions(spark), n * len(masks) // 1_000_000)
-    dealt = dealt.select("layer", "cell", F.col("pair").cast("int").alias("pair"), F.col("block").cast("int").alias("block"), "fp", "node").repartition(parts, "layer", "cell", "pair")
-    return dealt.mapInPandas(_match_cells, "a long, b long")
+    found = rows.repartition(parts, "layer", "cell", "pair").mapInPandas(_match_cells, "a long, b long")
+    return found.unionByName(direct) if n_large else found
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

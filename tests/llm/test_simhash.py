@@ -88,3 +88,23 @@ def test_components_of_a_long_path(spark):
     edges = [(a, b) for a, b in zip(order, order[1:], strict=False)] + [(1000, 1001), (1001, 1001), (None, 3)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == dict.fromkeys(range(400), 0) | {1000: 1000, 1001: 1000}
+
+
+def test_near_copies_of_one_text_are_not_compared_with_each_other(spark):
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    prints = {centre}
+    while len(prints) < 500:
+        p = centre
+        for bit in rng.sample(range(64), rng.randint(1, 4)):
+            p ^= 1 << bit
+        prints.add(p)
+    far = centre
+    for bit in range(7):
+        far ^= 1 << bit
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in [*sorted(prints), far]]
+    rows = spark.createDataFrame([(0, 0, 501, p, i) for i, p in enumerate(signed)], "layer int, cell bigint, count bigint, fp bigint, node bigint")
+    direct, pairs = simhash._large_cells(rows, 100)
+    assert direct.count() == 500
+    assert pairs.where("block = 1").select("node").distinct().count() == 1
+    assert pairs.where("block = 0").count() == 501
