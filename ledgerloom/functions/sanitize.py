@@ -112,6 +112,8 @@ def sanitize(c: Column, patterns: tuple[str, ...] = ()) -> Column:
             yield pd.DataFrame(rows, columns=["text", "pan_redacted"])
 
     digit = f"[0-9{DIGITS_FROM}]"
-    suspect = c.rlike(rf"(?i)(?:{digit}[^A-Za-z]*){{13}}|{SECRET_KEYWORDS}") if not patterns else F.lit(True)
+    # on the visible characters, as they are searched, and with the case folds of Python's re
+    visible = F.translate(c, INVISIBLE + DIACRITICS, "")
+    suspect = visible.rlike(rf"(?iu)(?:{digit}[^A-Za-z]*){{13}}|{SECRET_KEYWORDS}") if not patterns else F.lit(True)
     plain = F.struct(c.alias("text"), F.when(c.isNotNull(), False).alias("pan_redacted"))
     return F.when(F.coalesce(suspect, F.lit(False)), redact(F.when(suspect, c))).otherwise(plain)

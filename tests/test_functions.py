@@ -117,3 +117,12 @@ def test_sanitize_prefers_the_window_with_most_groups(spark):
     assert "4111 1111 1111 1111" not in out
     assert sanitize.sanitize_text("x " + "12 " * 600)[1] in (True, False)  # bounded work on many groups
     assert one(spark, sanitize.sanitize(F.lit(None).cast("string")))["text"] is None
+
+
+def test_sanitize_finds_keywords_with_marks_inside(spark):
+    marks = [*text.INVISIBLE, *text.DIACRITICS]
+    words = ["رمز", "الرقم السري", "OTP", "PIN", "Verification code"]
+    raws = [f"{w[:i]}{m}{w[i:]} 4821" for w in words for m in marks for i in (1, 2)] + ["PıN 4821", "acceſs code 4821", "رَمْز 4821", "O\u200cT\u200cP 4821", "no secret 4821"]
+    got = spark.createDataFrame([(t,) for t in raws], "raw string").select("raw", sanitize.sanitize(F.col("raw")).alias("s")).collect()
+    assert {r["raw"]: tuple(r["s"]) for r in got} == {t: sanitize.sanitize_text(t) for t in raws}
+    assert sum("4821" in r["s"]["text"] for r in got) == 1
