@@ -22,6 +22,8 @@ from .shared import cut, lower_ascii
 #: What separates words, after lower-casing A-Z: everything but 0-9, a-z and non-ASCII characters.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+#: Consecutive words of a document within which a proximity match lies: WINDOW - 1 on either side of a word.
+STRETCH = 2 * WINDOW - 1
 #: Up to so many distinct test terms or anchors are broadcast (about 50 and 400 bytes each); beyond, joins shuffle.
 MAX_BROADCAST_TERMS = 500_000
 MAX_BROADCAST_ANCHORS = 100_000
@@ -106,19 +108,81 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return spread.where(long_enough).select("doc_id", "text_hash", "item_id", (F.col("position") - F.col("left")).alias("first"), (F.col("position") + F.col("right")).alias("last"))
 
 
+def postings(documents: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+    """(doc_id, text_hash, key, term, position, before, after): the index of the terms whose keys are in ``wanted``.
+
+    A posting carries up to ``reach`` words on each side, never the document, so the index grows
+    with the length of a text, not with its square. With more keys than are broadcast, postings are
+    cut out before the shuffle that drops the other terms.
+    """
+    keys = wanted.select("key").distinct()
+    words = document_words(documents)
+    if keys.count() <= MAX_BROADCAST_TERMS:
+        at = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("position", "term")).withColumn("key", F.xxhash64("term"))
+        return at.join(F.broadcast(keys), "key", "left_semi").select("doc_id", "text_hash", "key", "term", "position", *_around(reach))
+
+    def posting(i: Column) -> Column:
+        low = F.greatest(i - reach, F.lit(0))
+        before, after = F.slice("words", low + 1, i - low), F.slice("words", i + 2, F.lit(reach))
+        return F.struct(i.alias("position"), F.get("words", i).alias("term"), F.reverse(before).alias("before"), after.alias("after"))
+
+    # made inside the generator: a projection above it would be put off until after the join, and the whole text shuffled
+    places = F.when(F.size("words") > 0, F.transform(F.sequence(F.lit(0), F.size("words") - 1), posting))
+    at = words.select("doc_id", "text_hash", F.explode(places).alias("x")).select("doc_id", "text_hash", F.xxhash64("x.term").alias("key"), "x.term", "x.position", "x.before", "x.after")
+    return at.join(keys, "key", "left_semi")
+
+
+def proximity_anchors(documents: DataFrame, benchmark: DataFrame, min_terms: int, window: int = WINDOW) -> DataFrame:
+    """(key, item_term, item_id, item_words, need): the terms by which a window of an item is looked up.
+
+    ``need`` of the d distinct terms of a window must occur, so at most d - need are missing and one
+    of any d - need + 1 is there; the rarest are taken. Terms in no document count, but are not looked up.
+    """
+    terms = cut(item_terms(benchmark))
+    rated = terms.join(term_frequencies(documents, terms), "key", "left").withColumn("rated", F.struct(F.coalesce("frequency", F.lit(0)).alias("f"), "term"))
+    ahead = Window.partitionBy("item_id", "copy").orderBy("position").rowsBetween(0, window - 1)
+    whole = F.col("position") <= F.greatest(F.col("n") - window, F.lit(0))
+    windows = rated.withColumn("rated", F.collect_set("rated").over(ahead)).where(whole).select("item_id", F.array_sort("rated").alias("rated"))
+    sized = windows.withColumn("need", F.least(F.lit(min_terms), F.size("rated"))).withColumn("item_words", F.array_sort(F.transform("rated", lambda r: r["term"])))
+    chosen = sized.select("item_id", "item_words", "need", F.explode(F.slice("rated", F.lit(1), F.size("rated") - F.col("need") + 1)).alias("a")).where("a.f > 0")
+    return cut(chosen.select(F.xxhash64("a.term").alias("key"), F.col("a.term").alias("item_term"), "item_id", "item_words", "need").distinct())
+
+
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, min_terms: int = 8) -> DataFrame:
-    """(doc_id, text_hash, item_id, position, shared): anchors around which ``min_terms`` or more
-    distinct words of the item's window, in any order, are within WINDOW - 1 words in the document.
+    """(doc_id, text_hash, item_id, position, shared): texts that have ``min_terms`` or more of the
+    distinct words of a window of an item, in any order, within STRETCH consecutive words.
 
-    ``min_terms`` counts the anchor; an item with fewer distinct words around needs all of them.
+    One row a text and item: the most words any window shares with any stretch, and where the first
+    such stretch begins. A window of fewer distinct words needs all of them. The terms that windows
+    are looked up by depend on the corpus, the result does not.
     """
-    wanted = anchors(documents, benchmark).select("key", "item_id", F.col("term").alias("item_term"), F.array_distinct(F.concat("before", "after")).alias("item_words"))
+    wanted = proximity_anchors(documents, benchmark, min_terms)
+    index = postings(documents, wanted, STRETCH - 1)
+    if wanted.count() > MAX_BROADCAST_ANCHORS:
+        index = cut(index)
     wanted = _small(wanted, MAX_BROADCAST_ANCHORS)
-    posted = document_words(documents).select("doc_id", "text_hash", "words", F.posexplode("words").alias("position", "term")).withColumn("key", F.xxhash64("term"))
-    met = posted.join(wanted.alias("w"), (posted["key"] == F.col("w.key")) & (F.col("term") == F.col("item_term")))
-    near = met.select("doc_id", "text_hash", "item_id", "position", "item_words", *_around(WINDOW - 1))
-    shared = F.size(F.array_intersect("item_words", F.concat("before", "after"))) + 1
-    return near.withColumn("shared", shared).where(F.col("shared") >= F.least(F.lit(min_terms), F.size("item_words") + 1)).select("doc_id", "text_hash", "item_id", "position", "shared")
+    met = index.join(wanted.alias("w"), (index["key"] == F.col("w.key")) & (F.col("term") == F.col("item_term")))
+    around = F.concat(F.reverse("before"), F.array("term"), "after")
+    near = met.where(F.size(F.array_intersect("item_words", around)) >= F.col("need"))
+    # every stretch that has this posting, by its start
+    stretch = lambda i: F.struct(F.size(F.array_intersect("item_words", F.slice(around, i + 1, F.lit(STRETCH)))).alias("shared"), (F.size("before") - F.col("position") - i).alias("back"))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("before")), stretch))
+    found = near.select("doc_id", "text_hash", "item_id", "need", best.alias("best")).where(F.col("best.shared") >= F.col("need"))
+    most = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max("best").alias("best"))
+    return most.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("position"), F.col("best.shared").alias("shared"))
+
+
+def proximity(documents: DataFrame, benchmark: DataFrame, min_terms: int = 8) -> DataFrame:
+    """(doc_id, text_hash, shared, items) for every row of ``documents``: ``proximity_matches`` by text.
+
+    ``shared`` is the most words shared with any item, 0 without a match. Nulls, repeated rows and
+    items without id are treated as in ``contamination``.
+    """
+    hit = proximity_matches(documents, benchmark, min_terms)
+    found = hit.groupBy("doc_id", "text_hash").agg(F.max("shared").alias("shared"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    rows = documents.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("text_hash"))
+    joined = rows.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.text_hash = f.text_hash"), "left")
+    return joined.select("d.doc_id", "d.text_hash", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

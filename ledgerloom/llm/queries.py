@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .bottomk import edited_neighbours, hex_string
 from .chat import format_conversations, read_back
-from .decontam import contamination
+from .decontam import contamination, proximity
 from .mixing import copies
 from .pii import personal_data, spans_text
 from .quality import quality_scores
@@ -120,6 +120,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "shared", F.size("items").cast("long").alias("n_items"), items, (F.col("shared") > 0).alias("near"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -132,6 +138,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_chat": op9_chat,
         "op10_decontamination": op10_decontamination,
+        "op10_proximity": op10_proximity,
     }
 
 

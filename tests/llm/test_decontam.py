@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam
 
-from .brute import contaminated, docs
+from .brute import contaminated, docs, words10
 
 ITEMS = "item_id bigint, text string"
 
@@ -56,3 +56,63 @@ def test_empty_tables(spark):
     items, rows = spark.createDataFrame([(1, "a b")], ITEMS), docs(spark, [(1, "a b"), (2, "c")])
     assert decontam.contamination(rows.where("false"), items).count() == 0
     assert [r["n_hit"] for r in decontam.contamination(rows, items.where("false")).collect()] == [0, 0]
+
+
+def near(rows, items, min_terms=8):
+    """{(doc, item): (shared, start)} by looking at every window of every item and every stretch of every text."""
+    out = {}
+    for d, text in rows:
+        w = words10(text)
+        for item, t in items:
+            v = words10(t)
+            windows = [set(v[i : i + 10]) for i in range(max(1, len(v) - 9))] if v else []
+            hits = [(len(x & set(w[q : q + 19])), -q) for x in windows for q in range(len(w)) if len(x & set(w[q : q + 19])) >= min(min_terms, len(x))]
+            if hits:
+                out[d, item] = (max(hits)[0], -max(hits)[1])
+    return out
+
+
+def found_near(spark, rows, items):
+    got = decontam.proximity_matches(docs(spark, rows), spark.createDataFrame(items, ITEMS)).collect()
+    assert len({(r["doc_id"], r["item_id"]) for r in got}) == len(got)
+    return {(r["doc_id"], r["item_id"]): (r["shared"], r["position"]) for r in got}
+
+
+def near_tables(seed):
+    rng = random.Random(seed)
+    words = [f"w{int(rng.paretovariate(0.6)) % 60}" for _ in range(60)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([1, 5, 9, 10, 15, 30])] + [(50, None), (None, "solo duo")]
+    rows = [(900, None), (901, ""), (902, "duo x solo")]
+    for i in range(60):
+        v = rng.choice(items)[1] or ""
+        v = v.split()[rng.randint(0, 3) :]
+        for _ in range(rng.randint(0, 4)):
+            v.insert(rng.randint(0, len(v)), rng.choice(["gone", rng.choice(words)]))
+        if v and i % 3 == 0:
+            v[rng.randrange(len(v))] = "other"
+        if i % 4 == 0:
+            rng.shuffle(v)
+        rows.append((i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) + " " + " ".join(v)))
+    return rows, items
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_proximity_matches_brute_force(spark, seed):
+    rows, items = near_tables(seed)
+    wanted = near(rows, items)
+    assert wanted
+    assert found_near(spark, rows, items) == wanted
+
+
+def test_proximity_without_the_rarest_word(spark):
+    item = [f"t{i}" for i in range(10)]
+    long = [f"u{i}" for i in range(15)]
+    rows = [(1, " ".join([*item[:9], "else"])), (2, " ".join([*long[:7], "else", *long[8:]])), (3, "t9 t9"), (4, " ".join(item[:7]))]
+    items = [(1, " ".join(item)), (2, " ".join(long))]
+    assert found_near(spark, rows, items) == near(rows, items) == {(1, 1): (9, 0), (2, 2): (9, 0)}
+
+
+def test_proximity_of_every_row(spark):
+    rows = docs(spark, [(1, "beta alpha"), (1, "clean"), (None, "alpha beta"), (2, None)])
+    got = decontam.proximity(rows, spark.createDataFrame([(7, "alpha beta"), (None, "beta alpha")], ITEMS)).collect()
+    assert sorted(((r["doc_id"], r["shared"], r["items"]) for r in got), key=str) == sorted([(1, 2, ["7"]), (1, 0, []), (None, 2, ["7"]), (2, 0, [])], key=str)
