@@ -95,14 +95,13 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     some window in it, and is at least as long as a window (or as the whole item, if shorter).
     """
     wanted = anchors(documents, benchmark).select("key", "item_id", "n", F.col("term").alias("item_term"), F.col("position").alias("item_position"), F.col("before").alias("item_before"), F.col("after").alias("item_after"))
+    index = cut(postings(documents, wanted, WINDOW - 1))
     wanted = _small(wanted, MAX_BROADCAST_ANCHORS)
-    posted = document_words(documents).select("doc_id", "text_hash", "words", F.posexplode("words").alias("position", "term")).withColumn("key", F.xxhash64("term"))
     # the nearest neighbours' lists first: every window has the anchor's left or right neighbour
-    left = F.get("item_before", F.lit(0)) == F.try_element_at("words", F.when(F.col("position") > 0, F.col("position")))
-    right = F.get("item_after", F.lit(0)) == F.try_element_at("words", F.col("position") + 2)
+    left = F.get("item_before", F.lit(0)) == F.get("before", F.lit(0))
+    right = F.get("item_after", F.lit(0)) == F.get("after", F.lit(0))
     neighbour = (F.col("n") == 1) | F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
-    met = posted.join(wanted.alias("w"), (posted["key"] == F.col("w.key")) & (F.col("term") == F.col("item_term")) & neighbour)
-    near = met.select("doc_id", "text_hash", "item_id", "n", "position", "item_before", "item_after", *_around(WINDOW - 1))
+    near = index.join(wanted.alias("w"), (index["key"] == F.col("w.key")) & (F.col("term") == F.col("item_term")) & neighbour)
     spread = near.select("doc_id", "text_hash", "item_id", "n", "position", _agree("before", "item_before").alias("left"), _agree("after", "item_after").alias("right"))
     long_enough = F.col("left") + F.col("right") + 1 >= F.least(F.lit(WINDOW), F.col("n"))
     return spread.where(long_enough).select("doc_id", "text_hash", "item_id", (F.col("position") - F.col("left")).alias("first"), (F.col("position") + F.col("right")).alias("last"))

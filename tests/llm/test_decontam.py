@@ -116,3 +116,31 @@ def test_proximity_of_every_row(spark):
     rows = docs(spark, [(1, "beta alpha"), (1, "clean"), (None, "alpha beta"), (2, None)])
     got = decontam.proximity(rows, spark.createDataFrame([(7, "alpha beta"), (None, "beta alpha")], ITEMS)).collect()
     assert sorted(((r["doc_id"], r["shared"], r["items"]) for r in got), key=str) == sorted([(1, 2, ["7"]), (1, 0, []), (None, 2, ["7"]), (2, 0, [])], key=str)
+
+
+def shuffled(spark):
+    """Bytes that the stages so far have written for shuffles."""
+    context = spark.sparkContext
+    store, gateway = context._jsc.sc().statusStore(), context._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_beyond_the_broadcast_bounds(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_TERMS", 0)
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_ANCHORS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, items = near_tables(3)
+        got = decontam.contamination(docs(spark, rows), spark.createDataFrame(items, ITEMS)).collect()
+        wanted = {i: contaminated(t, items) for i, t in rows}
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == {i: (n, hit, [x for x in found if x != "None"]) for i, (n, hit, found) in wanted.items()}
+        assert found_near(spark, rows, items) == near(rows, items)
+        rng = random.Random(4)
+        words = [f"{rng.getrandbits(40):x}" for _ in range(3000)]
+        before = shuffled(spark)
+        found = decontam.matches(docs(spark, [(1, " ".join(words))]), spark.createDataFrame([(1, " ".join(words[1000:1012]))], ITEMS)).collect()
+        assert (min(r["first"] for r in found), max(r["last"] for r in found)) == (1000, 1011)
+        assert shuffled(spark) - before < 5_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
