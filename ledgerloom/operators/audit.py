@@ -1,8 +1,8 @@
 """Hash-chained audit log.
 
-Each entry's hash covers the hash before it, so entries are chained one after the other. The part
-of an entry that does not depend on the chain is hashed by Spark; only these digests, one short row
-an entry of the batch, are chained in order. Verification looks one row back and is parallel.
+Each entry's hash covers the hash before it, so entries are chained one after the other. Spark
+writes the entries as JSON; one task hashes and chains all entries of a batch, whole, in order.
+Verification looks one row back and is parallel.
 """
 
 from __future__ import annotations
