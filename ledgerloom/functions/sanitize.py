@@ -101,19 +101,41 @@ def sanitize_text(text: str, patterns: tuple[re.Pattern, ...] = ()) -> tuple[str
     return text, cards > 0
 
 
-def sanitize(c: Column, patterns: tuple[str, ...] = ()) -> Column:
-    """Struct (text, pan_redacted). Null in, null out."""
+def sanitize(c: Column, patterns: tuple[str, ...] = (), bank: Column | None = None, by_bank: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Struct (text, pan_redacted, error). Null in, null out.
 
-    @F.pandas_udf("text string, pan_redacted boolean")
-    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        extra = tuple(re.compile(p, re.IGNORECASE) for p in patterns)
-        for texts in batches:
-            rows = [(None, None) if t is None else sanitize_text(t, extra) for t in texts]
-            yield pd.DataFrame(rows, columns=["text", "pan_redacted"])
+    ``by_bank`` has further patterns for the texts of some banks, told by the column ``bank``. A text on
+    which redaction fails gives no text, but the kind of error.
+    """
+    by_bank = by_bank or {}
+    bank = F.lit(None).cast("string") if bank is None else bank
+
+    @F.pandas_udf("text string, pan_redacted boolean, error string")
+    def redact(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        compiled = {k: tuple(re.compile(p, re.IGNORECASE) for p in (*patterns, *more)) for k, more in {None: (), **by_bank}.items()}
+
+        def one(text, key):
+            if text is None:
+                return None, None, None
+            try:
+                return (*sanitize_text(text, compiled.get(key, compiled[None])), None)
+            except Exception as e:  # the message of the error may quote the text
+                return None, None, type(e).__name__
+
+        for texts, keys in batches:
+            yield pd.DataFrame([one(*x) for x in zip(texts, keys, strict=True)], columns=["text", "pan_redacted", "error"])
 
-    digit = f"[0-9{DIGITS_FROM}]"
+    digit = f"0-9{DIGITS_FROM}"
     # on the visible characters, as they are searched, and with the case folds of Python's re
     visible = F.translate(c, INVISIBLE + DIACRITICS, "")
-    suspect = visible.rlike(rf"(?iu)(?:{digit}[^A-Za-z]*){{13}}|{SECRET_KEYWORDS}") if not patterns else F.lit(True)
-    plain = F.struct(c.alias("text"), F.when(c.isNotNull(), False).alias("pan_redacted"))
-    return F.when(F.coalesce(suspect, F.lit(False)), redact(F.when(suspect, c))).otherwise(plain)
+    suspect = visible.rlike(rf"(?iu)(?:[{digit}][^A-Za-z{digit}]*+){{13}}|{SECRET_KEYWORDS}")
+    if by_bank:
+        suspect = suspect | F.coalesce(bank.isin(*by_bank), F.lit(False))
+    if patterns:
+        suspect = c.isNotNull()
+    done = redact(F.when(suspect, c), bank)
+    return F.struct(
+        F.when(done["error"].isNull(), F.coalesce(done["text"], c)).alias("text"),
+        F.when(done["error"].isNull() & c.isNotNull(), F.coalesce(done["pan_redacted"], F.lit(False))).alias("pan_redacted"),
+        done["error"].alias("error"),
+    )

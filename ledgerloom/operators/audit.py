@@ -1,8 +1,8 @@
 """Hash-chained audit log.
 
-Each entry's hash covers the hash before it, so entries are chained one after the other. Spark
-writes the entries as JSON; one task hashes and chains all entries of a batch, whole, in order.
-Verification looks one row back and is parallel.
+Each entry's hash covers the hash before it and the entry, so entries are chained one after the other.
+Spark writes the entries as JSON and numbers them; one task sees number and JSON only, as a stream, and
+the hashes are joined to the entries by number. Verification looks one row back and is parallel.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hmac_sha256
+from .lineage import numbered
 
 GENESIS = "GENESIS"
 
@@ -31,25 +32,24 @@ def payload() -> Column:
 def append(entries: DataFrame, key: bytes, last_hash: str = GENESIS, last_id: int = 0) -> DataFrame:
     """entries (seq and the fields of an entry) with id, prev_hash and entry_hash, chained by seq after the last one.
 
-    A chain has one writer: a batch is sorted and hashed by one task, row after row, as a stream.
+    Entries of one seq are chained in the order of their JSON. A chain has one writer.
     """
     names = ["entity_type", "entity_id", "action", "actor", "actor_detail", "changed_at", "field_changes"]
     ready = entries.withColumn("changed_at", F.date_trunc("second", "changed_at")).withColumn("payload", payload()).select("seq", *names, "payload")
-    ordered = ready.repartition(1).sortWithinPartitions("seq")
+    placed = numbered(ready, "seq", "payload", name="id")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, n = last_hash, last_id
+        last = last_hash
         for batch in batches:
             before, after = [], []
             for text in batch["payload"]:
                 before.append(last)
                 last = hmac.new(key, f"{last}|{text}".encode(), hashlib.sha256).hexdigest()
                 after.append(last)
-            yield batch.assign(id=range(n + 1, n + 1 + len(batch)), prev_hash=before, entry_hash=after)[["id", *names, "prev_hash", "entry_hash"]]
-            n += len(batch)
+            yield pd.DataFrame({"id": batch["id"], "prev_hash": before, "entry_hash": after})
 
-    kinds = dict(ready.dtypes)
-    return ordered.mapInPandas(chain, f"id long, {', '.join(f'{c} {kinds[c]}' for c in names)}, prev_hash string, entry_hash string")
+    hashes = placed.select("id", "payload").repartition(1).sortWithinPartitions("id").mapInPandas(chain, "id bigint, prev_hash string, entry_hash string")
+    return placed.join(hashes, "id").select((F.col("id") + last_id).alias("id"), *names, "prev_hash", "entry_hash")
 
 
 def verify(audit: DataFrame, key: bytes, block: int = 1_000_000) -> DataFrame:

@@ -6,20 +6,55 @@ batch gives what one-by-one processing would. A duplicate is flagged, never drop
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut, small, spread, unused
+
 WINDOW_SECONDS = 15 * 60
 
 
+#: Up to so many distinct keys of a batch (about 100 bytes each) are broadcast to the scan of the history.
+MAX_BROADCAST_KEYS = 500_000
+
+
+def _held(rows: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    """(key, value) and the columns ``more``: one row for each key of a row that is not null."""
+    each = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys))
+    held = rows.select(*more, F.explode(F.filter(each, lambda x: x["value"].isNotNull())).alias("__k"))
+    return held.select(*more, "__k.key", "__k.value")
+
+
 def exact_new(batch: DataFrame, history: DataFrame, keys: tuple[str, ...] = ("content_hmac", "sms_provider_id"), order: str = "provider_id") -> DataFrame:
-    """Rows of the batch whose keys neither the history nor an earlier row of the batch has; a null key never matches."""
-    out = batch
-    for key in keys:
-        first = F.row_number().over(Window.partitionBy(key).orderBy(order))
-        out = out.withColumn("__n", F.when(F.col(key).isNull(), 1).otherwise(first)).where("__n = 1").drop("__n")
-        out = out.join(history.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
-    return out
+    """Rows of the batch that one-by-one processing in the order would keep.
+
+    A row is dropped if the history, or an earlier row that was kept, has one of its keys. A row that is
+    dropped itself drops no other. Null keys match nothing; a row without keys stays. Rows of the same
+    order are taken in the order of their keys; of equal ones any stays. An empty batch or history is fine.
+
+    The history is read once, its two key columns only, and not shuffled while the batch is small. Among the
+    rows of the batch those that come first by all their keys are kept and what shares a key with them is
+    dropped, until nothing is open; a chain of rows that share one key after the other costs a round a link.
+    """
+    n, rank = unused(batch, "__n", "__rank")
+    rows = cut(batch.withColumn(n, F.monotonically_increasing_id()))
+    ranked = rows.withColumn(rank, F.struct(F.col(order).alias("o"), F.xxhash64(*keys).alias("h"), F.col(n).alias("n")))
+    held = cut(_held(ranked.select(n, rank, *keys).withColumnsRenamed({n: "n", rank: "rank"}), keys, "n", "rank"))
+    wanted = small(held.select("key", "value").distinct(), MAX_BROADCAST_KEYS)
+    known = _held(history, keys).join(wanted, ["key", "value"], "left_semi").distinct()
+    dropped = cut(held.join(known, ["key", "value"], "left_semi").select("n").distinct())
+    open_ = held.join(dropped, "n", "left_anti")
+    while True:
+        first = spread(open_.groupBy("key", "value").agg(F.min("rank").alias("first")))
+        if first.isEmpty():
+            break
+        leads = open_.join(first, ["key", "value"]).groupBy("n").agg(F.bool_and(F.col("rank") == F.col("first")).alias("kept"))
+        kept = cut(leads.where("kept").select("n"))
+        taken = first.select("key", "value", F.col("first.n").alias("n")).join(kept, "n", "left_semi").select("key", "value")
+        settled = open_.join(taken, ["key", "value"], "left_semi").select("n").distinct()
+        dropped = cut(dropped.unionByName(settled.join(kept, "n", "left_anti")))
+        open_ = cut(open_.join(kept, "n", "left_anti").join(dropped, "n", "left_anti"))
+    return rows.join(dropped.withColumnRenamed("n", n), n, "left_anti").select(*batch.columns)
 
 
 def duplicate_decisions(incoming: DataFrame, existing: DataFrame, window_seconds: int = WINDOW_SECONDS, authorisation_types: tuple[str, ...] = (), in_batch: DataFrame | None = None) -> DataFrame:

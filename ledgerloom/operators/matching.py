@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import AUTO_APPLY, EDIT_CEILING, EDIT_FLOOR, MIN_FUZZY_CHARS, TOKEN_FLOOR, edit_ratio, multiset_jaccard, token_confidence
+from ..schema import MAX_BROADCAST_CATEGORIES
+from .lineage import small
 
 
 def merchant_candidates(merchants: DataFrame, aliases: DataFrame, rules: DataFrame, categories: DataFrame) -> DataFrame:
     """(merchant_id, merchant_key, alias_keys, category_id, rule_id, rule_source): merchants with their aliases and enabled rule of a known category."""
     names = aliases.groupBy("merchant_id").agg(F.sort_array(F.collect_set("alias_key")).alias("alias_keys"))
-    known = rules.where("is_enabled").join(F.broadcast(categories.select(F.col("id").alias("category_id"))), "category_id", "left_semi")
+    known = rules.where("is_enabled").join(small(categories.select(F.col("id").alias("category_id")), MAX_BROADCAST_CATEGORIES), "category_id", "left_semi")
     rule = known.select("merchant_id", "category_id", F.col("id").alias("rule_id"), F.col("source").alias("rule_source"))
     out = merchants.withColumnRenamed("id", "merchant_id").join(names, "merchant_id", "left").join(rule, "merchant_id", "left")
     return out.select("merchant_id", "merchant_key", F.coalesce("alias_keys", F.array().cast("array<string>")).alias("alias_keys"), "category_id", "rule_id", "rule_source")
@@ -51,12 +53,15 @@ def match_merchants(texts: DataFrame, candidates: DataFrame) -> DataFrame:
     scored = met.withColumn("jaccard", multiset_jaccard(F.split("key", " "), F.split("name", " "))).where(F.col("jaccard") >= TOKEN_FLOOR)
     best = scored.groupBy("key").agg(F.max_by(F.struct("merchant_id", "category_id", "rule_id", "jaccard"), F.struct("jaccard", F.char_length("name"), -F.col("merchant_id"))).alias("m"))
     by_token = best.select("key", F.lit("token").alias("tier"), F.col("m.merchant_id").alias("merchant_id"), F.col("m.category_id").alias("category_id"), F.col("m.rule_id").alias("rule_id"), token_confidence(F.col("m.jaccard")).alias("confidence"))
-    # edit tier: a key of n characters may differ by e = n / 10 edits; of 2 e + 1 pieces one is shared, at most e places away
-    left = _pieces(keys.join(by_token.select("key"), "key", "left_anti"), "key", shifts=True)
-    right = _pieces(ruled, "name", shifts=False)
+    # edit tier: a key of n characters may differ by e = n / 10 edits; of 2 e + 1 pieces one is shared, at most e places away.
+    # Hashes of keys and pieces meet; the texts come back for the pairs that are left.
+    left = _pieces(keys.join(by_token.select("key"), "key", "left_anti").withColumn("k", F.xxhash64("key")), "key", "k", shifts=True)
+    right = _pieces(ruled.select("name").distinct().withColumn("m", F.xxhash64("name")), "name", "m", shifts=False)
+    met = left.join(right, "piece").select("k", "m").distinct()
+    texts_met = met.join(keys.select(F.xxhash64("key").alias("k"), "key"), "k").join(ruled.withColumn("m", F.xxhash64("name")), "m")
     # a swap of neighbours is one edit here and two for the built-in distance
     close = F.levenshtein("key", "name") <= 2 * F.floor(F.greatest(F.char_length("key"), F.char_length("name")) / 10)
-    near = left.join(right, ["size", "at", "piece"]).where(close).drop("size", "at", "piece").distinct()
+    near = texts_met.where(close).drop("k", "m")
     rated = near.withColumn("ratio", edit_ratio(F.col("key"), F.col("name"))).where(F.col("ratio") >= EDIT_FLOOR)
     best = rated.groupBy("key").agg(F.max_by(F.struct("merchant_id", "category_id", "rule_id", "ratio"), F.struct("ratio", -F.col("merchant_id"))).alias("m"))
     by_edit = best.select("key", F.lit("edit").alias("tier"), F.col("m.merchant_id").alias("merchant_id"), F.col("m.category_id").alias("category_id"), F.col("m.rule_id").alias("rule_id"), F.least(F.lit(EDIT_CEILING), EDIT_CEILING * F.col("m.ratio")).alias("confidence"))
@@ -79,21 +84,21 @@ def _rarest(df: DataFrame, column: str, frequency: DataFrame) -> DataFrame:
     return kept.select(*df.columns, "token").distinct()
 
 
-def _pieces(df: DataFrame, column: str, shifts: bool) -> DataFrame:
-    """Adds (size, at, piece): the pieces of a key for every length its partner may have.
+def _pieces(df: DataFrame, column: str, label: str, shifts: bool) -> DataFrame:
+    """(label, piece): hashes of the pieces of a key for every length its partner may have.
 
-    Keys within a ratio of 0.9 differ in length by at most a tenth of the longer; ``size`` is that
-    longer length, for which both sides cut e = size / 10 edits into pieces of size / (2 e + 1).
+    Keys within a ratio of 0.9 differ in length by at most a tenth of the longer; for that longer length
+    both sides cut e = size / 10 edits into pieces of size / (2 e + 1), here hashed with size and place.
     """
     n = F.char_length(column)
     sizes = F.explode(F.sequence(n, F.greatest(n, F.floor(n * 10 / F.lit(9)).cast("int") + 1)))
-    sized = df.withColumn("size", sizes).withColumn("__e", F.floor(F.col("size") / 10).cast("int")).where(f"char_length({column}) >= size - __e")
+    sized = df.select(label, column, sizes.alias("size")).withColumn("__e", F.floor(F.col("size") / 10).cast("int")).where(f"char_length({column}) >= size - __e")
     sized = sized.withColumn("__w", F.greatest(F.floor(F.col("size") / (2 * F.col("__e") + 1)).cast("int"), F.lit(1)))
     cuts = sized.withColumn("at", F.explode(F.sequence(F.lit(0), 2 * F.col("__e"))))
     shift = F.explode(F.sequence(-F.col("__e"), F.col("__e"))) if shifts else F.lit(0)
     moved = cuts.withColumn("__s", shift).withColumn("__p", F.col("at") * F.col("__w") + F.col("__s") + 1).where("__p >= 1")
     piece = F.substring(F.col(column), F.col("__p"), F.col("__w"))
-    return moved.withColumn("piece", piece).where(F.char_length("piece") == F.col("__w")).drop("__e", "__w", "__s", "__p")
+    return moved.where(F.char_length(piece) == F.col("__w")).select(label, F.xxhash64("size", "at", piece).alias("piece")).distinct()
 
 
 def adopted(matches: DataFrame) -> DataFrame:

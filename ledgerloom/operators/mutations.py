@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import UNCATEGORIZED
-from .lineage import numbered
+from ..functions.text import fold
+from ..schema import MAX_BROADCAST_CATEGORIES, UNCATEGORIZED
+from .lineage import numbered, small
 
 CATEGORY_FLAGS = ("low_confidence", "unknown_merchant", "known_merchant_without_rule")
 DUPLICATE_FLAGS = ("possible_duplicate", "possible_authorisation_posting_pair")
@@ -113,7 +114,8 @@ def original_values(audit: DataFrame) -> DataFrame:
 
 def get_or_create(table: DataFrame, wanted: DataFrame, key: str, fill: tuple[str, ...] = ()) -> DataFrame:
     """Upsert on a unique key: known rows get their null ``fill`` columns filled, new keys are appended with ids after the last."""
-    one = wanted.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.first(c, ignorenulls=True).alias(f"__{c}") for c in fill))
+    named = wanted.where(F.col(key).isNotNull())
+    one = named.groupBy(key).agg(*(F.first(c, ignorenulls=True).alias(f"__{c}") for c in fill)) if fill else named.select(key).distinct()
     old = table.join(one, key, "left").withColumns({c: F.coalesce(c, f"__{c}") for c in fill}).select(*table.columns)
     new = one.join(table.select(key), key, "left_anti")
     last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
@@ -124,7 +126,7 @@ def get_or_create(table: DataFrame, wanted: DataFrame, key: str, fill: tuple[str
 
 def upsert_rules(rules: DataFrame, wanted: DataFrame, categories: DataFrame) -> DataFrame:
     """wanted (merchant_id, category_id, source): a rule a merchant; unknown categories are refused, a user's rule is not replaced by a seed."""
-    known = wanted.join(F.broadcast(categories.select(F.col("id").alias("category_id"))), "category_id", "left_semi")
+    known = wanted.join(small(categories.select(F.col("id").alias("category_id")), MAX_BROADCAST_CATEGORIES), "category_id", "left_semi")
     w = known.select("merchant_id", F.col("category_id").alias("__category"), F.col("source").alias("__source"))
     old = rules.join(w, "merchant_id", "left")
     take = F.col("__source").isNotNull() & ~((F.col("source") == "user") & (F.col("__source") != "user"))
@@ -140,6 +142,29 @@ def link_settlement(instruments: DataFrame, links: DataFrame) -> DataFrame:
     return rows.withColumns({"settlement_account_id": F.when(take, F.col("__to")).otherwise(F.col("settlement_account_id")), "link_source": F.when(take, F.col("__by")).otherwise(F.col("link_source"))}).select(*instruments.columns)
 
 
+def _names_taken(categories: DataFrame, name: str, but: str | None = None) -> bool:
+    same = categories.where((fold(F.col("name_en")) == fold(F.lit(name))) & (F.col("id") != F.lit(but or "")))
+    return not same.isEmpty()
+
+
+def create_category(categories: DataFrame, category: str, group: str, name: str) -> DataFrame:
+    """``categories`` with a further one, last of its group's order; a blank or taken name or id is refused."""
+    if not name.strip() or _names_taken(categories, name) or not categories.where(F.col("id") == category).isEmpty():
+        raise ValueError(f"category {category} cannot be created: its id or name is blank or taken")
+    last = categories.where(F.col("group_key") == group).agg(F.coalesce(F.max("sort_order"), F.lit(-1)).alias("last"))
+    made = {"id": F.lit(category), "group_key": F.lit(group), "name_en": F.lit(name.strip()), "is_protected": F.lit(False), "is_archived": F.lit(False), "sort_order": F.col("last") + 1}
+    row = last.select(*(made.get(c, F.lit(None)).cast(categories.schema[c].dataType).alias(c) for c in categories.columns))
+    return categories.unionByName(row)
+
+
+def rename_category(categories: DataFrame, category: str, name: str) -> DataFrame:
+    """``categories`` with a new name for one; protected or unknown categories and blank or taken names are refused."""
+    row = categories.where(F.col("id") == category).first()
+    if row is None or row["is_protected"] or not name.strip() or _names_taken(categories, name, category):
+        raise ValueError(f"category {category} cannot be renamed")
+    return categories.withColumn("name_en", F.when(F.col("id") == category, name.strip()).otherwise(F.col("name_en")))
+
+
 def delete_category(transactions: DataFrame, rules: DataFrame, categories: DataFrame, category: str, reassign_to: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(transactions, rules, categories) without a category: its rows are reassigned or uncategorised, its rules follow or go."""
     row = categories.where(F.col("id") == category).first()

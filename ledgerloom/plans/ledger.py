@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CATEGORIES, TRANSACTION, UNCATEGORIZED
+from ..schema import CATEGORIES, UNCATEGORIZED, with_defaults
 
 BASE = "SAR"
 LEDGER_SQL = """
@@ -41,7 +41,7 @@ FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 """
 #: Transfer legs out of the events: purchases leave, errors come in, the user is the instrument.
 LEGS_SQL = """
-SELECT event_id AS id, CAST(value AS DECIMAL(20,4)) AS amount, 'SAR' AS currency, CASE event_type WHEN 'purchase' THEN 'debit' ELSE 'credit' END AS direction,
+SELECT event_id AS id, CAST(value AS DECIMAL(20,4)) AS amount, CASE WHEN event_id % 5 = 0 THEN 'USD' ELSE 'SAR' END AS currency, CASE event_type WHEN 'purchase' THEN 'debit' ELSE 'credit' END AS direction,
     CASE event_type WHEN 'purchase' THEN 'transfer_out' ELSE 'transfer_in' END AS type, TRUE AS affects_spend, event_id % 29 = 0 AS is_deleted, ts AS occurred_at,
     CASE WHEN event_id % 17 = 0 THEN NULL ELSE user_id END AS instrument_id, CASE WHEN event_id % 3 = 0 THEN ' ref-' || CAST(user_id % 4 AS STRING) END AS reference
 FROM {events} WHERE event_type IN ('purchase', 'error')
@@ -57,13 +57,6 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
-def with_defaults(rows: DataFrame) -> DataFrame:
-    """All columns of a transaction; those that are missing are null, or false for flags that are never null."""
-    flags = {"is_deleted", "conversion_pending", "needs_review"}
-    add = {f.name: F.lit(False if f.name in flags else None).cast(f.dataType) for f in TRANSACTION if f.name not in rows.columns}
-    return rows.withColumns(add)
-
-
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_defaults(view(spark, sf_dir, LEDGER_SQL))
 

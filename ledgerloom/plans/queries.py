@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, money, sanitize, similarity, text
-from ..operators import audit, classify, duplicates, entry, filters, matching, merge, mutations, transfers
-from ..schema import CATEGORIES, INCOME_TYPES, SPEND_TYPES
+from ..operators import audit, categorise, classify, duplicates, entry, filters, lineage, matching, merge, mutations, transfers
+from ..schema import CATEGORIES, INCOME_TYPES, SPEND_TYPES, TRANSACTION, with_defaults
 from ..sources import messages, rule_pack
 from . import reports
 from .ledger import BANK_SQL, BASE, INSTRUMENT_SQL, LEDGER_SQL, LEGS_SQL, MERCHANT_SQL, categories, ledger, legs, view
@@ -237,12 +237,26 @@ def j8_transfer_candidates(spark, d):
     return transfers.transfer_candidates(legs(spark, d)).select("out_id", "in_id", "evidence")
 
 
-@query()
+_TRANSFER_PAIRS = f"""WITH RECURSIVE k AS ({_TRANSFER_CANDIDATES}), ord AS (SELECT k.*, row_number() OVER (ORDER BY evidence DESC, t.occurred_at, out_id, in_id) AS n FROM k JOIN ({_LEGS}) t ON t.id = k.out_id),
+steps(n, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+    UNION ALL SELECT s.n + 1, CASE WHEN list_has_any(s.used, [o.out_id, o.in_id]) THEN s.used ELSE s.used || [o.out_id, o.in_id] END, CASE WHEN list_has_any(s.used, [o.out_id, o.in_id]) THEN s.taken ELSE s.taken || [o.n] END
+    FROM steps s JOIN ord o ON o.n = s.n + 1),
+last AS (SELECT unnest(taken) AS n FROM steps ORDER BY steps.n DESC LIMIT (SELECT len(taken) FROM steps ORDER BY n DESC LIMIT 1))
+SELECT out_id, in_id, evidence, CASE evidence WHEN 'reference_match' THEN 'internal' ELSE 'candidate' END AS state, 'itl:' || CAST(out_id AS VARCHAR) || ':' || CAST(in_id AS VARCHAR) AS group_id FROM ord WHERE n IN (SELECT n FROM last)"""
+
+
+@query(_TRANSFER_PAIRS)
 def j8_transfer_pairs(spark, d):
     return transfers.pair_transfers(legs(spark, d))
 
 
-@query()
+@query(
+    f"""WITH p AS ({_TRANSFER_PAIRS}), l AS (SELECT * FROM ({_LEGS}) WHERE NOT is_deleted AND id NOT IN (SELECT unnest([out_id, in_id]) FROM p)), met AS (SELECT o.id AS out_id, i.id AS in_id,
+    CASE WHEN o.instrument_id <> i.instrument_id AND o.currency <> i.currency THEN 'cross_currency_near_match' WHEN (o.instrument_id IS NULL) <> (i.instrument_id IS NULL) AND o.amount = i.amount AND o.currency = i.currency THEN 'unresolved_instrument' END AS reason
+    FROM l o JOIN l i ON o.type = 'transfer_out' AND i.type = 'transfer_in' AND abs(epoch_us(o.occurred_at) - epoch_us(i.occurred_at)) <= 86400000000),
+known AS (SELECT out_id AS id, in_id AS partner, reason FROM met WHERE reason IS NOT NULL UNION ALL SELECT in_id, out_id, reason FROM met WHERE reason IS NOT NULL)
+SELECT id, arg_min(reason, partner) AS reason FROM known GROUP BY id"""
+)
 def j9_near_matches(spark, d):
     rows = legs(spark, d)
     return transfers.near_matches(rows, transfers.pair_transfers(rows))
@@ -256,6 +270,19 @@ def j10_merchant_matching(spark, d):
     return matching.match_merchants(texts, matching.merchant_candidates(*_merchant_tables(spark, d), categories(spark)))
 
 
+@query(
+    f"""WITH m AS ({_MERCHANT}), r AS (SELECT id, merchant_key, id % 3 = 0 AND id % 2 = 0 AND id % 7 <> 0 AS ruled, id % 5 = 0 AS mine FROM m),
+t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) || ' ' || CAST(p_partkey AS VARCHAR) ELSE CAST(p_partkey AS VARCHAR) || ' ' || array_to_string(list_reverse(string_split(upper(p_name), ' ')), ' ') END AS key FROM part),
+exact AS (SELECT t.id, r.id AS merchant_id, ruled, mine FROM t JOIN r ON t.key = r.merchant_key),
+token AS (SELECT t.id, r.id AS merchant_id FROM t JOIN r ON ruled AND t.id = r.id AND t.key <> r.merchant_key)
+SELECT id, merchant_id, CASE WHEN NOT ruled THEN 'none' WHEN mine THEN 'exact_user' ELSE 'exact_seed' END AS tier, CASE WHEN ruled THEN 'groceries' END AS category_id FROM exact
+UNION ALL SELECT id, merchant_id, 'token', 'groceries' FROM token"""
+)
+def j10_exact_and_token_tiers(spark, d):
+    # a key with its words in another order has the same words as no other merchant, as each ends in a number of its own
+    return j10_merchant_matching(spark, d).where("tier IN ('exact_user', 'exact_seed', 'none') OR confidence >= 0.85").select("id", "merchant_id", "tier", "category_id")
+
+
 @query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://blog[.]') THEN 'blog' WHEN regexp_matches(url, '(?i)[.]com/') THEN 'com' END AS bank_id FROM pages")
 def j11_sender_bank(spark, d):
     banks = tuple(rule_pack.Bank(b, {}, (), (rule_pack.java_pattern(p),), ()) for b, p in (("blog", "^https?://blog[.]"), ("com", "[.]com/")))
@@ -273,6 +300,12 @@ def j13_exact_new(spark, d):
     return duplicates.exact_new(rows.where("event_id >= 2000"), rows.where("event_id < 2000"), ("k",), "event_id").select("event_id")
 
 
+@query("WITH b AS (SELECT event_id, user_id AS a, CAST(floor(value) AS BIGINT) AS k FROM events), seen AS (SELECT list(DISTINCT a) AS u, list(DISTINCT k) AS v FROM b WHERE event_id < 200), l AS (SELECT list({'e': event_id, 'a': a, 'k': k} ORDER BY event_id) AS x FROM b WHERE event_id >= 200 AND event_id < 5000) SELECT unnest(list_reduce(list_prepend({'kept': CAST([] AS BIGINT[]), 'u': u, 'v': v, 'e': CAST(0 AS BIGINT), 'a': CAST(0 AS BIGINT), 'k': CAST(0 AS BIGINT)}, list_transform(x, lambda r: {'kept': CAST([] AS BIGINT[]), 'u': CAST([] AS BIGINT[]), 'v': CAST([] AS BIGINT[]), 'e': CAST(r.e AS BIGINT), 'a': CAST(r.a AS BIGINT), 'k': r.k})), lambda s, r: CASE WHEN list_contains(s.u, r.a) OR list_contains(s.v, r.k) THEN s ELSE {'kept': s.kept || [r.e], 'u': s.u || [r.a], 'v': s.v || [r.k], 'e': s.e, 'a': s.a, 'k': s.k} END).kept) AS event_id FROM l, seen")
+def j13_exact_new_two_keys(spark, d):
+    rows = _tables(spark, d, "events").select("event_id", F.col("user_id").alias("a"), F.floor("value").alias("k"))
+    return duplicates.exact_new(rows.where("event_id >= 200 AND event_id < 5000"), rows.where("event_id < 200"), ("a", "k"), "event_id").select("event_id")
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 
@@ -390,12 +423,25 @@ def o3_recent(spark, d):
     return reports.recent(ledger(spark, d)).select("id", "occurred_at")
 
 
-@query(f"SELECT id, row_number() OVER (ORDER BY occurred_at DESC NULLS LAST, id DESC) AS place FROM ({_TX}) WHERE NOT is_deleted AND instrument_id = 5")
+@query(f"SELECT id, row_number() OVER (ORDER BY occurred_at DESC NULLS LAST, id DESC) AS place FROM ({_TX}) WHERE NOT is_deleted")
 def o1_ledger_order(spark, d):
-    from pyspark.sql import Window
+    live = ledger(spark, d).where(filters.LIVE).select("id", "occurred_at")
+    return lineage.numbered(live, F.col("occurred_at").desc_nulls_last(), F.desc("id"), name="place").select("id", "place")
 
-    mine = ledger(spark, d).where("NOT is_deleted AND instrument_id = 5")
-    return mine.select("id", F.row_number().over(Window.partitionBy("instrument_id").orderBy(F.col("occurred_at").desc_nulls_last(), F.desc("id"))).alias("place"))
+
+@query(f"SELECT id, row_number() OVER (ORDER BY occurred_at DESC NULLS LAST, id DESC) AS place FROM ({_TX}) WHERE NOT is_deleted AND needs_review")
+def o2_review_order(spark, d):
+    rows = filters.needing_review(ledger(spark, d)).select("id", "occurred_at")
+    return lineage.numbered(rows, F.col("occurred_at").desc_nulls_last(), F.desc("id"), name="place").select("id", "place")
+
+
+@query("SELECT event_id, page FROM (SELECT event_id, 1 AS page, row_number() OVER (ORDER BY event_id) AS r FROM events WHERE event_id > 0) WHERE r <= 100 UNION ALL SELECT event_id, 2 FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM events WHERE event_id > 0) WHERE r BETWEEN 101 AND 200")
+def o6_pages(spark, d):
+    rows = _tables(spark, d, "events").select("event_id")
+    first = messages.read_since(rows, 0, 100, "event_id")
+    last = messages.high_water_mark(first.withColumn("at", F.lit(0)), "event_id", "at").first()["last_id"]
+    second = messages.read_since(rows, last, 100, "event_id")
+    return first.withColumn("page", F.lit(1)).unionByName(second.withColumn("page", F.lit(2)))
 
 
 # --- scalar functions ----------------------------------------------------------------------------
@@ -478,7 +524,13 @@ def x12_dates(spark, d):
     return _tables(spark, d, "events").select("event_id", text.sms_date(shown, "dd/MM/yy HH:mm").cast("timestamp_ntz").alias("parsed"))
 
 
-@query()
+_PAD = lambda x: "'" + "".join(f"\\x{(b ^ x):02X}" for b in b"test key".ljust(64, b"\0")) + "'::BLOB"
+_HMAC = f"sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || {{message}})))"
+_PLAIN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_MESSAGE = f"encode('v1') || '\\x00'::BLOB || encode(coalesce({_PLAIN.format('html')}, '')) || '\\x00'::BLOB || encode(lower(coalesce({_PLAIN.format('url')}, '')))"
+
+
+@query(f"SELECT page_id, {_HMAC.format(message=_MESSAGE)} AS hmac FROM pages")
 def x13_content_hmac(spark, d):
     return _tables(spark, d, "pages").select("page_id", hashing.content_hmac(b"test key", text.normalize_message(F.col("html")), F.col("url")).alias("hmac"))
 
@@ -589,10 +641,18 @@ def _entries(spark, d):
     return s.select(F.col("s_suppkey").alias("seq"), F.lit("bank").alias("entity_type"), F.col("s_nationkey").cast("string").alias("entity_id"), F.lit("update").alias("action"), F.lit("user").alias("actor"), F.lit(None).cast("string").alias("actor_detail"), F.lit(datetime(2026, 7, 1)).alias("changed_at"), change.alias("field_changes"))
 
 
-@query("SELECT count(*) AS entries, count(*) AS linked, count(*) AS intact FROM supplier")
+_AUDIT_PAD = lambda x: "'" + "".join(f"\\x{(b ^ x):02X}" for b in b"audit key".ljust(64, b"\0")) + "'::BLOB"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS id, '{{"entityType":"bank","entityId":"' || CAST(s_nationkey AS VARCHAR)
+    || '","action":"update","actor":"user","actorDetail":null,"changedAt":"2026-07-01T00:00:00.000Z","fieldChanges":[{{"field":"name","from":"' || s_name || '","to":"x"}}]}}' AS payload FROM supplier),
+chain(id, entry_hash) AS (SELECT CAST(0 AS BIGINT), 'GENESIS' UNION ALL SELECT e.id, sha256({_AUDIT_PAD(0x5C)} || unhex(sha256({_AUDIT_PAD(0x36)} || encode(c.entry_hash || '|' || e.payload)))) FROM chain c JOIN e ON e.id = c.id + 1)
+SELECT id, entry_hash, TRUE AS linked, TRUE AS intact FROM chain WHERE id > 0"""
+)
 def w3_audit_chain(spark, d):
     log = audit.append(_entries(spark, d), b"audit key")
-    return audit.verify(log, b"audit key").agg(F.count("*").alias("entries"), F.count_if("linked").alias("linked"), F.count_if("intact").alias("intact"))
+    return log.select("id", "entry_hash").join(audit.verify(log, b"audit key"), "id")
 
 
 @query("SELECT CAST(s_nationkey AS STRING) AS entity_id, 'name' AS field, arg_min(s_name, s_suppkey) AS original FROM supplier GROUP BY 1")
@@ -664,14 +724,14 @@ def o5_category_order(spark, d):
     return categories(spark).orderBy("sort_order", "id").select(F.col("id").alias("category"), "group_key", F.col("sort_order").alias("place"))
 
 
-@query(_CLASSIFIED + "SELECT CAST(sum(signed_base) AS DOUBLE) AS slices, CAST(sum(signed_base) AS DOUBLE) AS total, TRUE AS reconciles FROM live WHERE inside AND is_spend")
+@query(_CLASSIFIED + f", cats(category, g, sort_order) AS (VALUES {_CATEGORY_ROWS}), parts AS (SELECT coalesce(category, 'uncategorized') AS k, sum(signed_base) AS x FROM live LEFT JOIN cats ON category = category_id WHERE inside AND is_spend GROUP BY 1) SELECT CAST((SELECT sum(x) FROM parts) AS DOUBLE) AS slices, CAST(sum(signed_base) AS DOUBLE) AS total, (SELECT sum(x) FROM parts) = sum(signed_base) AS reconciles FROM live WHERE inside AND is_spend")
 def a8_categories_reconcile(spark, d):
     rows = classify.classified(ledger(spark, d))
     out = reports.category_reconciles(reports.category_breakdown(rows, categories(spark), START, END, BASE), reports.period_report(rows, START, END, BASE))
     return out.select(*_double("slices", "total"), "reconciles")
 
 
-@query(_CLASSIFIED + "SELECT CAST(sum(signed_base) AS DOUBLE) AS slices, CAST(sum(signed_base) AS DOUBLE) AS total, TRUE AS reconciles FROM live WHERE inside AND is_spend")
+@query(_CLASSIFIED + ", parts AS (SELECT instrument_id, sum(signed_base) AS x FROM live WHERE inside AND is_spend GROUP BY 1) SELECT CAST((SELECT sum(x) FROM parts) AS DOUBLE) AS slices, CAST(sum(signed_base) AS DOUBLE) AS total, (SELECT sum(x) FROM parts) = sum(signed_base) AS reconciles FROM live WHERE inside AND is_spend")
 def a10_instruments_reconcile(spark, d):
     out = reports.instruments_reconcile(reports.instrument_breakdown(classify.classified(ledger(spark, d)), START, END, BASE))
     return out.select(*_double("slices", "total"), "reconciles")
@@ -688,13 +748,64 @@ def a15_money_sum(spark, d):
     return ledger(spark, d).groupBy("currency").agg(money.money_sum(F.col("amount"), F.col("currency")).cast("double").alias("total"))
 
 
-@query("SELECT CASE event_type WHEN 'view' THEN 'ignored' WHEN 'purchase' THEN CASE WHEN length(json_extract_string(props, '$.k')) = 2 THEN 'parsed' ELSE 'unparsed' END ELSE 'unparsed' END AS outcome, count(*) AS n FROM events GROUP BY 1")
+_FEED_PACK = rule_pack.load_pack(
+    r"""{"schemaVersion": 1, "packId": "feed", "packVersion": "1", "banks": [{"bankId": "bank", "displayName": {"en": "Bank"}, "aliases": [], "senderPatterns": ["^[0-9]*[1-9]$"], "messageRules": [
+    {"ruleId": "view", "priority": 50, "messageType": "info", "intent": "ignore", "match": {"anyOf": ["^view"]}},
+    {"ruleId": "buy", "priority": 100, "messageType": "pos_purchase", "intent": "transaction", "match": {"anyOf": ["^purchase", "^error"]}, "regex": "(?:purchase|error) (?<amount>[0-9.-]+) (?<currency>[A-Z]{3}) on (?<card>[0-9]{4}) at (?<shop>[a-z0-9 ]+)$",
+     "extract": {"amount": {"group": "amount"}, "currency": {"group": "currency"}, "instrumentRef": {"group": "card", "kind": "card", "maskPolicy": "last4"}, "merchant": {"group": "shop"}}, "sign": "debit", "requiredFields": ["amount"]}]}]}"""
+)
+# a feed of messages, with amounts so coarse that some repeat
+_FEED = """SELECT event_id AS provider_id, CAST(user_id % 10 AS STRING) AS address, ts AS received_at,
+    event_type || ' ' || CAST(CASE WHEN event_id % 31 = 0 THEN -1 ELSE 1 END * CAST(floor(value / 10) AS BIGINT) AS STRING) || CASE WHEN event_id % 37 = 0 THEN ' riyal' ELSE ' SAR' END || ' on ' || CAST(1000 + user_id % 5 AS STRING) || ' at shop ' || CAST(CAST(floor(value / 25) AS BIGINT) AS STRING)
+    AS body FROM {events}"""
+
+
+def _feed(spark, d) -> DataFrame:
+    """What becomes of the events as messages, the first half of which is ingested before the rest."""
+    from ..streaming.ingest import Ingest
+
+    job = Ingest("", _FEED_PACK, b"feed key")
+    rows = view(spark, d, _FEED).withColumn("received_at", F.date_trunc("hour", "received_at").cast("timestamp")).select("provider_id", "address", "body", "received_at")
+    half = rows.agg(F.expr("CAST(floor(max(provider_id) / 2) AS BIGINT)").alias("h")).first()["h"]
+    none = spark.createDataFrame([], "content_hmac string, sms_provider_id bigint, transaction struct<id: bigint>").where("false")
+    first = lineage.cut(job.process(rows.where(F.col("provider_id") <= half), none.withColumn("transaction", F.lit(None).cast(TRANSACTION))))
+    stored = first.where("outcome NOT IN ('failed', 'not_financial', 'duplicate')")
+    return first.unionByName(job.process(rows.where(F.col("provider_id") > half), stored))
+
+
+_FED = f"""WITH f AS (SELECT provider_id AS id, address, body, date_trunc('hour', received_at) AS at, provider_id <= (SELECT floor(max(event_id) / 2) FROM events) AS early FROM ({_FEED.format(events='events')})),
+n AS (SELECT *, address <> '0' AS known, row_number() OVER (PARTITION BY address, body ORDER BY id) AS r, CASE WHEN starts_with(body, 'view') THEN 'ignored' WHEN NOT regexp_matches(body, '^(purchase|error) [0-9]+ SAR') THEN 'review' ELSE 'transaction' END AS kind, regexp_extract(body, ' ([0-9]+) SAR', 1) AS amount, regexp_extract(body, ' on ([0-9]{{4}})', 1) AS card, regexp_extract(body, ' at (.*)$', 1) AS shop FROM f),
+t AS (SELECT * FROM n WHERE known AND r = 1 AND kind = 'transaction'),
+dup AS (SELECT i.id, min(e.id) AS duplicate_of FROM t i JOIN t e ON i.amount = e.amount AND i.card = e.card AND i.shop = e.shop AND e.id < i.id AND abs(epoch(i.at) - epoch(e.at)) <= 900 GROUP BY 1),
+fed AS (SELECT n.id AS provider_id, CASE WHEN NOT known THEN 'not_financial' WHEN r > 1 THEN 'duplicate' WHEN kind <> 'transaction' THEN kind WHEN duplicate_of IS NOT NULL THEN 'flagged' ELSE kind END AS outcome, CASE WHEN known AND r = 1 THEN duplicate_of END AS duplicate_of FROM n LEFT JOIN dup USING (id))
+"""
+
+
+@query(_FED + "SELECT outcome, count(*) AS n FROM fed GROUP BY 1")
 def a18_run_counters(spark, d):
-    from ..streaming.ingest import run_counters
+    return _feed(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(_FED + "SELECT provider_id, outcome, duplicate_of FROM fed")
+def g5_ingest_outcomes(spark, d):
+    return _feed(spark, d).select("provider_id", "outcome", F.col("transaction.duplicate_of").alias("duplicate_of"))
 
-    rows = _event_messages(spark, d).withColumnRenamed("event_id", "provider_id")
-    parsed = rule_pack.parse_messages(rows, _PACK)
-    return run_counters(parsed, parsed)
+
+@query(_FED + "SELECT provider_id, CAST(amount AS DOUBLE) AS amount, 'SAR' AS currency, '****' || card AS masked_ref, shop AS merchant_text, t.at AS occurred_at, 'received' AS time_source FROM fed JOIN t ON t.id = provider_id")
+def g10_ingested_transactions(spark, d):
+    rows = _feed(spark, d).where("transaction IS NOT NULL").select("provider_id", "transaction.*")
+    return rows.select("provider_id", *_double("amount"), "currency", "masked_ref", "merchant_text", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "time_source")
+
+
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 AND p_partkey % 7 <> 0 THEN 'groceries' END AS category_id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS merchant_id,
+    CASE WHEN p_partkey % 2 <> 0 THEN 'unknown_merchant' WHEN p_partkey % 3 <> 0 OR p_partkey % 7 = 0 THEN 'known_merchant_without_rule' END AS review_reason FROM part"""
+)
+def g9_categorised(spark, d):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string"))).otherwise(F.md5(F.col("p_partkey").cast("string").cast("binary")))
+    rows = _tables(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("id"), name.alias("merchant_text"))
+    candidates = matching.merchant_candidates(*_merchant_tables(spark, d), categories(spark))
+    return categorise.categorise(with_defaults(rows), candidates).select("id", "category_id", "merchant_id", "review_reason")
 
 
 @query(_CLASSIFIED + "SELECT id, CAST(round(abs(signed_base) * 100.0 / nullif(abs(amount), 0)) AS BIGINT) AS percent FROM c")
@@ -703,10 +814,9 @@ def a20_percent_share(spark, d):
     return ledger(spark, d).select("id", money.percent_share(value, F.col("amount")).alias("percent"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(upper(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'ß', 'SS')), '[^ -~]', '', 'g')) AS folded FROM documents")
+@query("SELECT doc_id, md5(upper(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'ß', 'SS'))) AS folded FROM documents")
 def x3_fold(spark, d):
-    # compared by ASCII characters: engines differ in the upper case of some others
-    return _tables(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(text.fold(F.col("text")), "[^ -~]", "").cast("binary")).alias("folded"))
+    return _tables(spark, d, "documents").select("doc_id", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[؀-ۿ]') THEN CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'mixed' ELSE 'arabic' END ELSE 'latin' END AS script FROM documents WHERE text IS NOT NULL")
@@ -823,6 +933,58 @@ def u12_complete_messages(spark, d):
     return entry.complete_messages(drafts, view(spark, d, _MESSAGES)).select("message_id", "status")
 
 
+@query("SELECT c_custkey, CASE WHEN CAST(c_acctbal AS DECIMAL(20,4)) IS NULL THEN 0 ELSE CAST(greatest(1, least(100, round(abs(CAST(c_acctbal AS DECIMAL(20,4))) * 100.0 / max(abs(CAST(c_acctbal AS DECIMAL(20,4)))) OVER ()))) AS BIGINT) END AS weight FROM customer")
+def a21_bar_weights(spark, d):
+    rows = _tables(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(20,4)").alias("x"))
+    most = rows.agg(F.max(F.abs("x")).alias("most"))
+    return rows.join(F.broadcast(most)).select("c_custkey", money.bar_weight(F.col("x"), F.col("most")).alias("weight"))
+
+
+@query(f"WITH t AS (SELECT * FROM ({_TX})) SELECT id, id % 4 = 1 AS is_deleted, CASE WHEN id % 4 = 0 THEN (SELECT arg_max(a.id, a.id % 3 * 1000000000000 + a.id) FROM t a WHERE a.id // 4 = t.id // 4 AND a.id % 4 = 1) END AS merged_from FROM t")
+def u3_restore(spark, d):
+    rows = lineage.cut(_merged(spark, d))
+    return mutations.restore(rows, rows.where("id % 4 IN (2, 3)").select("id")).select("id", "is_deleted", "merged_from")
+
+
+@query(f"WITH m AS (SELECT id AS merchant_id, id % 2 = 0 AS groceries, id % 5 = 0 AS mine FROM ({_MERCHANT}) WHERE id % 3 = 0 AND id % 7 <> 0) SELECT id, CASE WHEN m.merchant_id IS NOT NULL AND NOT is_deleted AND coalesce(category_source, '') <> 'user' THEN CASE WHEN groceries THEN 'groceries' ELSE 'gone' END ELSE category_id END AS category_id FROM ({_TX}) t LEFT JOIN m USING (merchant_id)")
+def u11_reapply_rules(spark, d):
+    _, _, rules = _merchant_tables(spark, d)
+    return mutations.reapply_rules(ledger(spark, d), rules).select("id", "category_id")
+
+
+@query(f"SELECT id, category_id FROM ({_TX})")
+def u11_undo(spark, d):
+    before = ledger(spark, d)
+    after = mutations.fill_siblings(before, 7, "dining")
+    return mutations.undo(after, before.where("merchant_id = 7")).select("id", "category_id")
+
+
+@query("SELECT category, sort_order, name FROM (SELECT category, sort_order, CASE category WHEN 'dining' THEN 'Eating out' WHEN 'groceries' THEN 'Groceries' END AS name FROM (VALUES " + _CATEGORY_ROWS + ") c(category, g, sort_order) WHERE category IN ('dining', 'groceries')) UNION ALL SELECT 'pets', 10, 'Pets'")
+def u10_create_and_rename_category(spark, d):
+    made = mutations.rename_category(mutations.create_category(categories(spark), "pets", "spending", "Pets "), "dining", "Eating out")
+    return made.where("id IN ('dining', 'groceries', 'pets')").select(F.col("id").alias("category"), "sort_order", F.col("name_en").alias("name"))
+
+
+_PAIRED = "SELECT n, n * 2 AS s, CASE WHEN n = 1 THEN n * 2 ELSE n * 2 + 1 END AS m FROM (SELECT unnest(range(1, 13)) AS n)"
+
+
+@query(
+    f"SELECT s AS survivor_id, m AS merged_id, CASE n WHEN 1 THEN 'same_transaction' WHEN 2 THEN 'not_live' WHEN 3 THEN 'amount_differs' WHEN 4 THEN 'direction_differs' WHEN 5 THEN 'type_differs' WHEN 6 THEN 'chain_would_form' WHEN 7 THEN 'fee_differs' WHEN 8 THEN 'conversion_differs' WHEN 9 THEN 'remaining_balance_differs' WHEN 10 THEN 'spend_effect_differs' WHEN 11 THEN 'user_edit_differs' END AS refusal FROM ({_PAIRED})"
+)
+def u5_every_refusal(spark, d):
+    case, second = F.floor(F.col("id") / 2), F.col("id") % 2 == 1
+    when = lambda n, x, y: F.when(case == n, F.when(second, y).otherwise(x))
+    ten, one, two = (F.lit(x).cast("decimal(20,4)") for x in ("10", "1", "2"))
+    rows = spark.range(2, 26).withColumns({
+        "amount": F.coalesce(when(3, one, two), ten), "currency": F.lit("SAR"), "direction": F.coalesce(when(4, F.lit("debit"), F.lit("credit")), F.lit("debit")), "type": F.coalesce(when(5, F.lit("fee"), F.lit("withdrawal")), F.lit("fee")),
+        "affects_spend": F.coalesce(when(10, F.lit(True), F.lit(False)), F.lit(True)), "is_deleted": F.coalesce((case == 2) & second, F.lit(False)), "merged_from": F.when((case == 6) & second, F.lit(99)).cast("bigint"),
+        "fee_amount": when(7, one, two), "fee_currency": when(7, F.lit("SAR"), F.lit("SAR")), "converted_amount": when(8, one, two), "converted_currency": when(8, F.lit("SAR"), F.lit("SAR")), "balance_amount": when(9, one, two), "balance_currency": when(9, F.lit("SAR"), F.lit("SAR")),
+        "category_id": when(11, F.lit("dining"), F.lit("groceries")), "user_edited": F.when((case == 11) & second, F.array(F.lit("category_id"))),
+    })
+    pairs = rows.where("id % 2 = 0").select(F.col("id").alias("survivor_id"), F.when(F.col("id") == 2, F.col("id")).otherwise(F.col("id") + 1).alias("merged_id"))
+    return merge.assess(pairs, with_defaults(rows))
+
+
 @query("SELECT event_id, least(TIMESTAMP '2024-01-10', date_trunc('month', ts + INTERVAL 3 HOUR) - INTERVAL 3 HOUR) AS since FROM events")
 def g7_rescan_window(spark, d):
     from ..streaming.backfill import rescan_window

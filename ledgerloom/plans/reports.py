@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.money import bar_weight, base_amount, display_name, local_month, percent_share, signed_for_spend
 from ..operators.filters import LIVE, in_period
-from ..schema import UNCATEGORIZED
+from ..operators.lineage import small
+from ..schema import MAX_BROADCAST_CATEGORIES, UNCATEGORIZED
 
 MEASURES = ("spend", "income", "cash_withdrawals", "internal_transfers", "fees")
 
@@ -77,7 +78,7 @@ def net_kept(classified: DataFrame, start, end, base: str) -> DataFrame:
 def resolved_category(transactions: DataFrame, categories: DataFrame) -> DataFrame:
     """Adds ``category``, the row's category if it is known, else uncategorized."""
     known = categories.select(F.col("id").alias("__category"))
-    return transactions.join(F.broadcast(known), F.col("category_id") == F.col("__category"), "left").withColumn("category", F.coalesce("__category", F.lit(UNCATEGORIZED))).drop("__category")
+    return transactions.join(small(known, MAX_BROADCAST_CATEGORIES), F.col("category_id") == F.col("__category"), "left").withColumn("category", F.coalesce("__category", F.lit(UNCATEGORIZED))).drop("__category")
 
 
 def category_breakdown(classified: DataFrame, categories: DataFrame, start, end, base: str, include_empty: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 AMOUNT = T.DecimalType(20, 4)
@@ -60,6 +62,8 @@ CATEGORIES = (
     ("internal_transfer", "money_movement", "Internal Transfer"),
 )
 UNCATEGORIZED = "uncategorized"
+#: Tables of categories of up to so many rows are broadcast; users may make their own.
+MAX_BROADCAST_CATEGORIES = 100_000
 
 # Transaction types.
 SPEND_TYPES = ("pos_purchase", "online_purchase", "bill_payment", "fee", "installment", "account_debit", "transfer_out", "adjustment")
@@ -76,3 +80,10 @@ MINOR_DIGITS = {
 
 def minor_digits(currency: str) -> int:
     return next((n for n, codes in MINOR_DIGITS.items() if currency.upper() in codes), 2)
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """All columns of a transaction; those that are missing are null, or false for flags that are never null."""
+    flags = {"is_deleted", "conversion_pending", "needs_review"}
+    add = {f.name: F.lit(False if f.name in flags else None).cast(f.dataType) for f in TRANSACTION if f.name not in rows.columns}
+    return rows.withColumns(add)

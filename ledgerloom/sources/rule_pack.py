@@ -108,6 +108,8 @@ def _rule(spec: dict) -> Rule:
     if regex:
         java_pattern(regex)
     patterns = lambda key: tuple(java_pattern(p) for p in gate.get(key, []))
+    for p in spec.get("redact", []):
+        java_pattern(p)
     return Rule(
         spec["ruleId"], int(spec["priority"]), spec["messageType"], spec["intent"], patterns("anyOf"), patterns("allOf"), patterns("noneOf"),
         regex, groups, {k: _field(k, v, groups) for k, v in spec.get("extract", {}).items()}, spec.get("sign"), spec.get("affectsSpend"),
@@ -157,6 +159,13 @@ def bank_of(pack: RulePack, sender: Column) -> Column:
     return _first([(_any(sender, b.senders), F.lit(b.bank_id)) for b in pack.banks], F.lit(None).cast("string"))
 
 
+def redactions(pack: RulePack) -> dict[str, tuple[str, ...]]:
+    """Patterns of secrets by bank, of all its rules, in Python's syntax; banks without any are left out."""
+    plain = lambda p: re.sub(r"\(\?<(?![=!])", "(?P<", p)
+    found = {b.bank_id: tuple(plain(p) for r in b.rules for p in r.redact) for b in pack.banks}
+    return {bank: patterns for bank, patterns in found.items() if patterns}
+
+
 def gate(rule: Rule, body: Column) -> Column:
     ok = _any(body, rule.any_of) if rule.any_of else F.lit(True)
     for p in rule.all_of:

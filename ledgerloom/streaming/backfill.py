@@ -7,8 +7,8 @@ stopped goes on where it was; its state is read from the checkpoint and the file
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.money import month_window
 from ..schema import RAW_MESSAGE
+from ..sources.rule_pack import bank_of
 from .ingest import Ingest
 
 STATES = ("idle", "running", "paused", "completed")
@@ -26,8 +27,7 @@ def start_import(spark: SparkSession, source: str, ingest: Ingest, checkpoint: s
     """Ingests messages received since a date, in chunks of files; the same checkpoint resumes a stopped import."""
     stream = spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     wanted = stream.where(F.col("received_at") >= F.lit(since))
-    # batches of the import are told from those of the stream by their number
-    writer = wanted.writeStream.foreachBatch(lambda batch, n: ingest.write(batch, -1 - n)).option("checkpointLocation", checkpoint)
+    writer = wanted.writeStream.foreachBatch(ingest.sink).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
@@ -44,15 +44,13 @@ def rescan_window(now: Column, import_from: Column) -> Column:
     return F.least(import_from, month_window(now)["start"])
 
 
-def rescan(messages: DataFrame, ingest: Ingest, since: datetime, run: int, bank: str | None = None) -> None:
-    """Replays messages received since a date, of one bank or of all, as batch ``run`` (a number not used before)."""
-    rows = messages.where(F.col("received_at") >= F.lit(since))
-    if bank is None:
-        ingest.write(rows, run)
-        return
-    only = replace(ingest, pack=replace(ingest.pack, banks=tuple(b for b in ingest.pack.banks if b.bank_id == bank)))
-    mine = only.outcomes(rows.where("provider_id IS NOT NULL")).where("parsed.outcome <> 'not_financial'").select("provider_id")
-    only.write(rows.join(mine, "provider_id", "left_semi"), run)
+def rescan(messages: DataFrame, ingest: Ingest, since: datetime, bank: str | None = None) -> str:
+    """Replays messages received since a date, of one bank or of all, and returns the name of the run."""
+    rows, run = messages.where(F.col("received_at") >= F.lit(since)), f"rescan-{uuid.uuid4().hex}"
+    if bank is not None:
+        rows = rows.where(bank_of(ingest.pack, F.col("address")) == bank)
+    ingest.write(rows, 0, run)
+    return run
 
 
 def watch(spark: SparkSession, table: str, schema, report: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None], checkpoint: str, continuous: bool = False) -> StreamingQuery:

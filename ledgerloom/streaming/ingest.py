@@ -1,73 +1,169 @@
 """Ingestion of messages with Structured Streaming.
 
-The checkpoint keeps the offset; each micro-batch is sanitised, normalised, parsed, freed of what is
-already there, and appended. A replayed batch writes nothing twice: it goes to a folder of its own
-number, and content hashes and provider ids are checked against the history. Rows that cannot be
-read go to a folder of their own; they hold up no other row.
+The checkpoint keeps the offset. Each micro-batch is sanitised, normalised, parsed, freed of what is
+already there, compared with earlier transactions, categorised and appended. A message and its
+transaction are one row of one table, written by one commit of the batch, so neither is there without
+the other. A batch has a folder of its own, named by the query and the batch: a query that is started
+again with its checkpoint overwrites what it had begun, and no other query's batch. Content hashes and
+provider ids are checked against all earlier batches, so a replay writes nothing twice.
+
+A row on which something fails holds up no other: it goes to a folder of its own with the kind of error
+and can be tried again. There are no event-time windows: late messages are always accepted.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hashing import content_hmac
 from ..functions.sanitize import sanitize
-from ..functions.text import normalize_message
-from ..operators.duplicates import exact_new
-from ..schema import RAW_MESSAGE
+from ..functions.text import instrument_ref_key, normalize_message
+from ..operators.categorise import categorise
+from ..operators.duplicates import batch_decisions, exact_new, flag_pairs
+from ..operators.lineage import cut
+from ..operators.mutations import flag_duplicates
+from ..schema import RAW_MESSAGE, TRANSACTION, with_defaults
 from ..sources.messages import high_water_mark
-from ..sources.rule_pack import RulePack, parse_messages, partial_json
-
-OUTCOMES = ("parsed", "unparsed", "ignored", "not_financial", "duplicate")
+from ..sources.rule_pack import RulePack, bank_of, parse_messages, partial_json, redactions
+
+#: What becomes of a message; every examined one has exactly one of these.
+OUTCOMES = ("transaction", "flagged", "duplicate", "review", "ignored", "not_financial", "failed")
+MESSAGE = "sms_provider_id bigint, address string, received_at timestamp, sanitized_body string, content_hmac string, bank_id string, classification string, dismissed_as_not_transaction boolean, pan_redacted boolean, unparsed_reason string, rule_id string, partial_extraction string"
+ROW = f"{MESSAGE}, transaction struct<{TRANSACTION.simpleString().removeprefix('struct<')}"
+DEAD = "provider_id bigint, address string, body string, received_at timestamp, error string"
+
+
+def _transaction() -> Column:
+    """The transaction of a parsed message: its own time, else that of its receipt; amounts of fees and others beside it."""
+    p = lambda k: F.col(f"parsed.{k}")
+    at = F.coalesce(p("occurredAt"), F.col("received_at"))
+    rate = F.expr("try_cast(parsed.exchangeRate AS decimal(18,8))")
+    made = {
+        "id": F.col("provider_id"), "amount": p("amount"), "currency": p("currency"), "direction": p("direction"), "type": p("message_type"), "affects_spend": F.coalesce(p("affects_spend"), F.lit(True)),
+        "is_deleted": F.lit(False), "occurred_at": at, "time_source": F.when(p("occurredAt").isNull(), "received").otherwise("message"),
+        "converted_amount": p("convertedAmount"), "converted_currency": p("convertedCurrency"), "fee_amount": p("fee"), "fee_currency": p("feeCurrency"), "balance_amount": p("remainingBalance"), "balance_currency": p("balanceCurrency"),
+        "fx_rate": rate, "conversion_pending": F.lit(False), "reference": p("referenceNumber"), "masked_ref": p("instrumentRef"), "merchant_text": p("merchant"), "counterparty_name": p("counterpartyName"), "counterparty_bank": p("counterpartyBankName"),
+        "needs_review": F.lit(False), "provenance": F.lit("sms"), "source_message_id": F.col("content_hmac"),
+    }
+    return F.struct(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TRANSACTION))
 
 
 @dataclass(frozen=True)
 class Ingest:
-    """Where the tables are, the pack and the key of the content hash."""
+    """Where the tables are, the pack and the key of the content hash.
+
+    ``redact``: patterns for all messages, beside those of the pack. ``candidates``: the known merchants
+    (see ``matching.merchant_candidates``); without it transactions get no category.
+    """
 
     folder: str
     pack: RulePack
     hmac_key: bytes
     redact: tuple[str, ...] = field(default=())
+    candidates: Callable[[SparkSession], DataFrame] | None = None
 
-    def history(self, spark: SparkSession) -> DataFrame:
+    def _read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         try:
-            return spark.read.parquet(f"{self.folder}/raw_message")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            return spark.read.schema(f"{schema}, run string, batch bigint").parquet(f"{self.folder}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], "content_hmac string, sms_provider_id bigint")
+            return spark.createDataFrame([], f"{schema}, run string, batch bigint")
 
-    def outcomes(self, batch: DataFrame) -> DataFrame:
-        """A batch through sanitising, normalising and parsing, in this order; the hash covers the normalised, sanitised text."""
-        clean = batch.withColumn("__s", sanitize(F.col("body"), self.redact))
-        rows = clean.select(F.col("provider_id").alias("sms_provider_id"), "provider_id", "address", "received_at", normalize_message(F.col("__s.text")).alias("body"), F.col("__s.pan_redacted").alias("pan_redacted"))
-        rows = rows.withColumn("content_hmac", content_hmac(self.hmac_key, F.col("body"), F.col("address")))
-        return parse_messages(rows, self.pack)
+    def ingested(self, spark: SparkSession) -> DataFrame:
+        """Messages, each with its transaction if it has one, and the run and batch that brought it."""
+        return self._read(spark, "ingested", ROW)
+
+    def messages(self, spark: SparkSession) -> DataFrame:
+        return self.ingested(spark).drop("transaction", "run", "batch")
+
+    def transactions(self, spark: SparkSession) -> DataFrame:
+        """The transactions; of a pair of possible duplicates both are flagged."""
+        rows = self.ingested(spark).where("transaction IS NOT NULL").select("transaction.*")
+        pairs = flag_pairs(rows.where("duplicate_of IS NOT NULL").select("id", "duplicate_of")).withColumnRenamed("duplicate_of", "other_id")
+        return flag_duplicates(rows, pairs.join(rows.select("id", F.col("duplicate_of").alias("own")), "id").where("own IS NULL").drop("own"))
 
-    def write(self, batch: DataFrame, batch_id: int) -> None:
+    def dead_letters(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark, "dead_letter", DEAD)
+
+    def counters(self, spark: SparkSession) -> DataFrame:
+        """(outcome, n) over all batches; the numbers add up to the messages examined."""
+        return self._read(spark, "counters", "outcome string, n bigint").groupBy("outcome").agg(F.sum("n").alias("n"))
+
+    def outcomes(self, batch: DataFrame) -> DataFrame:
+        """A batch through sanitising, normalising and parsing, in this order; the hash covers the normalised, sanitised text.
+
+        An amount that is missing or negative is no transaction: the message goes to the review queue.
+        """
+        clean = batch.withColumn("__s", sanitize(F.col("body"), self.redact, bank_of(self.pack, F.col("address")), redactions(self.pack)))
+        rows = clean.select("provider_id", "address", "received_at", normalize_message(F.col("__s.text")).alias("body"), F.col("__s.pan_redacted").alias("pan_redacted"), F.col("__s.error").alias("error"))
+        parsed = parse_messages(rows.withColumn("content_hmac", content_hmac(self.hmac_key, F.col("body"), F.col("address"))), self.pack)
+        bad = (F.col("parsed.outcome") == "parsed") & ~F.coalesce(F.col("parsed.amount") >= 0, F.lit(False))
+        p = F.col("parsed").withField("outcome", F.lit("unparsed")).withField("reason", F.lit("required_field_missing"))
+        return parsed.withColumn("parsed", F.when(bad, p.withField("amount", F.lit(None).cast("decimal(20,4)"))).otherwise(F.col("parsed")))
+
+    def process(self, batch: DataFrame, earlier: DataFrame) -> DataFrame:
+        """One row for each message of the batch: (provider_id, outcome, error, the columns of a message, transaction).
+
+        ``earlier`` has what was ingested before. Messages of other senders are neither compared nor kept.
+        """
         spark = batch.sparkSession
-        path = f"{self.folder}/{{}}/batch={batch_id}"
-        rows = self.outcomes(batch.where("provider_id IS NOT NULL"))
-        # an earlier try of this batch is overwritten, so it is no history; its partition is not read
-        history = self.history(spark)
-        if "batch" in history.columns:
-            history = history.where(F.col("batch") != batch_id)
-        fresh = exact_new(rows, history)
-        raw = fresh.select("sms_provider_id", "address", "received_at", F.when(F.col("parsed.outcome").isin("parsed", "unparsed"), F.col("body")).alias("sanitized_body"), "content_hmac", "bank_id", F.col("parsed.outcome").alias("classification"), "pan_redacted", F.col("parsed.reason").alias("unparsed_reason"), F.col("parsed.rule_id").alias("rule_id"), partial_json().alias("partial_extraction"))
-        raw.write.mode("overwrite").parquet(path.format("raw_message"))
-        p = fresh.where("parsed.outcome = 'parsed'")
-        at = F.coalesce("parsed.occurredAt", "received_at")
-        p.select(
-            F.col("sms_provider_id").alias("id"), F.col("parsed.amount").alias("amount"), F.col("parsed.currency").alias("currency"), F.col("parsed.direction").alias("direction"), F.col("parsed.message_type").alias("type"),
-            F.coalesce("parsed.affects_spend", F.lit(True)).alias("affects_spend"), at.alias("occurred_at"), F.when(F.col("parsed.occurredAt").isNull(), "received").otherwise("message").alias("time_source"),
-            F.col("parsed.merchant").alias("merchant_text"), F.col("parsed.instrumentRef").alias("masked_ref"), F.col("parsed.referenceNumber").alias("reference"), "bank_id", F.lit(False).alias("is_deleted"),
-        ).write.mode("overwrite").parquet(path.format("transactions"))
-        batch.where("provider_id IS NULL").write.mode("overwrite").parquet(path.format("dead_letter"))
+        rows = cut(self.outcomes(batch).withColumn("sms_provider_id", F.col("provider_id")).withColumn("error", F.when(F.col("provider_id").isNull(), "no_provider_id").otherwise(F.col("error"))).withColumn("__row", F.monotonically_increasing_id()))
+        relevant = rows.where("error IS NULL AND parsed.outcome <> 'not_financial'")
+        fresh = cut(exact_new(relevant, earlier.select("content_hmac", "sms_provider_id")))
+        parsed = fresh.where("parsed.outcome = 'parsed'")
+        new = cut(with_defaults(parsed.select("__row", _transaction().alias("t")).select("__row", "t.*")))
+        before = earlier.where("transaction IS NOT NULL").select("transaction.*")
+        decided = batch_decisions(new.drop("__row"), before)
+        transactions = flag_duplicates(new.drop("__row"), decided.select("id", F.col("duplicate_of").alias("other_id")))
+        if self.candidates is not None:
+            transactions = categorise(transactions, self.candidates(spark))
+        held = transactions.select(F.col("id").alias("provider_id"), F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TRANSACTION)).alias("transaction"))
+        made = new.select("__row", F.col("id").alias("provider_id")).join(held, "provider_id").select("__row", "transaction")
+        joined = rows.join(fresh.select("__row", F.lit(True).alias("__new")), "__row", "left").join(made, "__row", "left")
+        kind = F.col("parsed.outcome")
+        outcome = (
+            F.when(F.col("error").isNotNull(), "failed")
+            .when(kind == "not_financial", "not_financial")
+            .when(F.col("__new").isNull(), "duplicate")
+            .when(kind == "ignored", "ignored")
+            .when(kind == "unparsed", "review")
+            .when(F.col("transaction.duplicate_of").isNotNull(), "flagged")
+            .otherwise("transaction")
+        )
+        return joined.select(
+            "provider_id", outcome.alias("outcome"), "error", "sms_provider_id", "address", "received_at", F.when(kind.isin("parsed", "unparsed"), F.col("body")).alias("sanitized_body"), "content_hmac", "bank_id",
+            F.when(kind.isin("parsed", "unparsed"), F.concat(F.lit("financial_"), kind)).otherwise(kind).alias("classification"), F.lit(False).alias("dismissed_as_not_transaction"), "pan_redacted", F.col("parsed.reason").alias("unparsed_reason"), F.col("parsed.rule_id").alias("rule_id"), partial_json().alias("partial_extraction"), "transaction",
+        )
+
+    def write(self, batch: DataFrame, batch_id: int, run: str) -> None:
+        """Ingests a batch into the folder of (run, batch_id), over what an earlier try has left there."""
+        spark = batch.sparkSession
+        into = f"run={run}/batch={batch_id}"
+        earlier = self.ingested(spark).where((F.col("run") != run) | (F.col("batch") != batch_id))
+        done = cut(self.process(batch, earlier))
+        new = done.where("outcome NOT IN ('failed', 'not_financial', 'duplicate')")
+        new.select(*(f.split(" ")[0] for f in MESSAGE.split(", ")), "transaction").write.mode("overwrite").parquet(f"{self.folder}/ingested/{into}")
+        bad = done.where("outcome = 'failed'").select("provider_id", "error").distinct()
+        dead = batch.join(bad.withColumnRenamed("provider_id", "__id"), F.expr("provider_id <=> __id")).drop("__id")
+        dead.select("provider_id", "address", "body", "received_at", "error").write.mode("overwrite").parquet(f"{self.folder}/dead_letter/{into}")
+        done.groupBy("outcome").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/counters/{into}")
+
+    def retry(self, spark: SparkSession) -> None:
+        """Tries the failed messages that have an id once more, for instance with a mended pack."""
+        waiting = self.dead_letters(spark).where("provider_id IS NOT NULL").select(*RAW_MESSAGE.names)
+        self.write(cut(waiting), 0, f"retry-{uuid.uuid4().hex}")
+
+    def sink(self, batch: DataFrame, batch_id: int) -> None:
+        """For ``foreachBatch``: the run is the query's id, which its checkpoint keeps."""
+        self.write(batch, batch_id, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
 
 
 def first_cursor(spark: SparkSession, source: str) -> int:
@@ -83,12 +179,5 @@ def start(spark: SparkSession, source: str, ingest: Ingest, checkpoint: str, fil
     stream = spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     if after_id is not None:
         stream = stream.where(F.col("provider_id").isNull() | (F.col("provider_id") > after_id))
-    writer = stream.writeStream.foreachBatch(ingest.write).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(ingest.sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime="15 minutes") if continuous else writer.trigger(availableNow=True)).start()
-
-
-def run_counters(outcomes: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(outcome, n): every examined row has exactly one outcome; duplicates are what ``fresh`` lacks."""
-    seen = outcomes.join(fresh.select("provider_id").withColumn("__new", F.lit(True)), "provider_id", "left")
-    kind = F.when(F.col("__new").isNull(), "duplicate").otherwise(F.col("parsed.outcome"))
-    return seen.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))

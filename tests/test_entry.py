@@ -1,4 +1,3 @@
-import json
 from datetime import datetime
 
 import pytest
@@ -7,11 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 from ledgerloom.operators import entry, filters, lineage, mutations
-from ledgerloom.schema import RAW_MESSAGE
-from ledgerloom.sources import rule_pack
-from ledgerloom.streaming import backfill, ingest
 
-from .test_changes import FULL, PACK
 from .test_ledger import frame, tx
 
 AT = datetime(2026, 7, 30, 9)
@@ -85,31 +80,3 @@ def test_review_cutoff_is_exclusive(spark):
     assert [r["id"] for r in filters.review_before(rows, AT).collect()] == [2]
     kept, gone = mutations.discard_review(rows, AT)
     assert ([r["id"] for r in kept.collect()], gone.first()["discarded"]) == ([1], 1)
-
-
-def test_import_rescan_and_live_query(spark, tmp_path):
-    old = [(1, "SYNTH", FULL, datetime(2026, 6, 1)), (2, "SYNTH", FULL.replace("152.75", "10.00"), datetime(2026, 7, 2))]
-    new = [(3, "SYNTH", FULL.replace("152.75", "20.00"), datetime(2026, 7, 30)), (4, "OTHER", "hello", datetime(2026, 7, 30))]
-    source = f"{tmp_path}/in"
-    spark.createDataFrame(old, RAW_MESSAGE).write.parquet(source)
-    job = ingest.Ingest(f"{tmp_path}/out", rule_pack.load_pack(json.dumps(PACK)), b"k")
-    cursor = ingest.first_cursor(spark, source)
-    assert cursor == 2
-    spark.createDataFrame(new, RAW_MESSAGE).write.mode("append").parquet(source)
-    ingest.start(spark, source, job, f"{tmp_path}/a", after_id=cursor).awaitTermination()
-    ids = lambda: sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out/transactions").collect())
-    assert ids() == [3]  # a first run reads nothing that was there before
-    q = backfill.start_import(spark, source, job, f"{tmp_path}/b", datetime(2026, 7, 1))
-    q.awaitTermination()
-    assert ids() == [2, 3]
-    assert (backfill.import_state(q), backfill.import_state(None)) == ("completed", "idle")
-    messages = spark.read.schema(RAW_MESSAGE).parquet(source)
-    backfill.rescan(messages, job, datetime(2026, 1, 1), run=-100, bank="no such bank")
-    assert ids() == [2, 3]
-    backfill.rescan(messages, job, datetime(2026, 1, 1), run=-101, bank="synthbank")
-    backfill.rescan(messages, job, datetime(2026, 1, 1), run=-102)
-    assert ids() == [1, 2, 3]
-    seen = []
-    schema = spark.read.parquet(f"{tmp_path}/out/transactions").drop("batch").schema
-    backfill.watch(spark, f"{tmp_path}/out/transactions", schema, lambda t: t.agg(F.count("*").alias("n")), lambda df, _: seen.append(df.first()["n"]), f"{tmp_path}/c").awaitTermination()
-    assert seen == [3]

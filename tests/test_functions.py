@@ -124,5 +124,27 @@ def test_sanitize_finds_keywords_with_marks_inside(spark):
     words = ["رمز", "الرقم السري", "OTP", "PIN", "Verification code"]
     raws = [f"{w[:i]}{m}{w[i:]} 4821" for w in words for m in marks for i in (1, 2)] + ["PıN 4821", "acceſs code 4821", "رَمْز 4821", "O\u200cT\u200cP 4821", "no secret 4821"]
     got = spark.createDataFrame([(t,) for t in raws], "raw string").select("raw", sanitize.sanitize(F.col("raw")).alias("s")).collect()
-    assert {r["raw"]: tuple(r["s"]) for r in got} == {t: sanitize.sanitize_text(t) for t in raws}
+    assert {r["raw"]: tuple(r["s"])[:2] for r in got} == {t: sanitize.sanitize_text(t) for t in raws}
     assert sum("4821" in r["s"]["text"] for r in got) == 1
+
+
+def test_trailing_numbers_go(spark):
+    cases = {"EXTRA MART No. 0042": "EXTRA MART", "Shop-#12 ": "Shop", "Casino 12": "Casi", "A 1": "A 1", "Kiosk": "Kiosk", "A1 23": "A1", "77": "", "X, _ 55\n": "X"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.apply_transforms(F.col("t"), ["stripTrailingRef"]).alias("x"))
+    assert {r["t"]: r["x"] for r in rows.collect()} == cases
+
+
+def test_redaction_gate_is_linear(spark):
+    import time
+
+    long = "1 ب " * 12 + "ب" * 200_000 + " 2 " * 12 + "x"
+    rows = spark.createDataFrame([(long,)], "t string")
+    began = time.time()
+    rows.select(sanitize.sanitize(F.col("t")).alias("s")).collect()
+    assert time.time() - began < 10
+
+
+def test_patterns_of_a_bank(spark):
+    rows = spark.createDataFrame([("a", "member M55 and M6"), ("b", "member M55"), (None, "member M55"), ("a", None)], "bank string, t string")
+    got = [r["s"]["text"] for r in rows.select(sanitize.sanitize(F.col("t"), bank=F.col("bank"), by_bank={"a": ("member (?P<secret>M[0-9]+)",)}).alias("s")).collect()]
+    assert got == ["member [REDACTED] and M6", "member M55", "member M55", None]

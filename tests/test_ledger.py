@@ -116,6 +116,50 @@ def test_near_matches(spark):
     assert inbox == {1, 2, 3, 4}
 
 
+def nearly(rows, pairs):
+    """Reasons by looking at all pairs of legs."""
+    paired = {x for p in pairs for x in p}
+    live = [r for r in rows if not r["is_deleted"] and r["occurred_at"] and r["id"] not in paired]
+    known = {}
+    for o in (r for r in live if r["type"] == "transfer_out"):
+        for i in (r for r in live if r["type"] == "transfer_in"):
+            if abs(o["occurred_at"] - i["occurred_at"]) > timedelta(hours=24):
+                continue
+            a, b = o.get("instrument_id"), i.get("instrument_id")
+            reason = None
+            if a and b:
+                reason = "cross_currency_near_match" if a != b and o["currency"] != i["currency"] else None
+            elif (a or b) and (o["amount"], o["currency"]) == (i["amount"], i["currency"]):
+                reason = "unresolved_instrument"
+            if reason:
+                known.setdefault(o["id"], []).append((i["id"], reason))
+                known.setdefault(i["id"], []).append((o["id"], reason))
+    return {k: min(v)[1] for k, v in known.items()}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_transfers_of_a_crowded_ledger(spark, seed):
+    rng = random.Random(seed)
+    rows = [
+        tx(n, "10" if rng.random() < 0.7 else "20", rng.choice(["SAR"] * 5 + ["USD", "EUR"]), type=rng.choice(["transfer_out", "transfer_in"]), instrument_id=rng.choice([1, 1, 1, 2, 3, None]), reference=rng.choice([None, None, "a", "b"]), at=START + timedelta(minutes=rng.choice([0, 7, 1440, rng.randint(0, 9000)])))
+        for n in rng.sample(range(1000), 200)
+    ]
+    f = frame(spark, rows)
+    pairs = transfers.pair_transfers(f)
+    wanted = greedy(rows)
+    assert {(r["out_id"], r["in_id"]) for r in pairs.collect()} == wanted
+    assert {r["id"]: r["reason"] for r in transfers.near_matches(f, pairs).collect()} == nearly(rows, wanted)
+
+
+def test_shelf_skips_an_instrument():
+    shelf = transfers.Shelf()
+    for leg, instrument, at in [(5, "a", 1), (3, "a", 2), (9, "b", 2), (4, "c", 0), (1, "a", 5)]:
+        shelf.add(leg, instrument, at)
+    assert [shelf.smallest(x, 1) for x in ("a", "b", "c")] == [9, 1, 1]
+    shelf.take(1)
+    assert [shelf.smallest(x, 2) for x in ("a", "b")] == [9, 3]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_parts_add_up(spark, seed):
     rng = random.Random(seed)
