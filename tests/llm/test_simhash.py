@@ -46,7 +46,38 @@ def test_every_close_pair_shares_a_cell(n):
         b = a
         for bit in rng.sample(range(64), 4):
             b ^= 1 << bit
-        assert any(a & m == b & m for m in masks)
+        x, y = (int(v) for v in simhash._counts(np.array([a, b], np.uint64)))
+        assert (x ^ y).bit_count() <= 4
+        assert any(x & m == y & m for m in masks)
+
+
+def test_vectors_are_the_counts_of_segments(spark):
+    rng = random.Random(8)
+    prints = [0, (1 << 64) - 1, *(rng.getrandbits(64) for _ in range(50))]
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
+    rows = spark.createDataFrame([(p,) for p in signed], "fp bigint").select("fp", simhash.counts(F.col("fp")).alias("v")).collect()
+    assert {r["fp"]: r["v"] for r in rows} == dict(zip(signed, simhash._counts(np.array(prints, np.uint64)).view(np.int64).tolist(), strict=True))
+    plain = lambda p: [(p >> 2 * i & 3).bit_count() for i in range(32)]
+    for a, b in zip(prints, prints[1:], strict=False):
+        x, y = (int(v) for v in simhash._counts(np.array([a, b], np.uint64)))
+        assert (x ^ y).bit_count() == sum(abs(m - n) for m, n in zip(plain(a), plain(b), strict=True)) <= (a ^ b).bit_count()
+
+
+@pytest.mark.parametrize("n", [2, 90, 1500])
+def test_cells_connect_as_all_pairs_do(n):
+    rng = random.Random(n)
+    prints = {rng.getrandbits(64)}
+    while len(prints) < n:
+        p = rng.choice(sorted(prints)) if rng.random() < 0.8 else rng.getrandbits(64)
+        for bit in rng.sample(range(64), rng.randint(1, 6)):
+            p ^= 1 << bit
+        prints.add(p)
+    prints = sorted(prints)
+    label = simhash.join_cell(np.array(prints, np.uint64))
+    wanted = linked(dict(enumerate(prints)))
+    same = lambda g: {frozenset(i for i in range(n) if g[i] == k) for k in {g[i] for i in range(n)}}
+    roots = {i: int(label[label[i]]) for i in range(n)}
+    assert same(roots) == same(wanted)
 
 
 def test_blocks_of_large_cells_lose_no_link(spark):
@@ -59,11 +90,14 @@ def test_blocks_of_large_cells_lose_no_link(spark):
             p ^= 1 << bit
         prints.add(p)
     prints = sorted(prints)
-    rows = [(p - (1 << 64) if p >= 1 << 63 else p, i) for i, p in enumerate(prints)]
-    edges = simhash.links(spark.createDataFrame(rows, "fp bigint, node bigint"), cell_rows=40)
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp bigint"), cell_rows=40)
     found = {r["node"]: r["component"] for r in graph.components(edges).collect()}
-    wanted = linked(dict(enumerate(prints)))
-    assert {i: found.get(i, i) for i in wanted} == wanted
+    groups, wanted = {}, {}
+    for i, low in linked(dict(enumerate(prints))).items():
+        groups.setdefault(found.get(signed[i], signed[i]), set()).add(i)
+        wanted.setdefault(low, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
 def test_ids_null_and_repeated_and_extra_columns(spark):
@@ -76,6 +110,17 @@ def test_ids_null_and_repeated_and_extra_columns(spark):
     assert sorted((str(r["doc_id"]) for r in kept.collect())) == ["8", "9", "None"]
 
 
+def test_rows_that_share_an_id(spark):
+    one, other = "a b c d e f g h", "quite another text of eight words it is"
+    rows = docs(spark, [(1, one), (1, other), (2, other), (None, one), (3, "third one here is alone too"), (None, "no id, a b"), (None, "no id, a b")])
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(rows).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (None, 1), (3, 3), (None, None), (None, None)], key=str)
+    clash = rows.withColumn("__id", F.lit(1)).withColumn("__hash", F.lit("h")).withColumn("first", F.lit(2)).withColumn("row", F.lit(3))
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns
+    assert sorted(((r["doc_id"], r["text"], r["__hash"]) for r in kept.collect()), key=str) == sorted([(1, one, "h"), (1, other, "h"), (3, "third one here is alone too", "h"), (None, "no id, a b", "h")], key=str)
+
+
 def test_empty_table(spark):
     none = docs(spark, [(1, "x")]).where("false")
     assert simhash.near_duplicates(none).count() == 0
@@ -103,8 +148,8 @@ def test_near_copies_of_one_text_are_not_compared_with_each_other(spark):
     for bit in range(7):
         far ^= 1 << bit
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in [*sorted(prints), far]]
-    rows = spark.createDataFrame([(0, 0, 501, p, i) for i, p in enumerate(signed)], "layer int, cell bigint, count bigint, fp bigint, node bigint")
+    rows = spark.createDataFrame([(0, 0, 501, p) for p in signed], "layer int, cell bigint, count bigint, fp bigint")
     direct, pairs = simhash._large_cells(rows, 100)
     assert direct.count() == 500
-    assert pairs.where("block = 1").select("node").distinct().count() == 1
+    assert pairs.where("block = 1").select("fp").distinct().count() == 1
     assert pairs.where("block = 0").count() == 501
