@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,11 @@ from .decontam import contamination, proximity
 from .mixing import copies
 from .pii import personal_data, spans_text
 from .quality import quality_scores
-from .shared import table
+from .shared import shared_dir, table
 from .simhash import fingerprint_hex, near_duplicates
 from .toxicity import toxicity_scores
 from .url_lists import filter_captures, host_of
-from .warc import read_pages, write_archive
+from .warc import forget, read_pages, write_archive, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,8 +58,11 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = write_archive(table(spark, sf_dir, "pages"))
-    return read_pages(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    archive = write_archive(table(spark, sf_dir, "pages"), folder)
+    write_warc(spark, archive, f"{folder}/files")
+    forget(spark, archive)
+    return read_pages(spark, f"{folder}/files")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

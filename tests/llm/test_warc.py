@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -30,48 +31,92 @@ def wanted(rows):
     return {i: (len((h or "").encode()), digest(h), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in rows}
 
 
-def test_pages_read_back(spark):
+def read(spark, tmp_path, rows, **options):
+    df = rows if not isinstance(rows, list) else spark.createDataFrame(rows, PAGES)
+    archive = warc.write_archive(df, **options)
+    folder = f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}"
+    warc.write_warc(spark, archive, folder)
+    warc.forget(spark, archive)
+    return archive, folder, warc.read_pages(spark, folder)
+
+
+def test_pages_read_back(spark, tmp_path):
     df = spark.createDataFrame(ROWS, PAGES).withColumn("payload", F.lit("x")).withColumn("address", F.lit(1))
-    archive = warc.write_archive(df)
-    assert {r[0]: tuple(r)[1:] for r in warc.read_pages(spark, archive).collect()} == wanted(ROWS)
+    archive, _, pages = read(spark, tmp_path, df)
+    assert {r[0]: tuple(r)[1:] for r in pages.collect()} == wanted(ROWS)
     assert warc.read_payloads(spark, archive).count() == len({h or "" for _, _, h in ROWS})
 
 
 def test_records_are_reconstructed_byte_for_byte(spark, tmp_path):
-    archive = warc.write_archive(spark.createDataFrame(ROWS, PAGES))
+    archive, folder, _ = read(spark, tmp_path, ROWS)
     records = {r["page_id"]: r for r in warc.warc_records(spark, archive).collect()}
     html = {i: (h or "").encode() for i, _, h in ROWS}
-    for i, (_, said, kind, _) in wanted(ROWS).items():
-        head, _, block = bytes(records[i]["record"]).partition(b"\r\n\r\n")
+    for i, (_, said, kind, first) in wanted(ROWS).items():
+        head, _, block = records[i]["header"].encode().partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         assert head.startswith(b"WARC/1.1\r\n")
         assert (fields["WARC-Type"], fields["WARC-Payload-Digest"]) == (kind, f"sha1:{said}")
-        assert int(fields["Content-Length"]) == len(block) - 4
-        assert block.endswith(b"\r\n\r\n")
-        assert block.partition(b"\r\n\r\n")[2][:-4] == (html[i] if kind == "response" else b"")
-        assert bytes(records[i]["payload"]) == html[i]
-    folder = f"file://{tmp_path}/warc"
-    warc.write_warc(spark, archive, folder)
+        assert (warc.page_of(fields["WARC-Record-ID"]), warc.page_of(fields.get("WARC-Refers-To"))) == (i, first)
+        payload = bytes(records[i]["payload"])
+        assert int(fields["Content-Length"]) == len(block) + len(payload)
+        assert payload == (html[i] if kind == "response" else b"")
     files = warc.read_warc(spark, folder).collect()
     assert sorted(r["payload_digest"] for r in files) == sorted(v[1] for v in wanted(ROWS).values())
     assert sorted(bytes(r["payload"]) for r in files if r["record_type"] == "response") == sorted(set(html.values()))
 
 
+def test_payloads_are_dealt_once(spark):
+    archive = warc.write_archive(spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('page ', id % 900), 200) AS html"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.warc_records(spark, archive)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = plan[plan.index("SortMergeJoin") :]
+    assert joined.count("Exchange hashpartitioning") == 1
+    assert "Bucketed: true" in joined
+
+
 def test_changed_bytes_are_an_error(spark, tmp_path):
     archive = warc.write_archive(spark.createDataFrame(ROWS, PAGES))
     bad = f"file://{tmp_path}/payloads"
     spark.read.parquet(archive.payloads).withColumn("payload", F.when(F.octet_length("payload") > 9, F.encode(F.lit("tampered"), "UTF-8")).otherwise(F.col("payload"))).write.parquet(bad)
     with pytest.raises(PySparkException, match="does not match its digest"):
-        warc.read_pages(spark, warc.Archive(archive.headers, bad)).collect()
+        warc.warc_records(spark, warc.Archive(archive.headers, bad)).collect()
+
+
+@pytest.mark.parametrize("change", [(b"<p>", b"<q>"), (b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: sha1:X"), (b"Content-Length: 13\r\n\r\n<p>", b"Content-Length: 12\r\n\r\n<p>")])
+def test_a_corrupt_record_is_an_error(spark, tmp_path, change):
+    archive = warc.write_archive(spark.createDataFrame(ROWS[:1], PAGES))
+    warc.write_warc(spark, archive, f"file://{tmp_path}/a", compression="none")
+    (tmp_path / "b").mkdir()
+    for f in (tmp_path / "a").glob("part-*"):
+        (tmp_path / "b" / f.name).write_bytes(f.read_bytes().replace(*change))
+    with pytest.raises(PySparkException):
+        warc.read_pages(spark, f"file://{tmp_path}/b").collect()
+
+
+def test_parse_of_streams():
+    record = b"WARC/1.1\r\nContent-Length: 24\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabcde\r\n\r\n"
+    whole = gzip.compress(record) + gzip.compress(record * 3)
+    assert [p for _, _, p in warc._parse(warc._chunks(whole))] == [b"abcde"] * 4
+    assert [p for _, _, p in warc._parse(iter([record[:9], record[9:30], record[30:] + record]))] == [b"abcde"] * 2
+    assert list(warc._parse(iter([]))) == []
+    with pytest.raises(ValueError, match="truncated"):
+        list(warc._parse(iter([record[:-9]])))
+
+
+@pytest.mark.parametrize("n", [0, 1, -1, (1 << 63) - 1, -(1 << 63)])
+def test_ids_of_records(spark, n):
+    assert warc.page_of(spark.range(1).select(warc._record_id(F.lit(n).cast("long")).alias("x")).first()["x"]) == n
 
 
-def test_null_ids_repeats_small_and_empty(spark):
+def test_null_ids_repeats_small_and_empty(spark, tmp_path):
     rows = [(None, "u", "same"), (4, "u", "same"), (4, "u", "same"), (6, "u", "tiny")]
-    got = sorted(map(tuple, warc.read_pages(spark, warc.write_archive(spark.createDataFrame(rows, PAGES))).select("page_id", "record_type", "refers_to").collect()), key=str)
+    got = sorted(map(tuple, read(spark, tmp_path, rows)[2].select("page_id", "record_type", "refers_to").collect()), key=str)
     assert got == sorted([(None, "revisit", 4), (4, "response", None), (4, "response", None), (6, "response", None)], key=str)
-    all_kept = warc.read_pages(spark, warc.write_archive(spark.createDataFrame(rows, PAGES), min_bytes=100))
+    all_kept = read(spark, tmp_path, rows, min_bytes=100)[2]
     assert {r["record_type"] for r in all_kept.collect()} == {"response"}
-    only_null = warc.write_archive(spark.createDataFrame([(None, "u", "x"), (None, "u", "x")], PAGES))
-    assert [r["record_type"] for r in warc.read_pages(spark, only_null).collect()] == ["response", "response"]
-    none = warc.write_archive(spark.createDataFrame([], PAGES))
-    assert warc.read_pages(spark, none).count() == 0
+    only_null = read(spark, tmp_path, [(None, "u", "x"), (None, "u", "x")])[2]
+    assert [r["record_type"] for r in only_null.collect()] == ["response", "response"]
+    assert read(spark, tmp_path, [])[2].count() == 0
