@@ -5,24 +5,29 @@ fractional parts are rounded by the pivotal method (Deville & Tille 1998) in a f
 document size: two fractions exchange words until one is 0 or 1, in a random direction that keeps
 both expectations, so the words taken from the source never change on the way. Blocks of documents
 are rounded in parallel; each leaves one unsettled document, and these meet in the next level of a
-reduction tree, until each source has one, which is rounded to the nearer whole. Within a block large documents
-meet first, so a small one tends to be left. What rounding the last one adds or takes is handed back
-by documents of that last block that turn from 0 to 1 or from 1 to 0, largest first; a source misses
-its target by at most half a document, and commonly by less than the smallest one of that block.
+reduction tree, until a source has one block left. There the largest unsettled document exchanges with
+all smaller ones together, as with one partner, as long as they have the words to settle it either way,
+else with the next largest; so what is left at the very end is the smallest document, or few could take
+part. It is rounded at random, with its fraction as the chance. Every step keeps every document's
+expectation; a source misses its target by less than the document that is left at the end.
 
 Nulls: a null text has size 0; null sources form one source, ranked last. Documents of size 0 are
 taken 0 times. Repeated rows are separate documents; ties are ordered by hash, id and size, so
-reruns agree. Further columns are ignored. An empty table gives an empty result.
+reruns agree. Further columns are ignored, or kept as they are where documents are returned. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from ..operators.lineage import numbered
+from .shared import cut, shared_dir
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -37,18 +42,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.when(text.isNull(), 0).otherwise(F.size(words)), F.lit(0)).cast("long")
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """Adds ``rank``, the place by source (null last), without bringing all sources to one task."""
-    ordered = cut(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    counts = sorted(ordered.groupBy(part.alias("part")).count().collect())  # one row a partition
-    offset, seen = F.lit(0).cast("long"), 0
-    for row in counts:
-        offset = F.when(part == row["part"], F.lit(seen).cast("long")).otherwise(offset)
-        seen += row["count"]
-    return ordered.withColumn("rank", offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at")
-
-
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = MOST_COPIES) -> DataFrame:
     """(source, source_size, docs, rank, target) from rows with (source, size).
 
@@ -57,7 +50,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("docs"))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = cut(_ranked(sources).withColumn("weight", weight))
+    ranked = cut(numbered(sources, F.col("source").asc_nulls_last(), name="rank").withColumn("rank", F.col("rank") - 1).withColumn("weight", weight))
     most = F.col("source_size") * float(most_copies)
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     level, capped = None, None
@@ -94,38 +87,48 @@ def pivotal(fraction: np.ndarray, size: np.ndarray, chance: np.ndarray) -> tuple
     return np.array(p), held
 
 
-def _settle_last(p: np.ndarray, size: np.ndarray, left: int) -> np.ndarray:
-    """Rounds the one left, and turns others, largest first, as far as that brings the sum nearer to what it was."""
-    p, whole = p.copy(), float(round(p[left]))
-    rest = (p[left] - whole) * size[left]
-    p[left] = whole
-    for i in range(len(p)):
-        if i != left and size[i] <= abs(rest) + 1e-6 and p[i] == (0.0 if rest > 0 else 1.0):
-            p[i] = 1.0 - p[i]
-            rest += size[i] if p[i] == 0.0 else -size[i]
+def settle_all(fraction: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rounds all fractions of documents that are sorted by size, the largest first; their expectations stay."""
+    p = fraction.copy()
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    while len(open_) > 1:
+        k, others = open_[0], open_[1:]
+        words = size[others].sum()
+        gains, loses = (1 - p[k]) * size[k], p[k] * size[k]
+        if p[others].min() * words < gains or (1 - p[others].max()) * words < loses:
+            others = others[:1]
+            words = size[others[0]]
+            gains, loses = min(gains, p[others[0]] * words), min(loses, (1 - p[others[0]]) * words)
+        moved = gains if rng.random() * (gains + loses) < loses else -loses
+        p[k] += moved / size[k]
+        p[others] -= moved / words
+        p[np.abs(p) < 1e-9] = 0.0
+        p[np.abs(p - 1) < 1e-9] = 1.0
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+    if len(open_):
+        p[open_] = float(rng.random() < p[open_[0]])
     return p
 
 
-_ROWS = "doc_id long, rank long, size long, base long, fraction double, copies long"
+_ROWS = "row long, doc_id long, hash long, rank long, size long, base long, fraction double, copies long"
 
 
 def _round_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     level, rank, block = (int(x) for x in key[:3])
-    pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["size", "order", "doc_id", "hash"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     rng = np.random.default_rng([level, rank, block])
-    p, left = pivotal(pdf["fraction"].to_numpy(), pdf["size"].to_numpy(float), rng.random(len(pdf)))
-    if left >= 0 and bool(key[3]):
-        p = _settle_last(p, pdf["size"].to_numpy(float), left)
-        left = -1
+    size = pdf["size"].to_numpy(float)
+    fraction = pdf["fraction"].to_numpy()
+    p, left = (settle_all(fraction, size, rng), -1) if key[3] else pivotal(fraction, size, rng.random(len(pdf)))
     copies = pd.Series(np.rint(p).astype(np.int64) + pdf["base"].to_numpy(), dtype="Int64")
     if left >= 0:
         copies[left] = pd.NA
-    return pdf[["doc_id", "rank", "size", "base"]].assign(fraction=p, copies=copies)
+    return pdf[["row", "doc_id", "hash", "rank", "size", "base"]].assign(fraction=p, copies=copies)
 
 
 def _round_level(rows: DataFrame, level: int, block_rows: int) -> tuple[DataFrame, DataFrame, int]:
     """Rounds in blocks: (settled rows, one unsettled row a block, how many unsettled)."""
-    order = F.xxhash64(F.lit(level), "doc_id", "size")
+    order = F.xxhash64(F.lit(level), "doc_id", "size", "hash")
     blocks = F.greatest(F.ceil(F.col("n") / float(block_rows)), F.lit(1))
     dealt = rows.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64(F.col("order")), blocks)).withColumn("level", F.lit(level)).withColumn("last", blocks == 1)
     done = cut(dealt.groupBy("level", "rank", "block", "last").applyInPandas(_round_block, _ROWS))
@@ -133,9 +136,14 @@ def _round_level(rows: DataFrame, level: int, block_rows: int) -> tuple[DataFram
     return done.where(F.col("copies").isNotNull()), open_, open_.count()
 
 
-def copies(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = MOST_COPIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``documents``."""
-    sized = cut(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+def _sized() -> list[Column]:
+    """What the mix needs of a document: a number of its row, id, a hash of the text, source and size."""
+    hashed = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash")
+    return [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), hashed, F.col("source"), word_count(F.col("text")).alias("size")]
+
+
+def _copies(sized: DataFrame, weights: tuple[float, ...], most_copies: int, block_rows: int) -> DataFrame:
+    """(row, doc_id, source, size, source_size, target, copies, taken) for the rows of ``sized``."""
     targets = source_targets(sized, weights, most_copies)
     if targets.count() <= MAX_BROADCAST_SOURCES:
         targets = F.broadcast(targets)
@@ -143,27 +151,34 @@ def copies(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copi
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.abs(share - F.round(share)) < 1e-12
     base = F.when(whole, F.round(share)).otherwise(F.floor(share)).cast("long")
-    ready = rows.select("doc_id", "rank", F.col("docs").alias("n"), "size", base.alias("base"), F.when(whole | (F.col("size") == 0), 0.0).otherwise(share - F.floor(share)).alias("fraction"))
-    fixed = ready.where(F.col("fraction") == 0).select("doc_id", "rank", "size", F.col("base").alias("copies"))
+    ready = rows.select("row", "doc_id", "hash", "rank", F.col("docs").alias("n"), "size", base.alias("base"), F.when(whole | (F.col("size") == 0), 0.0).otherwise(share - F.floor(share)).alias("fraction"))
+    fixed = ready.where(F.col("fraction") == 0).select("row", "doc_id", "rank", "size", F.col("base").alias("copies"))
     settled, unsettled, left = _round_level(ready.where(F.col("fraction") > 0), 0, block_rows)
-    out, level = fixed.unionByName(settled.select("doc_id", "rank", "size", "copies")), 0
+    out, level = fixed.unionByName(settled.select("row", "doc_id", "rank", "size", "copies")), 0
     while left:
         level += 1
         n = unsettled.groupBy("rank").agg(F.count("*").alias("n"))
         settled, unsettled, left = _round_level(unsettled.drop("copies").join(n, "rank"), level, block_rows)
-        out = out.unionByName(settled.select("doc_id", "rank", "size", "copies"))
-    return out.join(targets, "rank").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        out = out.unionByName(settled.select("row", "doc_id", "rank", "size", "copies"))
+    return out.join(targets, "rank").select("row", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def copies(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = MOST_COPIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``documents``."""
+    return _copies(cut(documents.select(*_sized())), weights, most_copies, block_rows).drop("row")
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_copies: int = MOST_COPIES) -> DataFrame:
     """The documents taken at least once, with all their columns, ``copies`` and ``taken``.
 
-    Rows that share a doc_id are told apart by the order of their sizes and texts.
+    Columns of these two names in ``documents`` are replaced. Rows are numbered when they are written to the
+    shared folder, so rows that share an id, or are equal, are told apart, and are dealt once, by that number.
     """
-    numbered = documents.withColumn("__size", word_count(F.col("text"))).withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("__size", "source", F.xxhash64("text"))))
-    chosen = copies(documents, weights, most_copies).select("doc_id", "source", "size", "copies", "taken")
-    chosen = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source", "copies"))).where(F.col("copies") > 0)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), "__n", F.col("copies").alias("__copies"), F.col("taken").alias("__taken"))
-    joined = numbered.join(chosen.withColumnRenamed("__n", "__m"), F.expr("doc_id <=> __id AND __n = __m"))
-    kept = [c for c in documents.columns if c not in ("copies", "taken")]
-    return joined.select(*kept, F.col("__copies").alias("copies"), F.col("__taken").alias("taken"))
+    spark = documents.sparkSession
+    folder = f"{shared_dir(spark)}/mix-{uuid.uuid4().hex}"
+    kept = [c for c in documents.columns if c.lower() not in ("copies", "taken")]
+    doc = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc")
+    documents.select(doc, *_sized()).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    chosen = _copies(cut(stored.drop("doc")), weights, most_copies, BLOCK_ROWS).where("copies > 0").select("row", "copies", "taken")
+    return stored.select("row", "doc").join(chosen, "row").select("doc.*", "copies", "taken")

@@ -76,7 +76,7 @@ def test_mixing_comes_near_the_targets(steps):
         taken[r["source"]] += r["taken"]
     largest = max(size(r["text"]) for r in before.values())
     for source, wanted in targets(has).items():
-        assert abs(taken[source] - wanted) <= largest / 2 + 1
+        assert abs(taken[source] - wanted) <= largest + 1
 
 
 def test_run_gives_the_same_rows(spark, steps):

@@ -76,7 +76,7 @@ def test_op6(spark, documents):
         has[source] += size(t)
         taken[source] += got[i]["taken"]
     for source, wanted in targets(has).items():
-        assert abs(taken[source] - wanted) <= largest[source] / 2
+        assert abs(taken[source] - wanted) <= largest[source]
 
 
 def test_op7(spark, documents):
