@@ -14,10 +14,13 @@ Everything is DataFrame operations. Words are compared as text; hashes only spee
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, lower_ascii
+from ..operators.lineage import unused
+from .shared import cut, lower_ascii, shared_dir
 
 #: What separates words, after lower-casing A-Z: everything but 0-9, a-z and non-ASCII characters.
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,7 +42,15 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 
 def document_words(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("text_hash"), words_of(F.col("text")).alias("words"))
+    """(doc_id, text_hash, words) of every row, written once to the shared folder: all steps read the words from there.
+
+    Texts are split into words once; reading words back costs less than splitting again.
+    """
+    spark = documents.sparkSession
+    folder = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    rows = documents.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("text_hash"), words_of(F.col("text")).alias("words"))
+    rows.write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def item_terms(benchmark: DataFrame) -> DataFrame:
@@ -60,17 +71,17 @@ def _around(reach: int) -> list[Column]:
     return [before, after]
 
 
-def term_frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
+def term_frequencies(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, frequency): how often each test term occurs in the whole corpus."""
     keys = _small(terms.select("key").distinct(), MAX_BROADCAST_TERMS)
-    seen = document_words(documents).select(F.explode("words").alias("term")).select(F.xxhash64("term").alias("key")).join(keys, "key")
+    seen = words.select(F.explode("words").alias("term")).select(F.xxhash64("term").alias("key")).join(keys, "key")
     return seen.groupBy("key").agg(F.count("*").alias("frequency"))
 
 
-def anchors(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def anchors(words: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The places in test items that are the rarest term of some window; ties go to the leftmost."""
     terms = cut(item_terms(benchmark))
-    rated = terms.join(term_frequencies(documents, terms), "key", "left").withColumn("rarity", F.struct(F.coalesce("frequency", F.lit(0)).alias("f"), F.col("position").alias("p")))
+    rated = terms.join(term_frequencies(words, terms), "key", "left").withColumn("rarity", F.struct(F.coalesce("frequency", F.lit(0)).alias("f"), F.col("position").alias("p")))
     ahead = Window.partitionBy("item_id", "copy").orderBy("position").rowsBetween(0, window - 1)
     whole = F.col("position") <= F.greatest(F.col("n") - window, F.lit(0))
     best = rated.withColumn("best", F.min("rarity").over(ahead)).where(whole).select("item_id", "copy", F.col("best.p").alias("position"), F.col("best.f").alias("frequency")).distinct()
@@ -88,14 +99,14 @@ def _agree(mine: str, other: str) -> Column:
     return run
 
 
-def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Exact phrase matches: (doc_id, text_hash, item_id, first, last), word positions of the document.
+def matches(words: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Exact phrase matches in ``document_words``: (doc_id, text_hash, item_id, first, last), word positions of the document.
 
     A match is a stretch of words that equals a stretch of the item, has the item's rarest term of
     some window in it, and is at least as long as a window (or as the whole item, if shorter).
     """
-    wanted = anchors(documents, benchmark).select("key", "item_id", "n", F.col("term").alias("item_term"), F.col("position").alias("item_position"), F.col("before").alias("item_before"), F.col("after").alias("item_after"))
-    index = cut(postings(documents, wanted, WINDOW - 1))
+    wanted = anchors(words, benchmark).select("key", "item_id", "n", F.col("term").alias("item_term"), F.col("position").alias("item_position"), F.col("before").alias("item_before"), F.col("after").alias("item_after"))
+    index = cut(postings(words, wanted, WINDOW - 1))
     wanted = _small(wanted, MAX_BROADCAST_ANCHORS)
     # the nearest neighbours' lists first: every window has the anchor's left or right neighbour
     left = F.get("item_before", F.lit(0)) == F.get("before", F.lit(0))
@@ -107,7 +118,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return spread.where(long_enough).select("doc_id", "text_hash", "item_id", (F.col("position") - F.col("left")).alias("first"), (F.col("position") + F.col("right")).alias("last"))
 
 
-def postings(documents: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+def postings(words: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     """(doc_id, text_hash, key, term, position, before, after): the index of the terms whose keys are in ``wanted``.
 
     A posting carries up to ``reach`` words on each side, never the document, so the index grows
@@ -115,7 +126,6 @@ def postings(documents: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     cut out before the shuffle that drops the other terms.
     """
     keys = wanted.select("key").distinct()
-    words = document_words(documents)
     if keys.count() <= MAX_BROADCAST_TERMS:
         at = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("position", "term")).withColumn("key", F.xxhash64("term"))
         return at.join(F.broadcast(keys), "key", "left_semi").select("doc_id", "text_hash", "key", "term", "position", *_around(reach))
@@ -131,14 +141,14 @@ def postings(documents: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     return at.join(keys, "key", "left_semi")
 
 
-def proximity_anchors(documents: DataFrame, benchmark: DataFrame, min_terms: int, window: int = WINDOW) -> DataFrame:
+def proximity_anchors(words: DataFrame, benchmark: DataFrame, min_terms: int, window: int = WINDOW) -> DataFrame:
     """(key, item_term, item_id, item_words, need): the terms by which a window of an item is looked up.
 
     ``need`` of the d distinct terms of a window must occur, so at most d - need are missing and one
     of any d - need + 1 is there; the rarest are taken. Terms in no document count, but are not looked up.
     """
     terms = cut(item_terms(benchmark))
-    rated = terms.join(term_frequencies(documents, terms), "key", "left").withColumn("rated", F.struct(F.coalesce("frequency", F.lit(0)).alias("f"), "term"))
+    rated = terms.join(term_frequencies(words, terms), "key", "left").withColumn("rated", F.struct(F.coalesce("frequency", F.lit(0)).alias("f"), "term"))
     ahead = Window.partitionBy("item_id", "copy").orderBy("position").rowsBetween(0, window - 1)
     whole = F.col("position") <= F.greatest(F.col("n") - window, F.lit(0))
     windows = rated.withColumn("rated", F.collect_set("rated").over(ahead)).where(whole).select("item_id", F.array_sort("rated").alias("rated"))
@@ -147,16 +157,16 @@ def proximity_anchors(documents: DataFrame, benchmark: DataFrame, min_terms: int
     return cut(chosen.select(F.xxhash64("a.term").alias("key"), F.col("a.term").alias("item_term"), "item_id", "item_words", "need").distinct())
 
 
-def proximity_matches(documents: DataFrame, benchmark: DataFrame, min_terms: int = 8) -> DataFrame:
-    """(doc_id, text_hash, item_id, position, shared): texts that have ``min_terms`` or more of the
+def proximity_matches(words: DataFrame, benchmark: DataFrame, min_terms: int = 8) -> DataFrame:
+    """(doc_id, text_hash, item_id, position, shared): of ``document_words``, texts that have ``min_terms`` or more of the
     distinct words of a window of an item, in any order, within STRETCH consecutive words.
 
     One row a text and item: the most words any window shares with any stretch, and where the first
     such stretch begins. A window of fewer distinct words needs all of them. The terms that windows
     are looked up by depend on the corpus, the result does not.
     """
-    wanted = proximity_anchors(documents, benchmark, min_terms)
-    index = postings(documents, wanted, STRETCH - 1)
+    wanted = proximity_anchors(words, benchmark, min_terms)
+    index = postings(words, wanted, STRETCH - 1)
     if wanted.count() > MAX_BROADCAST_ANCHORS:
         index = cut(index)
     wanted = _small(wanted, MAX_BROADCAST_ANCHORS)
@@ -177,10 +187,10 @@ def proximity(documents: DataFrame, benchmark: DataFrame, min_terms: int = 8) ->
     ``shared`` is the most words shared with any item, 0 without a match. Nulls, repeated rows and
     items without id are treated as in ``contamination``.
     """
-    hit = proximity_matches(documents, benchmark, min_terms)
+    words = document_words(documents)
+    hit = proximity_matches(words, benchmark, min_terms)
     found = hit.groupBy("doc_id", "text_hash").agg(F.max("shared").alias("shared"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    rows = documents.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("text_hash"))
-    joined = rows.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.text_hash = f.text_hash"), "left")
+    joined = words.select("doc_id", "text_hash").alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.text_hash = f.text_hash"), "left")
     return joined.select("d.doc_id", "d.text_hash", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -192,18 +202,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item without id counts for hits but is no entry of ``items``. Repeated rows get equal results;
     rows that share an id but not a text get their own. Other columns are ignored.
     """
-    hit = matches(documents, benchmark)
+    words = document_words(documents)
+    hit = matches(words, benchmark)
     spans = hit.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     places = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
     found = spans.select("doc_id", "text_hash", places.alias("n_hit"), "items")
-    counted = document_words(documents).select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
+    counted = words.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
     joined = counted.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.text_hash = f.text_hash"), "left")
     return joined.select("d.doc_id", "d.text_hash", "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``documents`` without any match, all columns as they were."""
-    columns = documents.columns
-    hit = matches(documents, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    marked = documents.withColumn("__text_hash", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
-    return marked.join(hit, F.expr("doc_id <=> __id AND __text_hash = __hash"), "left_anti").select(*columns)
+    """Rows of ``documents`` without any match, all columns as they were, whatever their names."""
+    id_, hash_, text_hash = unused(documents, "__id", "__hash", "__text_hash")
+    hit = matches(document_words(documents), benchmark).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    marked = documents.withColumn(text_hash, F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
+    met = (F.col("doc_id").eqNullSafe(F.col(id_))) & (F.col(text_hash) == F.col(hash_))
+    return marked.join(hit, met, "left_anti").drop(text_hash)

@@ -41,12 +41,12 @@ def test_common_passage_and_rare_terms(spark):
 def test_proximity_finds_shuffled_words(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], ITEMS)
     rows = docs(spark, [(1, "ten nine eight seven six five four three two one"), (2, "one two apple pear"), (3, None)])
-    assert {r["doc_id"] for r in decontam.proximity_matches(rows, items).collect()} == {1}
+    assert {r["doc_id"] for r in decontam.proximity_matches(decontam.document_words(rows), items).collect()} == {1}
 
 
 def test_drop_keeps_columns_and_clean_rows(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], ITEMS)
-    rows = docs(spark, [(1, "alpha beta gamma"), (None, "alpha beta gamma"), (None, "clean"), (2, None), (2, "alpha beta gamma")]).withColumn("item_id", F.lit(5)).withColumn("words", F.lit("x"))
+    rows = docs(spark, [(1, "alpha beta gamma"), (None, "alpha beta gamma"), (None, "clean"), (2, None), (2, "alpha beta gamma")]).withColumns({c: F.lit("x") for c in ("item_id", "words", "__id", "__hash", "__text_hash", "text_hash")})
     kept = decontam.drop_contaminated(rows, items)
     assert kept.columns == rows.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == [(2, None), (None, "clean")]
@@ -73,7 +73,7 @@ def near(rows, items, min_terms=8):
 
 
 def found_near(spark, rows, items):
-    got = decontam.proximity_matches(docs(spark, rows), spark.createDataFrame(items, ITEMS)).collect()
+    got = decontam.proximity_matches(decontam.document_words(docs(spark, rows)), spark.createDataFrame(items, ITEMS)).collect()
     assert len({(r["doc_id"], r["item_id"]) for r in got}) == len(got)
     return {(r["doc_id"], r["item_id"]): (r["shared"], r["position"]) for r in got}
 
@@ -137,9 +137,9 @@ def test_beyond_the_broadcast_bounds(spark, monkeypatch):
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == {i: (n, hit, [x for x in found if x != "None"]) for i, (n, hit, found) in wanted.items()}
         assert found_near(spark, rows, items) == near(rows, items)
         rng = random.Random(4)
-        words = [f"{rng.getrandbits(40):x}" for _ in range(3000)]
+        words = [f"{rng.getrandbits(40):x}" for _ in range(20_000)]
         before = shuffled(spark)
-        found = decontam.matches(docs(spark, [(1, " ".join(words))]), spark.createDataFrame([(1, " ".join(words[1000:1012]))], ITEMS)).collect()
+        found = decontam.matches(decontam.document_words(docs(spark, [(1, " ".join(words))])), spark.createDataFrame([(1, " ".join(words[1000:1012]))], ITEMS)).collect()
         assert (min(r["first"] for r in found), max(r["last"] for r in found)) == (1000, 1011)
         assert shuffled(spark) - before < 5_000_000
     finally:
