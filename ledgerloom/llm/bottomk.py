@@ -19,6 +19,10 @@ from .shared import lower_ascii, shuffle_partitions
 SHINGLE_WORDS = 5
 K = 128
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Bytes of text that one task sorts to find each document's next one.
+BUCKET_BYTES = 32 << 20
+#: Most buckets; the driver holds a bound of each. Beyond, buckets grow, and their sort spills.
+MAX_BUCKETS = 10_000
 
 
 def sketch(text: Column, k: int = K, shingle_words: int = SHINGLE_WORDS) -> Column:
@@ -75,13 +79,13 @@ def merge_groups(sketches: DataFrame, keys: list[str], column: str = "sketch", k
 def with_next(documents: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
     """Adds, for each of ``columns``, ``next_<column>`` of the row next by doc_id; after the last comes the first.
 
-    Ids are split at quantiles into buckets, whose bounds are the only thing the driver sees. Each
-    bucket is sorted in a task of its own and also gets the rows of the next bucket's first id.
+    Ids are split at quantiles into buckets, as many as the bytes of the texts ask for, whose bounds are the
+    only thing the driver sees; rows that share an id are in one bucket. Each bucket is sorted in a task of its own and also gets the rows of the next bucket's first id.
     Rows that share an id are ordered by the hash of their text; null ids come first.
     """
-    n = buckets or 2 * shuffle_partitions(documents.sparkSession)
+    n = buckets or min(MAX_BUCKETS, max(2 * shuffle_partitions(documents.sparkSession), documents.agg(F.ceil(F.sum(F.octet_length("text")) / BUCKET_BYTES).alias("n")).first()["n"] or 0))
     cuts = ", ".join(str((i + 1) / n) for i in range(n - 1)) or "0.5"
-    ids = documents.agg(F.expr(f"percentile_approx(doc_id, array({cuts}), 10000)").alias("q"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    ids = documents.agg(F.expr(f"percentile_approx(doc_id, array({cuts}), {max(10_000, 10 * n)})").alias("q"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     bounds = sorted(set(ids["q"] or []) - {ids["low"]})
     # bounds are ids that occur, so a bucket's first id is its bound, and the first bucket's is the lowest or null
     bucket, opens = F.lit(0), F.lit(False)
