@@ -111,14 +111,18 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns, loss): turns read from the text, and the texts under the loss mask, in order."""
-    read = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
-    spoken = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"])
-    return read.withColumn("loss", F.array_join(spoken, ""))
+    """(conv_id, formatted, turns, loss): turns read from the text, and what of the text lies under the loss mask, unescaped, in order."""
+    read = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), loss_spans(F.col("formatted")).alias("mask"))
+    coded = F.startswith("formatted", F.lit(ESCAPED))
+    under = F.transform("mask", lambda m: F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"]))
+    return read.withColumn("loss", F.array_join(F.transform(under, lambda t: F.when(coded, unescape(t)).otherwise(t)), "")).drop("mask")
 
 
 def loss_spans(formatted: Column) -> Column:
-    """(start, end) code points of the assistant texts in a formatted conversation, as written (escaped)."""
+    """The loss mask: (start, end) code points of the assistant texts in a formatted conversation, as written (escaped).
+
+    Null for null; no spans where no assistant speaks; an empty text has an empty span; equal turns have one each.
+    """
     coded = F.startswith(formatted, F.lit(ESCAPED))
     skip = F.when(coded, F.lit(len(ESCAPED))).otherwise(F.lit(0))
     parts = F.regexp_extract_all(F.when(coded, F.substring(formatted, F.lit(len(ESCAPED) + 1), F.char_length(formatted))).otherwise(formatted), F.lit(_TURN), F.lit(0))
