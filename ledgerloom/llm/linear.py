@@ -79,6 +79,16 @@ def _contrasts(spec: LinearSpec, texts: list[str | None]) -> dict[int, tuple[np.
     return out
 
 
+def _sliced_rows(spec: LinearSpec, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of ``spec.rows``, made of a slice of the texts at a time, so only the sparse rows of all are held at once."""
+    parts = [spec.rows(part) for part in _slices(texts)]
+    if not parts:
+        return spec.rows([])
+    shift = np.cumsum([0, *(len(ids) for _, ids, _ in parts)])
+    ptr = np.concatenate([[0], *(p[1:] + at for (p, _, _), at in zip(parts, shift, strict=False))])
+    return ptr, np.concatenate([x for _, x, _ in parts]), np.concatenate([x for _, _, x in parts])
+
+
 def _train_shard(spec: LinearSpec, start, round_no: int, key, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "text"])
     state = Ftrl(spec.ftrl)
@@ -86,7 +96,7 @@ def _train_shard(spec: LinearSpec, start, round_no: int, key, pdf: pd.DataFrame)
         state.z, state.n = (x.copy() for x in start.value)
     before = state.n.copy()
     texts = pdf["text"].tolist()
-    train_rows(state, spec.rows(texts), pdf["y"].to_numpy(float), spec.ftrl.epochs, spec.seed + 1000 * round_no + int(key[0]), _contrasts(spec, texts), spec.penalty)
+    train_rows(state, _sliced_rows(spec, texts), pdf["y"].to_numpy(float), spec.ftrl.epochs, spec.seed + 1000 * round_no + int(key[0]), _contrasts(spec, texts), spec.penalty)
     seen = np.flatnonzero(state.n > before)
     return pd.DataFrame({"feature": seen, "z": state.z[seen], "n": state.n[seen], "gain": (state.n - before)[seen]})
 

@@ -3,7 +3,7 @@
 Tokens are runs of word or of punctuation characters, so decoration, table bars and repeated
 tokens are n-grams like any others. A null or empty text has the bias as its score. Repeated rows
 get equal scores. No document or no label: the model is zero and scores are 0.5. Further columns
-of the input stay out of the result, so names cannot clash.
+of the input stay out of scores, and as they are, whatever their names, in what ``keep_good`` returns.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import unused
 from .ftrl import FtrlParams
 from .linear import LinearSpec, fit, score, training_sample
 from .shared import held_out
@@ -29,5 +30,6 @@ def quality_scores(documents: DataFrame, labels: DataFrame, spec: LinearSpec = S
 def keep_good(documents: DataFrame, labels: DataFrame, spec: LinearSpec = SPEC, keep_at: float = KEEP_AT) -> DataFrame:
     """Rows of ``documents`` that score at least ``keep_at``, all columns as they were."""
     weights = fit(training_sample(documents, labels, "quality", spec.max_train_rows), spec)
-    columns = documents.columns
-    return documents.withColumn("__quality_score", score(documents, weights, spec)).where(F.col("__quality_score") >= keep_at).select(*columns)
+    (kept,) = unused(documents, "__quality_score")
+    scored = documents.withColumn(kept, score(documents, weights, spec))
+    return scored.where(F.col(kept) >= keep_at).drop(kept)

@@ -277,4 +277,4 @@ def keep_one(documents: DataFrame) -> DataFrame:
     # both keys are never null, so the join and the removal of repeated rows share one exchange
     wanted = kept.select(F.xxhash64("first.doc_id").alias(id_key), F.col("first.hash").alias(text_key))
     keyed = documents.withColumn(id_key, F.xxhash64("doc_id")).withColumn(text_key, F.coalesce(F.xxhash64("text"), F.lit(0)))
-    return keyed.join(wanted, [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).select(*documents.columns)
+    return keyed.join(wanted, [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).drop(id_key, text_key)

@@ -128,3 +128,14 @@ def test_counterfactual_penalty_narrows_the_gap_between_groups(spark):
         s = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs(spark, [*rows, *probes, *other]), labels, spec).collect()}
         gap[penalty] = np.mean([abs(s[10_000 + k] - s[20_000 + k]) for k in range(100)])
     assert gap[toxicity.SPEC.penalty] < 0.6 * gap[0.0]
+
+
+def test_rows_do_not_depend_on_slices(monkeypatch):
+    import numpy as np
+
+    texts = ["one two three", None, "", "two two", "é " * 40, "x"]
+    spec = linear.LinearSpec(prefixes=(2,))
+    whole = spec.rows(texts)
+    monkeypatch.setattr(linear, "SLICE_CHARS", 5)
+    assert all(np.array_equal(a, b) for a, b in zip(linear._sliced_rows(spec, texts), whole, strict=True))
+    assert [len(x) for x in linear._sliced_rows(spec, [])] == [len(x) for x in spec.rows([])]

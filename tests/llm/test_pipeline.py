@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm.quality import quality_scores
@@ -96,3 +97,25 @@ def test_empty_and_odd_tables(spark, tmp_path):
             stage(spark, docs, folder).write.parquet(f"{folder}/{len(table_rows)}-{k}")
             docs = spark.read.parquet(f"{folder}/{len(table_rows)}-{k}")
         assert docs.count() <= len(table_rows)
+
+
+CLASHING = ("__quality_score", "__id", "__hash", "__text_hash", "__base", "__wide", "__spans", "__votes", "__anchors", "__all", "__size", "__n", "__fp", "row", "doc", "found", "all", "hash", "size", "rank", "first", "fp", "own", "component", "words", "key", "items", "label", "odd.name", "Copies_")
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "alpha beta")], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = [(i, f"text {i} write to a{i}@b.de please", "en", "a", 30) for i in range(12)] + [(None, "alpha beta", "en", None, 10)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for i, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}-"), F.coalesce("doc_id", F.lit(-1)).cast("string")))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        out.write.parquet(f"{folder}/{k}")
+        kept = spark.read.parquet(f"{folder}/{k}").collect()
+        for r in kept:
+            assert all(r[c] == f"{i}-{-1 if r['doc_id'] is None else r['doc_id']}" for i, c in enumerate(CLASHING)), name
+        if kept:
+            docs = spark.read.parquet(f"{folder}/{k}")
