@@ -100,6 +100,8 @@ def with_next(documents: DataFrame, columns: list[str], buckets: int | None = No
     places = F.when(before.isNull(), F.array(own)).otherwise(F.array(own, F.struct(before.alias("bucket"), F.lit(1).alias("guest"))))
     dealt = documents.withColumn("__place", F.explode(places)).withColumn("__bucket", F.col("__place.bucket")).withColumn("__guest", F.col("__place.guest"))
     order = Window.partitionBy("__bucket").orderBy("__guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # a task for each bucket: a hash of the numbers would put several into some
+    dealt = dealt.repartitionById(len(bounds) + 1, F.col("__bucket").cast("int"))
     return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("__guest = 0").drop("__place", "__bucket", "__guest")
 
 
