@@ -5,7 +5,8 @@ references first, then by time and id of the outgoing leg, then by the incoming
 only within equal money, so each (currency, amount) is a problem of its own, and there each stretch of
 days without a gap. A problem is a sorted stream that one pass settles: an outgoing leg is decided once
 the stream is past its window, and takes the smallest incoming id in the window that is free. No list
-of candidates is made; a pass holds the legs of two windows, and costs the logarithm of that a leg.
+of candidates is made; a pass holds the legs of two windows (more if ids do not grow with time), and costs
+the logarithm of that a leg.
 
 Near matches are found by passes of the same kind, over equal money for legs without instrument, and
 over days for legs of different currencies.
