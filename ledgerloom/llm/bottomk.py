@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import unused
 from .shared import lower_ascii, shuffle_partitions
 
 SHINGLE_WORDS = 5
@@ -66,14 +67,19 @@ def hex_string(s: Column) -> Column:
 
 
 def merge_groups(sketches: DataFrame, keys: list[str], column: str = "sketch", k: int = K, salts: int = 32) -> DataFrame:
-    """(keys, sketch): the sketch of each group's union. Salted, so a hot key is reduced in parts first."""
-    h = sketches.select(*keys, F.explode_outer(column).alias("__h"))
-    salted = h.withColumn("__salt", F.pmod(F.xxhash64("__h"), F.lit(salts))).dropDuplicates([*keys, "__salt", "__h"])
-    first = Window.partitionBy(*keys, "__salt").orderBy("__h")
-    part = salted.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= k)
-    every = Window.partitionBy(*keys).orderBy(F.col("__h").asc_nulls_last())
-    top = part.withColumn("__r", F.row_number().over(every)).where(F.col("__r") <= k)
-    return top.groupBy(*keys).agg(F.sort_array(F.collect_list("__h")).alias(column))
+    """(keys, sketch): the sketch of each group's union. Salted, so a hot key is reduced in parts first.
+
+    Null keys are one group, as in any grouping. Null and empty sketches add nothing; a group of only such
+    ones has an empty sketch. Repeated sketches count once. No rows give no groups. Other columns are left out.
+    """
+    hash_, salt, rank = unused(sketches.select(*keys), "__h", "__salt", "__r")
+    h = sketches.select(*keys, F.explode_outer(column).alias(hash_))
+    salted = h.withColumn(salt, F.pmod(F.xxhash64(hash_), F.lit(salts))).dropDuplicates([*keys, salt, hash_])
+    first = Window.partitionBy(*keys, salt).orderBy(hash_)
+    part = salted.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= k)
+    every = Window.partitionBy(*keys).orderBy(F.col(hash_).asc_nulls_last())
+    top = part.withColumn(rank, F.row_number().over(every)).where(F.col(rank) <= k)
+    return top.groupBy(*keys).agg(F.sort_array(F.collect_list(hash_)).alias(column))
 
 
 def with_next(documents: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:

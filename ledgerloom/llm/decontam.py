@@ -163,7 +163,8 @@ def proximity_matches(words: DataFrame, benchmark: DataFrame, min_terms: int = 8
 
     One row a text and item: the most words any window shares with any stretch, and where the first
     such stretch begins. A window of fewer distinct words needs all of them. The terms that windows
-    are looked up by depend on the corpus, the result does not.
+    are looked up by depend on the corpus, the result does not. Texts and items without words match
+    nothing; items without id are one item. Equal texts of one id are one row, of different ids a row each.
     """
     wanted = proximity_anchors(words, benchmark, min_terms)
     index = postings(words, wanted, STRETCH - 1)

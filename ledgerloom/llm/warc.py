@@ -144,6 +144,7 @@ def write_warc(spark: SparkSession, archive: Archive, folder: str, compression:
     """Writes the records as WARC files; a record and the blank lines after it are one line of Spark's text sink.
 
     Payloads are UTF-8, as they came from strings. An empty archive gives a folder without records.
+    Pages of equal payloads have a record each, and their order in the files is not defined.
     """
     records = warc_records(spark, archive).select(F.concat("header", F.decode("payload", "UTF-8")).alias("value"))
     records.write.option("lineSep", _EOL * 2).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
@@ -224,7 +225,11 @@ def _parsed(spark: SparkSession, folder: str, row: Callable[[dict, bytes, bytes]
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """(record_id, record_type, url, refers_to, payload_digest, payload) of the records of WARC files."""
+    """(record_id, record_type, url, refers_to, payload_digest, payload) of the records of WARC files.
+
+    ``url`` and ``refers_to`` are null for a record without that field; an empty payload is empty, not null. Repeated
+    records are all returned. No records give no rows; a cut file, or a record of another length than it says, is an error.
+    """
 
     def row(fields: dict, http: bytes, payload: bytes) -> tuple:
         return fields["WARC-Record-ID"], fields["WARC-Type"], fields.get("WARC-Target-URI"), fields.get("WARC-Refers-To"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), payload

@@ -53,6 +53,15 @@ def test_merge_equals_sketch_of_all(spark):
     assert merged == every[:16]
 
 
+def test_merge_of_nulls_repeats_and_clashing_names(spark):
+    rows = [(1, [5, 9]), (1, [5, 9]), (1, None), (1, [2]), (None, [7]), (None, [7, 8]), (2, None), (2, []), (3, [])]
+    s = spark.createDataFrame(rows, "`__h` int, sketch array<bigint>").withColumn("__r", F.lit(0)).withColumn("more", F.lit("x"))
+    merged = bottomk.merge_groups(s, ["__h", "__r"], k=2, salts=2)
+    assert merged.columns == ["__h", "__r", "sketch"]
+    assert {r["__h"]: r["sketch"] for r in merged.collect()} == {1: [2, 5], None: [7, 8], 2: [], 3: []}
+    assert bottomk.merge_groups(s.limit(0), ["__h"]).count() == 0
+
+
 def test_containment(spark):
     words = [f"w{i}" for i in range(60)]
     r = spark.createDataFrame([(" ".join(words), " ".join(words[:30]))], "a string, b string").select(bottomk.sketch(F.col("a")).alias("a"), bottomk.sketch(F.col("b")).alias("b"))
