@@ -44,6 +44,14 @@ def test_proximity_finds_shuffled_words(spark):
     assert {r["doc_id"] for r in decontam.proximity_matches(decontam.document_words(rows), items).collect()} == {1}
 
 
+def test_proximity_of_nulls_and_repeated_rows(spark):
+    phrase = " ".join(f"w{i}" for i in range(10))
+    rows = docs(spark, [(1, phrase), (1, phrase), (1, phrase + " end"), (None, phrase), (2, None), (3, "")])
+    items = spark.createDataFrame([(None, phrase), (None, phrase), (7, None), (8, "")], ITEMS)
+    got = decontam.proximity_matches(decontam.document_words(rows), items).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0, r["position"], r["shared"]) for r in got) == [(0, 0, 0, 10), (1, 0, 0, 10), (1, 0, 0, 10)]
+
+
 def test_drop_keeps_columns_and_clean_rows(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], ITEMS)
     rows = docs(spark, [(1, "alpha beta gamma"), (None, "alpha beta gamma"), (None, "clean"), (2, None), (2, "alpha beta gamma")]).withColumns({c: F.lit("x") for c in ("item_id", "words", "__id", "__hash", "__text_hash", "text_hash")})
