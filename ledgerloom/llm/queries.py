@@ -5,12 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bottomk import edited_neighbours, hex_string
+from .bpe import describe_documents
 from .chat import format_conversations, read_back
 from .decontam import contamination, proximity
+from .merkle import manifest, proof
 from .mixing import copies
 from .pii import personal_data, spans_text
 from .quality import quality_scores
@@ -19,6 +22,7 @@ from .simhash import fingerprint_hex, near_duplicates
 from .toxicity import toxicity_scores
 from .url_lists import filter_captures, host_of
 from .warc import forget, read_pages, write_archive, write_warc
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,6 +134,21 @@ def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "shared", F.size("items").cast("long").alias("n_items"), items, (F.col("shared") > 0).alias("near"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.replace("text", F.lit("\n"), F.lit(""))
+    found = manifest(table(spark, sf_dir, "documents"), tampered, F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    proof_sha = F.sha2(proof(F.col("lefts"), F.col("rights")), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof_sha, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -143,6 +162,9 @@ def queries() -> dict[str, Query]:
         "op9_chat": op9_chat,
         "op10_decontamination": op10_decontamination,
         "op10_proximity": op10_proximity,
+        "op11_bpe": op11_bpe,
+        "op12_whitening": op12_whitening,
+        "op13_merkle": op13_merkle,
     }
 
 
