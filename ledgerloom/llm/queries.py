@@ -246,6 +246,56 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: list_prepend(CAST(ord(c) AS UBIGINT), list_transform(range(8), lambda i: CAST(1000 AS UBIGINT)))))),
+    lambda crc, x: CASE WHEN x < 256 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, CAST(3988292384 AS UBIGINT)) ELSE crc >> 1 END))"""
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """CTEs of a forest: name_s (tree, pos, n, node and its siblings) for each level, for (tree, pos, node) of ``leaves``."""
+    out = [f"{name}_0 AS (SELECT tree, pos, node, count(*) OVER (PARTITION BY tree) AS n FROM {leaves})"]
+    for k in range(levels):
+        run = "PARTITION BY tree, pos // 3 ORDER BY pos ROWS BETWEEN"
+        out += [
+            f"{name}_s{k} AS (SELECT *, coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}_{k})",
+            f"{name}_{k + 1} AS (SELECT tree, pos // 3 AS pos, CASE WHEN max(n) > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE max(node) END AS node, (max(n) + 2) // 3 AS n FROM {name}_{k} GROUP BY tree, pos // 3)",
+        ]
+    return ", ".join(out)
+
+
+def _fold_sql(name: str, rows: str, levels: int) -> str:
+    """CTEs that carry ``proof`` and ``folded`` of (tree, pos) rows up the levels; the last is name_up."""
+    out, at = [], rows
+    for k in range(levels):
+        to = f"{name}_up" if k == levels - 1 else f"{name}_u{k}"
+        out.append(f"{to} AS (SELECT u.* REPLACE (proof || l || r AS proof, CASE WHEN s.n > 1 THEN sha256(l || folded || r) ELSE folded END AS folded) FROM {at} u JOIN {name}_s{k} s ON s.tree = u.tree AND s.pos = u.pos // {3**k})")
+        at = to
+    return ", ".join(out)
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+#: Enough for 3 ** 12 documents of one source and 3 ** 6 sources.
+_LEVELS, _SOURCE_LEVELS = 12, 6
+_FIELDS = " || ".join(_field_sql(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+_OP13 = f"""
+WITH base AS (
+    SELECT doc_id, coalesce('1' || source, '0') AS tree, sha256({_FIELDS} || {_field_sql("text")}) AS leaf,
+        CASE WHEN {_CRC32} % 2 = 0 THEN sha256({_FIELDS} || {_field_sql("replace(text, chr(10), '')")}) END AS other
+    FROM documents
+), placed AS (SELECT *, leaf AS node, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM base),
+{_tree_sql("t", "placed", _LEVELS)},
+started AS (SELECT doc_id, leaf, tree, pos, '' AS proof, coalesce(other, leaf) AS folded FROM placed),
+{_fold_sql("t", "started", _LEVELS)},
+sources AS (SELECT '' AS tree, tree AS name, node, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM t_{_LEVELS}),
+{_tree_sql("s", "sources", _SOURCE_LEVELS)},
+met AS (SELECT u.doc_id, u.leaf, u.proof, u.folded, '' AS tree, o.pos, o.node AS subroot FROM t_up u JOIN sources o ON o.name = u.tree),
+{_fold_sql("s", "met", _SOURCE_LEVELS)}
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified FROM s_up, s_{_SOURCE_LEVELS}
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -253,4 +303,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc": _OP3,
         "op9_chat": _OP9,
         "op10_decontamination": _OP10,
+        "op13_merkle": _OP13,
     }
