@@ -6,12 +6,21 @@ batch gives what one-by-one processing would. A duplicate is flagged, never drop
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .lineage import cut, small, spread, unused
 
 WINDOW_SECONDS = 15 * 60
+#: Rounds in which rows are settled by the first row of each of their keys.
+ROUNDS = 3
+#: Rows that are still open after them (about 100 bytes each) and are settled by one task.
+MOST_IN_ONE_PASS = 500_000
 
 
 #: Up to so many distinct keys of a batch (about 100 bytes each) are broadcast to the scan of the history.
@@ -34,7 +43,10 @@ def exact_new(batch: DataFrame, history: DataFrame, keys: tuple[str, ...] = ("co
 
     The history is read once, its two key columns only, and not shuffled while the batch is small. Among the
     rows of the batch those that come first by all their keys are kept and what shares a key with them is
-    dropped, until nothing is open; a chain of rows that share one key after the other costs a round a link.
+    dropped, which settles any number of rows that share one key. What is still open after ``ROUNDS`` of this
+    are chains of rows that share one key after the other. Up to ``MOST_IN_ONE_PASS`` such rows are one sorted
+    pass, which remembers the keys that were kept; of more, each connected chain is a pass of its own, at the
+    price of jobs whose number grows with the logarithm of the longest chain.
     """
     n, rank = unused(batch, "__n", "__rank")
     rows = cut(batch.withColumn(n, F.monotonically_increasing_id()))
@@ -44,7 +56,7 @@ def exact_new(batch: DataFrame, history: DataFrame, keys: tuple[str, ...] = ("co
     known = _held(history, keys).join(wanted, ["key", "value"], "left_semi").distinct()
     dropped = cut(held.join(known, ["key", "value"], "left_semi").select("n").distinct())
     open_ = held.join(dropped, "n", "left_anti")
-    while True:
+    for _ in range(ROUNDS):
         first = spread(open_.groupBy("key", "value").agg(F.min("rank").alias("first")))
         if first.isEmpty():
             break
@@ -54,22 +66,50 @@ def exact_new(batch: DataFrame, history: DataFrame, keys: tuple[str, ...] = ("co
         settled = open_.join(taken, ["key", "value"], "left_semi").select("n").distinct()
         dropped = cut(dropped.unionByName(settled.join(kept, "n", "left_anti")))
         open_ = cut(open_.join(kept, "n", "left_anti").join(dropped, "n", "left_anti"))
+    else:
+        dropped = dropped.unionByName(_repeats_in_chains(open_))
     return rows.join(dropped.withColumnRenamed("n", n), n, "left_anti").select(*batch.columns)
 
 
-def duplicate_decisions(incoming: DataFrame, existing: DataFrame, window_seconds: int = WINDOW_SECONDS, authorisation_types: tuple[str, ...] = (), in_batch: DataFrame | None = None) -> DataFrame:
+def _repeats_in_chains(held: DataFrame) -> DataFrame:
+    """(n) of the rows that repeat a key of an earlier kept row, each connected chain in one sorted pass."""
+    rows = cut(held.groupBy("n", "rank").agg(F.collect_list(F.concat_ws("=", "key", "value")).alias("held")))
+    if rows.count() <= MOST_IN_ONE_PASS:
+        dealt = rows.withColumn("component", F.lit(0).cast("long")).coalesce(1)
+    else:
+        first = spread(held.groupBy("key", "value").agg(F.min("n").alias("least")))
+        links = held.join(first, ["key", "value"]).select(F.col("n").alias("a"), F.col("least").alias("b"))
+        # a row that shares no key is in no chain; it stays
+        dealt = rows.join(components(links).withColumnRenamed("node", "n"), "n").repartition("component")
+    dealt = dealt.sortWithinPartitions("component", "rank").select("component", "n", "held")
+
+    def repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, seen = None, set()
+        for batch in batches:
+            out = []
+            for c, n, own in zip(batch["component"], batch["n"], batch["held"], strict=True):
+                if c != chain:
+                    chain, seen = c, set()
+                if seen.isdisjoint(own):
+                    seen.update(own)
+                else:
+                    out.append(n)
+            yield pd.DataFrame({"n": pd.Series(out, dtype="int64")})
+
+    return dealt.mapInPandas(repeats, "n bigint")
+
+
+def duplicate_decisions(incoming: DataFrame, existing: DataFrame, window_seconds: int = WINDOW_SECONDS, authorisation_types: tuple[str, ...] = (), fresh: str | None = None) -> DataFrame:
     """(id, duplicate_of, tier) for incoming rows that repeat an existing one.
 
     Tier 1: equal reference and masked instrument. Tier 2: equal instrument and money, at most the
     window apart, and the same merchant text, or one of the two of an authorisation type. Existing
     rows count from one window before the incoming row, without an upper bound. The first tier
-    wins, then the smallest id. Both joins are equi-joins. ``in_batch`` names existing rows that are
-    of the batch itself: they count for rows after them only.
+    wins, then the smallest id. Both joins are equi-joins. ``fresh`` names a column that tells which existing
+    rows are of the batch itself: they count for rows after them only.
     """
     i = incoming.alias("i")
-    e = existing.where("NOT is_deleted")
-    fresh = e.withColumn("__fresh", F.lit(False)) if in_batch is None else e.join(in_batch.withColumn("__fresh", F.lit(True)), "id", "left")
-    e = fresh.alias("e")
+    e = existing.where("NOT is_deleted").withColumn("__fresh", F.col(fresh) if fresh else F.lit(False)).alias("e")
     later = F.unix_micros(F.col("e.occurred_at").cast("timestamp")) - F.unix_micros(F.col("i.occurred_at").cast("timestamp"))
     after = F.coalesce(later >= -window_seconds * 1e6, F.lit(False)) & (F.col("e.id") != F.col("i.id"))
     after = after & (~F.coalesce(F.col("e.__fresh"), F.lit(False)) | (F.col("e.id") < F.col("i.id")))
@@ -90,9 +130,19 @@ def duplicate_decisions(incoming: DataFrame, existing: DataFrame, window_seconds
     return hits.select("id", F.col("hit.of").alias("duplicate_of"), F.when(F.col("hit.tier") == 1, "reference").otherwise("amount_and_time").alias("tier"))
 
 
-def batch_decisions(batch: DataFrame, history: DataFrame, **options) -> DataFrame:
-    """The same for a batch: its rows see the history and the rows before them (by id) in the batch."""
-    return duplicate_decisions(batch, history.unionByName(batch, allowMissingColumns=True), in_batch=batch.select("id"), **options)
+def batch_decisions(batch: DataFrame, history: DataFrame, window_seconds: int = WINDOW_SECONDS, **options) -> DataFrame:
+    """The same for a batch: its rows see the history and the rows before them (by id) in the batch.
+
+    Nothing older than a window before the batch's oldest row is read of the history.
+    """
+    oldest = batch.agg(F.min(F.col("occurred_at").cast("timestamp")).alias("t")).first()["t"]
+    if oldest is None:
+        seen = history.where("false")
+    else:
+        seen = history.where(F.col("occurred_at") >= F.lit(oldest - timedelta(seconds=window_seconds)))
+    (fresh,) = unused(batch, "__of_batch")
+    both = seen.withColumn(fresh, F.lit(False)).unionByName(batch.withColumn(fresh, F.lit(True)), allowMissingColumns=True)
+    return duplicate_decisions(batch, both, window_seconds, fresh=fresh, **options)
 
 
 def flag_pairs(decisions: DataFrame) -> DataFrame:

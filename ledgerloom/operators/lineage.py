@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here. Only a local session without ``spark.checkpoint.dir`` (tests) gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it.
+
+    Only a local session without ``spark.checkpoint.dir`` (tests) gets a temporary one.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
+        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage ends here: rows go to the shared checkpoint folder and outlive lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

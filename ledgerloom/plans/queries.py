@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from decimal import Decimal
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, money, sanitize, similarity, text
-from ..operators import audit, categorise, classify, duplicates, entry, filters, lineage, matching, merge, mutations, transfers
+from ..operators import audit, categorise, classify, duplicates, entities, entry, filters, lineage, matching, merge, mutations, transfers
 from ..schema import CATEGORIES, INCOME_TYPES, SPEND_TYPES, TRANSACTION, with_defaults
 from ..sources import messages, rule_pack
 from . import reports
@@ -300,10 +301,10 @@ def j13_exact_new(spark, d):
     return duplicates.exact_new(rows.where("event_id >= 2000"), rows.where("event_id < 2000"), ("k",), "event_id").select("event_id")
 
 
-@query("WITH b AS (SELECT event_id, user_id AS a, CAST(floor(value) AS BIGINT) AS k FROM events), seen AS (SELECT list(DISTINCT a) AS u, list(DISTINCT k) AS v FROM b WHERE event_id < 200), l AS (SELECT list({'e': event_id, 'a': a, 'k': k} ORDER BY event_id) AS x FROM b WHERE event_id >= 200 AND event_id < 5000) SELECT unnest(list_reduce(list_prepend({'kept': CAST([] AS BIGINT[]), 'u': u, 'v': v, 'e': CAST(0 AS BIGINT), 'a': CAST(0 AS BIGINT), 'k': CAST(0 AS BIGINT)}, list_transform(x, lambda r: {'kept': CAST([] AS BIGINT[]), 'u': CAST([] AS BIGINT[]), 'v': CAST([] AS BIGINT[]), 'e': CAST(r.e AS BIGINT), 'a': CAST(r.a AS BIGINT), 'k': r.k})), lambda s, r: CASE WHEN list_contains(s.u, r.a) OR list_contains(s.v, r.k) THEN s ELSE {'kept': s.kept || [r.e], 'u': s.u || [r.a], 'v': s.v || [r.k], 'e': s.e, 'a': s.a, 'k': s.k} END).kept) AS event_id FROM l, seen")
+@query("WITH b AS (SELECT event_id, user_id AS a, CAST(floor(value) AS BIGINT) AS k FROM events), seen AS (SELECT list(DISTINCT a) AS u, list(DISTINCT k) AS v FROM b WHERE event_id < 200), l AS (SELECT list({'e': event_id, 'a': a, 'k': k} ORDER BY event_id) AS x FROM b WHERE event_id >= 200) SELECT unnest(list_reduce(list_prepend({'kept': CAST([] AS BIGINT[]), 'u': u, 'v': v, 'e': CAST(0 AS BIGINT), 'a': CAST(0 AS BIGINT), 'k': CAST(0 AS BIGINT)}, list_transform(x, lambda r: {'kept': CAST([] AS BIGINT[]), 'u': CAST([] AS BIGINT[]), 'v': CAST([] AS BIGINT[]), 'e': CAST(r.e AS BIGINT), 'a': CAST(r.a AS BIGINT), 'k': r.k})), lambda s, r: CASE WHEN list_contains(s.u, r.a) OR list_contains(s.v, r.k) THEN s ELSE {'kept': s.kept || [r.e], 'u': s.u || [r.a], 'v': s.v || [r.k], 'e': s.e, 'a': s.a, 'k': s.k} END).kept) AS event_id FROM l, seen")
 def j13_exact_new_two_keys(spark, d):
     rows = _tables(spark, d, "events").select("event_id", F.col("user_id").alias("a"), F.floor("value").alias("k"))
-    return duplicates.exact_new(rows.where("event_id >= 200 AND event_id < 5000"), rows.where("event_id < 200"), ("a", "k"), "event_id").select("event_id")
+    return duplicates.exact_new(rows.where("event_id >= 200"), rows.where("event_id < 200"), ("a", "k"), "event_id").select("event_id")
 
 
 # --- reports -------------------------------------------------------------------------------------
@@ -751,50 +752,78 @@ def a15_money_sum(spark, d):
 _FEED_PACK = rule_pack.load_pack(
     r"""{"schemaVersion": 1, "packId": "feed", "packVersion": "1", "banks": [{"bankId": "bank", "displayName": {"en": "Bank"}, "aliases": [], "senderPatterns": ["^[0-9]*[1-9]$"], "messageRules": [
     {"ruleId": "view", "priority": 50, "messageType": "info", "intent": "ignore", "match": {"anyOf": ["^view"]}},
-    {"ruleId": "buy", "priority": 100, "messageType": "pos_purchase", "intent": "transaction", "match": {"anyOf": ["^purchase", "^error"]}, "regex": "(?:purchase|error) (?<amount>[0-9.-]+) (?<currency>[A-Z]{3}) on (?<card>[0-9]{4}) at (?<shop>[a-z0-9 ]+)$",
-     "extract": {"amount": {"group": "amount"}, "currency": {"group": "currency"}, "instrumentRef": {"group": "card", "kind": "card", "maskPolicy": "last4"}, "merchant": {"group": "shop"}}, "sign": "debit", "requiredFields": ["amount"]}]}]}"""
+    {"ruleId": "buy", "priority": 100, "messageType": "pos_purchase", "intent": "transaction", "match": {"anyOf": ["^purchase", "^error"]}, "regex": "(?:purchase|error) (?<amount>[0-9.-]+) (?<currency>[A-Z]{3}) on (?<card>[0-9]{4})(?: of (?<network>[a-z]+))? at (?<shop>shop [0-9]+)(?: rate (?<rate>[0-9.]+))?(?: from (?<account>[0-9]{4}))?$",
+     "extract": {"amount": {"group": "amount"}, "currency": {"group": "currency"}, "instrumentRef": {"group": "card", "kind": "card", "maskPolicy": "last4"}, "instrumentRefNetwork": {"group": "network"}, "settlementRef": {"group": "account", "kind": "account", "maskPolicy": "last4"}, "exchangeRate": {"group": "rate"}, "merchant": {"group": "shop"}}, "sign": "debit", "requiredFields": ["amount"]}]}]}"""
 )
-# a feed of messages, with amounts so coarse that some repeat
+# a feed of messages, with amounts so coarse that some repeat, foreign ones with and without a rate, and cards that name their account
 _FEED = """SELECT event_id AS provider_id, CAST(user_id % 10 AS STRING) AS address, ts AS received_at,
-    event_type || ' ' || CAST(CASE WHEN event_id % 31 = 0 THEN -1 ELSE 1 END * CAST(floor(value / 10) AS BIGINT) AS STRING) || CASE WHEN event_id % 37 = 0 THEN ' riyal' ELSE ' SAR' END || ' on ' || CAST(1000 + user_id % 5 AS STRING) || ' at shop ' || CAST(CAST(floor(value / 25) AS BIGINT) AS STRING)
+    event_type || ' ' || CAST(CASE WHEN event_id % 31 = 0 THEN -1 ELSE 1 END * CAST(floor(value / 10) AS BIGINT) AS STRING) || CASE WHEN event_id % 37 = 0 THEN ' riyal' WHEN event_id % 19 = 0 THEN ' USD' ELSE ' SAR' END
+    || ' on ' || CAST(1000 + user_id % 50 AS STRING) || CASE WHEN event_id % 23 = 0 THEN ' of visa' WHEN event_id % 29 = 0 THEN ' of mada' ELSE '' END || ' at shop ' || CAST(CAST(floor(value / 25) AS BIGINT) AS STRING)
+    || CASE WHEN event_id % 57 = 0 THEN ' rate 3.7512' ELSE '' END || CASE WHEN event_id % 43 = 0 THEN ' from ' || CAST(7000 + event_id % 3 AS STRING) ELSE '' END
     AS body FROM {events}"""
 
 
-def _feed(spark, d) -> DataFrame:
-    """What becomes of the events as messages, the first half of which is ingested before the rest."""
-    from ..streaming.ingest import Ingest
-
-    job = Ingest("", _FEED_PACK, b"feed key")
+def _feed_batches(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The events as messages, in two halves."""
     rows = view(spark, d, _FEED).withColumn("received_at", F.date_trunc("hour", "received_at").cast("timestamp")).select("provider_id", "address", "body", "received_at")
     half = rows.agg(F.expr("CAST(floor(max(provider_id) / 2) AS BIGINT)").alias("h")).first()["h"]
-    none = spark.createDataFrame([], "content_hmac string, sms_provider_id bigint, transaction struct<id: bigint>").where("false")
-    first = lineage.cut(job.process(rows.where(F.col("provider_id") <= half), none.withColumn("transaction", F.lit(None).cast(TRANSACTION))))
-    stored = first.where("outcome NOT IN ('failed', 'not_financial', 'duplicate')")
-    return first.unionByName(job.process(rows.where(F.col("provider_id") > half), stored))
+    return rows.where(F.col("provider_id") <= half), rows.where(F.col("provider_id") > half)
+
+
+def _ingested(spark, d):
+    """The feed, written batch by batch into a folder of its own."""
+    from ..streaming.ingest import Ingest
+
+    job = Ingest(f"{lineage.shared_dir(spark)}/feed-{uuid.uuid4().hex}", _FEED_PACK, b"feed key")
+    for n, batch in enumerate(_feed_batches(spark, d)):
+        job.write(batch, n, "feed")
+    return job
 
 
 _FED = f"""WITH f AS (SELECT provider_id AS id, address, body, date_trunc('hour', received_at) AS at, provider_id <= (SELECT floor(max(event_id) / 2) FROM events) AS early FROM ({_FEED.format(events='events')})),
-n AS (SELECT *, address <> '0' AS known, row_number() OVER (PARTITION BY address, body ORDER BY id) AS r, CASE WHEN starts_with(body, 'view') THEN 'ignored' WHEN NOT regexp_matches(body, '^(purchase|error) [0-9]+ SAR') THEN 'review' ELSE 'transaction' END AS kind, regexp_extract(body, ' ([0-9]+) SAR', 1) AS amount, regexp_extract(body, ' on ([0-9]{{4}})', 1) AS card, regexp_extract(body, ' at (.*)$', 1) AS shop FROM f),
+n AS (SELECT *, address <> '0' AS known, row_number() OVER (PARTITION BY address, body ORDER BY id) AS r, CASE WHEN starts_with(body, 'view') THEN 'ignored' WHEN NOT regexp_matches(body, '^(purchase|error) [0-9]+ (SAR|USD)') THEN 'review' ELSE 'transaction' END AS kind, regexp_extract(body, ' ([0-9]+) (SAR|USD)', 1) AS amount, regexp_extract(body, ' (SAR|USD)', 1) AS currency, regexp_extract(body, ' on ([0-9]{{4}})', 1) AS card, regexp_extract(body, ' at (shop [0-9]+)', 1) AS shop,
+    nullif(regexp_extract(body, ' of ([a-z]+)', 1), '') AS network, nullif(regexp_extract(body, ' from ([0-9]{{4}})', 1), '') AS account, CAST(nullif(regexp_extract(body, ' rate ([0-9.]+)', 1), '') AS DOUBLE) AS rate FROM f),
 t AS (SELECT * FROM n WHERE known AND r = 1 AND kind = 'transaction'),
-dup AS (SELECT i.id, min(e.id) AS duplicate_of FROM t i JOIN t e ON i.amount = e.amount AND i.card = e.card AND i.shop = e.shop AND e.id < i.id AND abs(epoch(i.at) - epoch(e.at)) <= 900 GROUP BY 1),
-fed AS (SELECT n.id AS provider_id, CASE WHEN NOT known THEN 'not_financial' WHEN r > 1 THEN 'duplicate' WHEN kind <> 'transaction' THEN kind WHEN duplicate_of IS NOT NULL THEN 'flagged' ELSE kind END AS outcome, CASE WHEN known AND r = 1 THEN duplicate_of END AS duplicate_of FROM n LEFT JOIN dup USING (id))
+dup AS (SELECT i.id, min(e.id) AS duplicate_of FROM t i JOIN t e ON i.amount = e.amount AND i.currency = e.currency AND i.card = e.card AND i.shop = e.shop AND e.id < i.id AND abs(epoch(i.at) - epoch(e.at)) <= 900 GROUP BY 1),
+fed AS (SELECT n.id AS provider_id, CASE WHEN NOT known THEN 'not_financial' WHEN r > 1 THEN 'duplicate' WHEN kind <> 'transaction' THEN kind WHEN duplicate_of IS NOT NULL THEN 'flagged' ELSE kind END AS outcome, CASE WHEN known AND r = 1 THEN duplicate_of END AS duplicate_of FROM n LEFT JOIN dup USING (id)),
+named AS (SELECT id AS seen, 0 AS role, 'card' AS kind, card AS digits, network, currency FROM t UNION ALL SELECT id, 1, 'account', account, NULL, NULL FROM t WHERE account IS NOT NULL),
+keyed AS (SELECT kind, digits, min(seen * 2 + role) AS place, min(seen) AS first_seen, arg_min(network, seen) FILTER (network IS NOT NULL) AS network, arg_min(currency, seen) FILTER (currency IS NOT NULL) AS currency FROM named GROUP BY ALL),
+instruments AS (SELECT *, row_number() OVER (ORDER BY place) AS id FROM keyed)
 """
 
 
 @query(_FED + "SELECT outcome, count(*) AS n FROM fed GROUP BY 1")
 def a18_run_counters(spark, d):
-    return _feed(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
+    return _ingested(spark, d).counters(spark)
 
 
-@query(_FED + "SELECT provider_id, outcome, duplicate_of FROM fed")
+@query(_FED + "SELECT provider_id, outcome, duplicate_of FROM fed WHERE outcome NOT IN ('duplicate', 'not_financial')")
 def g5_ingest_outcomes(spark, d):
-    return _feed(spark, d).select("provider_id", "outcome", F.col("transaction.duplicate_of").alias("duplicate_of"))
+    rows = _ingested(spark, d).ingested(spark)
+    kind = F.when(F.col("transaction.duplicate_of").isNotNull(), "flagged").when(F.col("transaction").isNotNull(), "transaction").when(F.col("classification") == "ignored", "ignored").otherwise("review")
+    return rows.select(F.col("sms_provider_id").alias("provider_id"), kind.alias("outcome"), F.col("transaction.duplicate_of").alias("duplicate_of"))
 
 
-@query(_FED + "SELECT provider_id, CAST(amount AS DOUBLE) AS amount, 'SAR' AS currency, '****' || card AS masked_ref, shop AS merchant_text, t.at AS occurred_at, 'received' AS time_source FROM fed JOIN t ON t.id = provider_id")
+@query(
+    _FED
+    + """SELECT provider_id, CAST(amount AS DOUBLE) AS amount, t.currency, '****' || card AS masked_ref, shop AS merchant_text, t.at AS occurred_at, 'received' AS time_source, i.id AS instrument_id,
+    CASE WHEN t.currency <> 'SAR' THEN rate END AS fx_rate, CASE WHEN t.currency <> 'SAR' AND rate IS NOT NULL THEN 'sms_stated' END AS fx_rate_source, t.currency <> 'SAR' AND rate IS NULL AS conversion_pending
+FROM fed JOIN t ON t.id = provider_id JOIN instruments i ON i.kind = 'card' AND i.digits = t.card"""
+)
 def g10_ingested_transactions(spark, d):
-    rows = _feed(spark, d).where("transaction IS NOT NULL").select("provider_id", "transaction.*")
-    return rows.select("provider_id", *_double("amount"), "currency", "masked_ref", "merchant_text", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "time_source")
+    rows = _ingested(spark, d).ingested(spark).where("transaction IS NOT NULL").select(F.col("sms_provider_id").alias("provider_id"), "transaction.*")
+    return rows.select("provider_id", *_double("amount"), "currency", "masked_ref", "merchant_text", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "time_source", "instrument_id", F.col("fx_rate").cast("double").alias("fx_rate"), "fx_rate_source", "conversion_pending")
+
+
+@query(
+    _FED
+    + """, linked AS (SELECT card, arg_min(account, id) AS account FROM t WHERE account IS NOT NULL GROUP BY 1)
+SELECT i.id, 1 AS bank_id, i.kind, '****' || i.digits AS masked, i.network, i.currency, a.id AS settlement_account_id, CASE WHEN a.id IS NOT NULL THEN 'sms_repayment' END AS link_source, i.first_seen
+FROM instruments i LEFT JOIN linked l ON i.kind = 'card' AND l.card = i.digits LEFT JOIN instruments a ON a.kind = 'account' AND a.digits = l.account"""
+)
+def u8_instruments_at_ingest(spark, d):
+    table = entities.instruments(_ingested(spark, d).instrument_log(spark))
+    return table.select("id", "bank_id", "kind", "masked", "network", "currency", "settlement_account_id", "link_source", "first_seen")
 
 
 @query(

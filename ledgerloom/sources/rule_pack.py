@@ -21,7 +21,7 @@ SCHEMA_VERSION = 1
 #: A quantified group whose body ends in a quantifier: it can take exponential time.
 NESTED_QUANTIFIER = re.compile(r"\([^)]*[+*]\s*\)\s*[+*]|\([^)]*\{\d+,\}[^)]*\)\s*[+*{]")
 MONEY_FIELDS = {"amount": "currency", "convertedAmount": "convertedCurrency", "fee": "feeCurrency", "remainingBalance": "balanceCurrency"}
-TEXT_FIELDS = ("merchant", "counterpartyName", "counterpartyBankName", "referenceNumber", "instrumentRef", "exchangeRate", "billerCode", "invoiceNumber")
+TEXT_FIELDS = ("merchant", "counterpartyName", "counterpartyBankName", "referenceNumber", "instrumentRef", "instrumentRefNetwork", "instrumentRefType", "settlementRef", "exchangeRate", "billerCode", "invoiceNumber")
 TIMEZONES = {"Asia/Riyadh": 3, "UTC": 0}
 
 
@@ -140,6 +140,12 @@ def rules_table(spark, pack: RulePack) -> DataFrame:
     return spark.createDataFrame(rows, "bank_id string, place int, rule_id string, priority int, message_type string, intent string")
 
 
+def profiles(spark, pack: RulePack) -> DataFrame:
+    """(canonical_key, name_en, name_ar, aliases) of the pack's banks; a name that is missing is the key."""
+    rows = [(b.bank_id, b.names.get("en", b.bank_id), b.names.get("ar", b.bank_id), list(b.aliases)) for b in pack.banks]
+    return spark.createDataFrame(rows, "canonical_key string, name_en string, name_ar string, aliases array<string>")
+
+
 def _first(branches: list[tuple[Column, Column]], default: Column) -> Column:
     out = default
     for test, value in reversed(branches):
@@ -197,7 +203,7 @@ def _extraction(rule: Rule, body: Column) -> Column:
     when = rule.extract.get("occurredAt", {})
     at = sms_date(_value(rule, "occurredAt", body), when.get("format", "yyyy-MM-dd HH:mm:ss")) if when else F.lit(None).cast("timestamp")
     fields["occurredAt"] = at - F.expr(f"INTERVAL '{TIMEZONES[when.get('timezone', 'UTC')]}' HOUR") if when else at
-    kind = rule.extract.get("instrumentRef", {}).get("kind")
+    kinds = {name: F.when(fields[name].isNotNull(), F.lit(rule.extract.get(name, {}).get("kind", "account"))) for name in ("instrumentRef", "settlementRef")}
     present = {k: fields[k].isNotNull() for k in fields}
     missing = F.filter(F.array(*(F.when(present.get(r, F.lit(False)), None).otherwise(F.lit(r)) for r in rule.required)) if rule.required else F.array().cast("array<string>"), lambda x: x.isNotNull())
     matched = body.rlike(java_pattern(rule.regex)) if rule.regex else F.lit(True)
@@ -211,13 +217,13 @@ def _extraction(rule: Rule, body: Column) -> Column:
     spent = F.lit(rule.affects_spend) if rule.affects_spend is not None else F.lit(None).cast("boolean")
     return F.struct(
         outcome.alias("outcome"), reason.alias("reason"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.message_type).alias("message_type"),
-        F.lit(rule.sign).cast("string").alias("direction"), spent.alias("affects_spend"), F.lit(kind).cast("string").alias("instrument_kind"), missing.alias("missing"),
+        F.lit(rule.sign).cast("string").alias("direction"), spent.alias("affects_spend"), kinds["instrumentRef"].alias("instrument_kind"), kinds["settlementRef"].alias("settlement_kind"), missing.alias("missing"),
         *(fields[k].alias(k) for k in [*MONEY_FIELDS, *MONEY_FIELDS.values(), *TEXT_FIELDS, "occurredAt"]),
     )
 
 
 _OUT = (
-    "outcome string, reason string, rule_id string, message_type string, direction string, affects_spend boolean, instrument_kind string, missing array<string>, "
+    "outcome string, reason string, rule_id string, message_type string, direction string, affects_spend boolean, instrument_kind string, settlement_kind string, missing array<string>, "
     + ", ".join(f"{k} decimal(20,4)" for k in MONEY_FIELDS) + ", " + ", ".join(f"{k} string" for k in [*MONEY_FIELDS.values(), *TEXT_FIELDS]) + ", occurredAt timestamp"
 )
 

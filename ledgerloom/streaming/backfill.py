@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.money import month_window
 from ..schema import RAW_MESSAGE
 from ..sources.rule_pack import bank_of
-from .ingest import Ingest
+from .ingest import COUNTERS, Ingest
 
 STATES = ("idle", "running", "paused", "completed")
 
@@ -53,11 +53,11 @@ def rescan(messages: DataFrame, ingest: Ingest, since: datetime, bank: str | Non
     return run
 
 
-def watch(spark: SparkSession, table: str, schema, report: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None], checkpoint: str, continuous: bool = False) -> StreamingQuery:
-    """A live query: whenever files are added to a table, the report over all of it is emitted anew."""
+def watch(spark: SparkSession, ingest: Ingest, report: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame, int], None], checkpoint: str, continuous: bool = False) -> StreamingQuery:
+    """A live query: whenever batches are committed, the report over all that was ingested is emitted anew."""
 
     def again(_: DataFrame, batch_id: int) -> None:
-        emit(report(spark.read.schema(schema).parquet(table)), batch_id)
+        emit(report(ingest.ingested(spark)), batch_id)
 
-    writer = spark.readStream.schema(schema).parquet(table).writeStream.foreachBatch(again).option("checkpointLocation", checkpoint)
+    writer = spark.readStream.schema(f"{COUNTERS}, run string, batch bigint").parquet(f"{ingest.folder}/counters").writeStream.foreachBatch(again).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime="10 seconds") if continuous else writer.trigger(availableNow=True)).start()

@@ -1,11 +1,13 @@
 """Ingestion of messages with Structured Streaming.
 
 The checkpoint keeps the offset. Each micro-batch is sanitised, normalised, parsed, freed of what is
-already there, compared with earlier transactions, categorised and appended. A message and its
-transaction are one row of one table, written by one commit of the batch, so neither is there without
-the other. A batch has a folder of its own, named by the query and the batch: a query that is started
-again with its checkpoint overwrites what it had begun, and no other query's batch. Content hashes and
-provider ids are checked against all earlier batches, so a replay writes nothing twice.
+already there, given its bank and instrument, compared with earlier transactions, categorised and appended. A
+message and its transaction are one row of one table. A batch has a folder of its own in each table,
+named by the query and the batch; its counters are written last and commit it. Readers see the folders
+of committed batches only, so a batch is there as a whole or not at all, and a query that is started
+again with its checkpoint overwrites what it had begun, leaves what it had committed, and touches no
+other query's batch. Content hashes and provider ids are checked against all earlier batches, so a
+replay writes nothing twice. A folder has one writer at a time.
 
 A row on which something fails holds up no other: it goes to a folder of its own with the kind of error
 and can be tried again. There are no event-time windows: late messages are always accepted.
@@ -22,21 +24,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import money
 from ..functions.hashing import content_hmac
 from ..functions.sanitize import sanitize
-from ..functions.text import instrument_ref_key, normalize_message
+from ..functions.text import normalize_message
+from ..operators import entities
 from ..operators.categorise import categorise
 from ..operators.duplicates import batch_decisions, exact_new, flag_pairs
-from ..operators.lineage import cut
+from ..operators.lineage import cut, small
 from ..operators.mutations import flag_duplicates
 from ..schema import RAW_MESSAGE, TRANSACTION, with_defaults
 from ..sources.messages import high_water_mark
-from ..sources.rule_pack import RulePack, bank_of, parse_messages, partial_json, redactions
+from ..sources.rule_pack import RulePack, bank_of, parse_messages, partial_json, profiles, redactions
 
 #: What becomes of a message; every examined one has exactly one of these.
 OUTCOMES = ("transaction", "flagged", "duplicate", "review", "ignored", "not_financial", "failed")
 MESSAGE = "sms_provider_id bigint, address string, received_at timestamp, sanitized_body string, content_hmac string, bank_id string, classification string, dismissed_as_not_transaction boolean, pan_redacted boolean, unparsed_reason string, rule_id string, partial_extraction string"
 ROW = f"{MESSAGE}, transaction struct<{TRANSACTION.simpleString().removeprefix('struct<')}"
+COUNTERS = "outcome string, n bigint"
+#: Names of committed batches (about 60 bytes each) are broadcast up to this number.
+MAX_BROADCAST_BATCHES = 100_000
 DEAD = "provider_id bigint, address string, body string, received_at timestamp, error string"
 
 
@@ -49,18 +56,26 @@ def _transaction() -> Column:
         "id": F.col("provider_id"), "amount": p("amount"), "currency": p("currency"), "direction": p("direction"), "type": p("message_type"), "affects_spend": F.coalesce(p("affects_spend"), F.lit(True)),
         "is_deleted": F.lit(False), "occurred_at": at, "time_source": F.when(p("occurredAt").isNull(), "received").otherwise("message"),
         "converted_amount": p("convertedAmount"), "converted_currency": p("convertedCurrency"), "fee_amount": p("fee"), "fee_currency": p("feeCurrency"), "balance_amount": p("remainingBalance"), "balance_currency": p("balanceCurrency"),
-        "fx_rate": rate, "conversion_pending": F.lit(False), "reference": p("referenceNumber"), "masked_ref": p("instrumentRef"), "merchant_text": p("merchant"), "counterparty_name": p("counterpartyName"), "counterparty_bank": p("counterpartyBankName"),
+        "fx_rate": rate, "reference": p("referenceNumber"), "masked_ref": p("instrumentRef"), "merchant_text": p("merchant"), "counterparty_name": p("counterpartyName"), "counterparty_bank": p("counterpartyBankName"),
         "needs_review": F.lit(False), "provenance": F.lit("sms"), "source_message_id": F.col("content_hmac"),
     }
     return F.struct(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TRANSACTION))
 
 
+def _exchange(rows: DataFrame, base: str) -> DataFrame:
+    """Rate, its source and date, and whether a conversion is still to come. Only a time that the message states dates a rate."""
+    fx = money.fx_recording(base)
+    dated = F.when(F.col("time_source") == "message", fx["rate_date"])
+    return rows.withColumns({"fx_rate": fx["rate"], "fx_rate_source": fx["source"], "fx_rate_date": dated, "conversion_pending": fx["pending"]})
+
+
 @dataclass(frozen=True)
 class Ingest:
     """Where the tables are, the pack and the key of the content hash.
 
     ``redact``: patterns for all messages, beside those of the pack. ``candidates``: the known merchants
-    (see ``matching.merchant_candidates``); without it transactions get no category.
+    (see ``matching.merchant_candidates``); without it transactions get no category. ``base``: the currency
+    that amounts of others are to be converted to.
     """
 
     folder: str
@@ -68,6 +83,7 @@ class Ingest:
     hmac_key: bytes
     redact: tuple[str, ...] = field(default=())
     candidates: Callable[[SparkSession], DataFrame] | None = None
+    base: str = "SAR"
 
     def _read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         try:
@@ -77,9 +93,16 @@ class Ingest:
                 raise
             return spark.createDataFrame([], f"{schema}, run string, batch bigint")
 
+    def commits(self, spark: SparkSession) -> DataFrame:
+        """(run, batch) of the batches that were written to their end."""
+        return self._read(spark, "counters", COUNTERS).select("run", "batch").distinct()
+
+    def _committed(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
+        return self._read(spark, name, schema).join(small(self.commits(spark), MAX_BROADCAST_BATCHES), ["run", "batch"], "left_semi")
+
     def ingested(self, spark: SparkSession) -> DataFrame:
         """Messages, each with its transaction if it has one, and the run and batch that brought it."""
-        return self._read(spark, "ingested", ROW)
+        return self._committed(spark, "ingested", ROW)
 
     def messages(self, spark: SparkSession) -> DataFrame:
         return self.ingested(spark).drop("transaction", "run", "batch")
@@ -90,12 +113,18 @@ class Ingest:
         pairs = flag_pairs(rows.where("duplicate_of IS NOT NULL").select("id", "duplicate_of")).withColumnRenamed("duplicate_of", "other_id")
         return flag_duplicates(rows, pairs.join(rows.select("id", F.col("duplicate_of").alias("own")), "id").where("own IS NULL").drop("own"))
 
+    def bank_log(self, spark: SparkSession) -> DataFrame:
+        return self._committed(spark, "banks", entities.BANK_LOG).drop("run", "batch")
+
+    def instrument_log(self, spark: SparkSession) -> DataFrame:
+        return self._committed(spark, "instruments", entities.INSTRUMENT_LOG).drop("run", "batch")
+
     def dead_letters(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "dead_letter", DEAD)
+        return self._committed(spark, "dead_letter", DEAD)
 
     def counters(self, spark: SparkSession) -> DataFrame:
         """(outcome, n) over all batches; the numbers add up to the messages examined."""
-        return self._read(spark, "counters", "outcome string, n bigint").groupBy("outcome").agg(F.sum("n").alias("n"))
+        return self._read(spark, "counters", COUNTERS).groupBy("outcome").agg(F.sum("n").alias("n"))
 
     def outcomes(self, batch: DataFrame) -> DataFrame:
         """A batch through sanitising, normalising and parsing, in this order; the hash covers the normalised, sanitised text.
@@ -109,17 +138,31 @@ class Ingest:
         p = F.col("parsed").withField("outcome", F.lit("unparsed")).withField("reason", F.lit("required_field_missing"))
         return parsed.withColumn("parsed", F.when(bad, p.withField("amount", F.lit(None).cast("decimal(20,4)"))).otherwise(F.col("parsed")))
 
-    def process(self, batch: DataFrame, earlier: DataFrame) -> DataFrame:
-        """One row for each message of the batch: (provider_id, outcome, error, the columns of a message, transaction).
+    def entities(self, parsed: DataFrame, bank_log: DataFrame, instrument_log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows for the log of banks, rows for that of instruments, (seen, instrument_id) of the transactions)."""
+        new_banks = cut(entities.add_banks(bank_log, parsed, profiles(parsed.sparkSession, self.pack)))
+        named = cut(entities.mentions(parsed))
+        table = entities.banks(bank_log.unionByName(new_banks))
+        new_instruments = cut(entities.add_instruments(instrument_log, named, table))
+        after = instrument_log.unionByName(new_instruments).where("ref_key IS NOT NULL")
+        return new_banks, new_instruments, entities.instrument_ids(named, after.join(small(named.select("ref_key").distinct(), entities.MAX_BROADCAST_KEYS), "ref_key", "left_semi"))
+
+    def process(self, batch: DataFrame, earlier: DataFrame, bank_log: DataFrame | None = None, instrument_log: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What a batch comes to: messages, and what it adds to the logs of banks and instruments.
 
+        Messages have one row each: (provider_id, outcome, error, the columns of a message, transaction).
         ``earlier`` has what was ingested before. Messages of other senders are neither compared nor kept.
         """
         spark = batch.sparkSession
+        bank_log = spark.createDataFrame([], entities.BANK_LOG) if bank_log is None else bank_log
+        instrument_log = spark.createDataFrame([], entities.INSTRUMENT_LOG) if instrument_log is None else instrument_log
         rows = cut(self.outcomes(batch).withColumn("sms_provider_id", F.col("provider_id")).withColumn("error", F.when(F.col("provider_id").isNull(), "no_provider_id").otherwise(F.col("error"))).withColumn("__row", F.monotonically_increasing_id()))
         relevant = rows.where("error IS NULL AND parsed.outcome <> 'not_financial'")
         fresh = cut(exact_new(relevant, earlier.select("content_hmac", "sms_provider_id")))
         parsed = fresh.where("parsed.outcome = 'parsed'")
-        new = cut(with_defaults(parsed.select("__row", _transaction().alias("t")).select("__row", "t.*")))
+        new_banks, new_instruments, ids = self.entities(parsed, bank_log, instrument_log)
+        made = _exchange(parsed.select("__row", _transaction().alias("t")).select("__row", "t.*"), self.base)
+        new = cut(with_defaults(made.drop("instrument_id").join(ids.withColumnRenamed("seen", "id"), "id", "left")))
         before = earlier.where("transaction IS NOT NULL").select("transaction.*")
         decided = batch_decisions(new.drop("__row"), before)
         transactions = flag_duplicates(new.drop("__row"), decided.select("id", F.col("duplicate_of").alias("other_id")))
@@ -138,23 +181,31 @@ class Ingest:
             .when(F.col("transaction.duplicate_of").isNotNull(), "flagged")
             .otherwise("transaction")
         )
-        return joined.select(
+        messages = joined.select(
             "provider_id", outcome.alias("outcome"), "error", "sms_provider_id", "address", "received_at", F.when(kind.isin("parsed", "unparsed"), F.col("body")).alias("sanitized_body"), "content_hmac", "bank_id",
             F.when(kind.isin("parsed", "unparsed"), F.concat(F.lit("financial_"), kind)).otherwise(kind).alias("classification"), F.lit(False).alias("dismissed_as_not_transaction"), "pan_redacted", F.col("parsed.reason").alias("unparsed_reason"), F.col("parsed.rule_id").alias("rule_id"), partial_json().alias("partial_extraction"), "transaction",
         )
+        return messages, new_banks, new_instruments
 
     def write(self, batch: DataFrame, batch_id: int, run: str) -> None:
-        """Ingests a batch into the folder of (run, batch_id), over what an earlier try has left there."""
+        """Ingests a batch into the folders of (run, batch_id), over what an earlier try has left there.
+
+        The counters come last and commit it; a batch that was committed is left as it is.
+        """
         spark = batch.sparkSession
+        if not self.commits(spark).where((F.col("run") == run) & (F.col("batch") == batch_id)).isEmpty():
+            return
         into = f"run={run}/batch={batch_id}"
-        earlier = self.ingested(spark).where((F.col("run") != run) | (F.col("batch") != batch_id))
-        done = cut(self.process(batch, earlier))
+        messages, new_banks, new_instruments = self.process(batch, self.ingested(spark), self.bank_log(spark), self.instrument_log(spark))
+        done = cut(messages)
         new = done.where("outcome NOT IN ('failed', 'not_financial', 'duplicate')")
         new.select(*(f.split(" ")[0] for f in MESSAGE.split(", ")), "transaction").write.mode("overwrite").parquet(f"{self.folder}/ingested/{into}")
         bad = done.where("outcome = 'failed'").select("provider_id", "error").distinct()
         dead = batch.join(bad.withColumnRenamed("provider_id", "__id"), F.expr("provider_id <=> __id")).drop("__id")
         dead.select("provider_id", "address", "body", "received_at", "error").write.mode("overwrite").parquet(f"{self.folder}/dead_letter/{into}")
-        done.groupBy("outcome").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/counters/{into}")
+        new_banks.write.mode("overwrite").parquet(f"{self.folder}/banks/{into}")
+        new_instruments.write.mode("overwrite").parquet(f"{self.folder}/instruments/{into}")
+        done.groupBy("outcome").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counters/{into}")
 
     def retry(self, spark: SparkSession) -> None:
         """Tries the failed messages that have an id once more, for instance with a mended pack."""

@@ -54,6 +54,28 @@ def test_a_chain_of_keys(spark):
     assert kept(spark, batch, []) == one_by_one(batch, [])
 
 
+def test_a_long_chain_takes_as_many_jobs_as_a_short_one(spark):
+    batch = [(n, n // 2, f"h{(n + 1) // 2}") for n in range(10_000)]
+    rows = spark.createDataFrame(batch, KEYS)
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for size in (100, 10_000):
+        spark.sparkContext.setJobGroup(f"chain {size}", "")
+        got = [r["provider_id"] for r in duplicates.exact_new(rows.where(F.col("provider_id") < size), rows.where("false")).collect()]
+        jobs.append(len(tracker.getJobIdsForGroup(f"chain {size}")))
+        assert sorted(got) == one_by_one(batch[:size], [])
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize(("seed", "most"), [(0, 500_000), (1, 0)])
+def test_chains_as_one_by_one(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(duplicates, "ROUNDS", 1)
+    monkeypatch.setattr(duplicates, "MOST_IN_ONE_PASS", most)
+    rng = random.Random(seed)
+    batch = [(n, rng.choice([None, *range(40)]), rng.choice([None, *(f"h{k}" for k in range(40))])) for n in range(120)]
+    assert kept(spark, batch, batch[:0] + [(-1, 3, "h3")]) == one_by_one(batch, [(-1, 3, "h3")])
+
+
 @pytest.fixture
 def job(tmp_path):
     return ingest.Ingest(f"{tmp_path}/out", rule_pack.load_pack(json.dumps(PACK)), b"k")
@@ -164,6 +186,5 @@ def test_import_rescan_and_live_query(spark, tmp_path, job):
     backfill.rescan(messages, job, datetime(2026, 1, 1))
     assert ids() == [1, 2, 3]
     seen = []
-    schema = job.ingested(spark).drop("run", "batch").schema
-    backfill.watch(spark, f"{job.folder}/ingested", schema, lambda t: t.agg(F.count("transaction").alias("n")), lambda df, _: seen.append(df.first()["n"]), f"{tmp_path}/c").awaitTermination()
+    backfill.watch(spark, job, lambda t: t.agg(F.count("transaction").alias("n")), lambda df, _: seen.append(df.first()["n"]), f"{tmp_path}/c").awaitTermination()
     assert seen == [3]
