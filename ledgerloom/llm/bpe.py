@@ -6,7 +6,7 @@ table of their own; what lies between them occurs once and is encoded in its pla
 the text around the join is encoded anew and replaces the pieces' own ids there; it must agree with both
 pieces on the segment beyond, else it is widened, to the whole of both pieces and to further ones.
 
-Equal texts are one row until the result is joined back. Texts cross the network once; beside them go a
+Equal texts are one row until the result is joined back. Texts cross the network once, compressed; beside them go a
 digest a chunk, and the ids of shared chunks to the texts that hold them.
 
 A segment reaches from one white space to the next. The tokenizer drops white space and no match of its
@@ -32,10 +32,11 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import cut, spread
+from ..operators.lineage import cut, small, spread
 
 #: Code points that decide on a cut; a power of two.
 WINDOW = 16
@@ -45,6 +46,8 @@ SPACING = 1024
 LEAST, MOST = 128, 8192
 #: Words that a task remembers; then it begins anew.
 WORDS = 1 << 18
+#: Names of texts whose chunks are encoded for others (about 100 bytes each), broadcast to the scan up to this number.
+MAX_BROADCAST_OWNERS = 500_000
 _FACTOR = np.uint32(0x9E3779B1)
 _SPACE = re.compile(r"[ \t\n\r]")
 #: Characters that normal form C leaves alone, but for the capital I with a dot, whose lower case has a mark.
@@ -208,8 +211,20 @@ def assembled(encode: Callable[[str], Ids], text: str, cuts: list[int], shared:
     return ids
 
 
-def _binary(text: Column) -> Column:
-    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+def _key(text: Column) -> Column:
+    """128 bits of the text's SHA-256; never null, so that no filter sets plans apart that share an exchange."""
+    return F.coalesce(F.unhex(F.left(F.sha2(text, 256), F.lit(32))), F.lit(b""))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.record_batch([batch["h"], pa.array([pack(t.encode()) for t in batch["text"].to_pylist()], pa.binary())], ["h", "packed"])
+
+
+def _texts(packed: pa.Array) -> list[str]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(z).decode() for z in packed.to_pylist()]
 
 
 def _chunk_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +262,11 @@ def _ids_column(encode: Encoder, rows: list[Ids]) -> dict[str, pa.Array]:
 
 
 def _description(encode: Encoder, rows: list[Ids]) -> dict[str, pa.Array]:
-    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    sha = lambda text: hashlib.sha256(text.encode()).digest()
     return {
         "n_tokens": pa.array([len(ids) for ids in rows], pa.int64()),
-        "ids_sha256": pa.array([sha(encode.listed(ids)) for ids in rows], pa.string()),
-        "decoded_sha256": pa.array([sha(encode.decode(ids)) for ids in rows], pa.string()),
+        "ids_sha256": pa.array([sha(encode.listed(ids)) for ids in rows], pa.binary()),
+        "decoded_sha256": pa.array([sha(encode.decode(ids)) for ids in rows], pa.binary()),
     }
 
 
@@ -260,7 +275,7 @@ def _assemble(path: str, columns: Callable[[Encoder, list[Ids]], dict[str, pa.Ar
         encode = encoder(path)
         for batch in batches:
             rows = []
-            for text, have in zip(batch["text"].to_pylist(), batch["have"].to_pylist(), strict=True):
+            for text, have in zip(_texts(batch["packed"]), batch["have"].to_pylist(), strict=True):
                 shared = {s["place"]: (s["ids"], s["counts"]) for s in have or ()}
                 rows.append(assembled(encode, text, ends(text) if shared else [], shared))
             made = columns(encode, rows)
@@ -279,9 +294,10 @@ def shared_chunks(texts: DataFrame) -> DataFrame:
 
 def _encoded_texts(texts: DataFrame, path: str, columns: Callable[[Encoder, list[Ids]], dict[str, pa.Array]], schema: str) -> DataFrame:
     shared = shared_chunks(texts)
-    once = texts.groupBy("h").agg(F.first("text").alias("text"))
-    owned = shared.where("owned").groupBy("h").agg(F.collect_list(F.struct("place", "c")).alias("owned"))
-    chunks = once.join(owned, "h").select("text", "owned").mapInArrow(_encode_chunks(path), "c binary, ids array<int>, counts array<int>")
+    owned = cut(shared.where("owned").groupBy("h").agg(F.collect_list(F.struct("place", "c")).alias("owned")))
+    owners = texts.join(small(owned, MAX_BROADCAST_OWNERS), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("owned").alias("owned"))
+    chunks = owners.select("text", "owned").mapInArrow(_encode_chunks(path), "c binary, ids array<int>, counts array<int>")
+    once = texts.mapInArrow(_packed, "h binary, packed binary").groupBy("h").agg(F.first("packed").alias("packed"))
     have = shared.join(chunks, "c").groupBy("h").agg(F.collect_list(F.struct("place", "ids", "counts")).alias("have"))
     return once.join(have, "h", "left").mapInArrow(_assemble(path, columns), f"h binary, {schema}")
 
@@ -294,7 +310,7 @@ def encode_texts(texts: DataFrame, path: str) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, h, text), null texts as empty ones; equal texts have equal keys."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", _binary(text).alias("h"), text.alias("text"))
+    return docs.select("doc_id", _key(text).alias("h"), text.alias("text"))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -306,8 +322,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def describe_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
     rows = keyed(docs)
-    done = _encoded_texts(rows.select("h", "text"), path, _description, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return rows.select("doc_id", "h").join(spread(done), "h").drop("h")
+    done = _encoded_texts(rows.select("h", "text"), path, _description, "n_tokens long, ids_sha256 binary, decoded_sha256 binary")
+    hexed = (F.lower(F.hex(c)).alias(c) for c in ("ids_sha256", "decoded_sha256"))
+    return rows.select("doc_id", "h").join(spread(done), "h").select("doc_id", "n_tokens", *hexed)
 
 
 def decode_documents(rows: DataFrame, path: str) -> DataFrame:
