@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import fold, merchant_key, script_of
 from ..schema import MAX_BROADCAST_CATEGORIES, UNCATEGORIZED
-from .lineage import numbered, small
+from .lineage import cut, numbered, small
 
 CATEGORY_FLAGS = ("low_confidence", "unknown_merchant", "known_merchant_without_rule")
 DUPLICATE_FLAGS = ("possible_duplicate", "possible_authorisation_posting_pair")
@@ -125,16 +125,63 @@ def get_or_create(table: DataFrame, wanted: DataFrame, key: str, fill: tuple[str
 
 
 def upsert_rules(rules: DataFrame, wanted: DataFrame, categories: DataFrame) -> DataFrame:
-    """wanted (merchant_id, category_id, source): a rule a merchant; unknown categories are refused, a user's rule is not replaced by a seed."""
+    """wanted (merchant_id, category_id, source), one row a merchant: a rule a merchant; unknown categories are refused.
+
+    The category is taken over from any source, but a rule that was the user's stays the user's. New rules get
+    ids after the last, in the order of merchants.
+    """
     known = wanted.join(small(categories.select(F.col("id").alias("category_id")), MAX_BROADCAST_CATEGORIES), "category_id", "left_semi")
     w = known.select("merchant_id", F.col("category_id").alias("__category"), F.col("source").alias("__source"))
     old = rules.join(w, "merchant_id", "left")
-    take = F.col("__source").isNotNull() & ~((F.col("source") == "user") & (F.col("__source") != "user"))
-    kept = old.withColumns({"category_id": F.when(take, F.col("__category")).otherwise(F.col("category_id")), "source": F.when(take, F.col("__source")).otherwise(F.col("source"))}).select(*rules.columns)
-    fresh = w.join(rules.select("merchant_id"), "merchant_id", "left_anti").select("merchant_id", F.col("__category").alias("category_id"), F.col("__source").alias("source"), F.lit(True).alias("is_enabled"))
+    told = F.col("__source").isNotNull()
+    source = F.when(told & ~F.coalesce(F.col("source") == "user", F.lit(False)), F.col("__source")).otherwise(F.col("source"))
+    kept = old.withColumns({"category_id": F.when(told, F.col("__category")).otherwise(F.col("category_id")), "source": source}).select(*rules.columns)
+    new = numbered(w.join(rules.select("merchant_id"), "merchant_id", "left_anti"), "merchant_id", name="__n")
+    last = rules.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))  # one row
+    fresh = new.join(F.broadcast(last)).select((F.col("__last") + F.col("__n")).cast(rules.schema["id"].dataType).alias("id"), "merchant_id", F.col("__category").alias("category_id"), F.col("__source").alias("source"), F.lit(True).alias("is_enabled"))
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def link_aliases(aliases: DataFrame, wanted: DataFrame, order: str = "n") -> tuple[DataFrame, DataFrame]:
+    """(``aliases`` and the new ones, ``wanted`` with ``status``): wanted (order, merchant_id, text).
+
+    no_key: the text names no merchant; clash: its key is an alias already, of whichever merchant, or an earlier
+    row takes it. What is refused changes nothing.
+    """
+    keyed = wanted.withColumns({"alias_key": merchant_key(F.col("text")), "script": script_of(F.col("text"))})
+    first = keyed.where("alias_key IS NOT NULL").groupBy("alias_key").agg(F.min(order).alias("__first"))
+    held = aliases.select("alias_key", F.lit(True).alias("__held")).distinct()
+    status = F.when(F.col("alias_key").isNull(), "no_key").when(F.coalesce("__held", F.lit(False)) | (F.col(order) != F.col("__first")), "clash").otherwise("linked")
+    told = keyed.join(first, "alias_key", "left").join(held, "alias_key", "left").withColumn("status", status).drop("__first", "__held")
+    new = told.where("status = 'linked'").select("merchant_id", "alias_key", "script").dropDuplicates(["alias_key"])
+    return aliases.unionByName(new.select(*(c for c in new.columns if c in aliases.columns)), allowMissingColumns=True), told.select(*wanted.columns, "status")
+
+
+def learn_from_choices(transactions: DataFrame, merchants: DataFrame, rules: DataFrame, categories: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(transactions, merchants, rules) after choices (id, category_id, learn), one a transaction.
+
+    The category is the user's from now on. A transaction without a merchant whose text names one gets it, made
+    if it is new. Where ``learn`` is true and the choice is a category, the merchant's rule becomes the user's;
+    of several choices for a merchant that of the greatest transaction counts. Unknown ids change nothing.
+    """
+    chosen = cut(transactions.select("id", "merchant_id", merchant_key(F.col("merchant_text")).alias("merchant_key")).join(choices, "id"))
+    open_ = chosen.where("merchant_id IS NULL AND merchant_key IS NOT NULL")
+    all_merchants = cut(get_or_create(merchants, open_.select("merchant_key"), "merchant_key"))
+    links = cut(open_.select("id", "merchant_key").join(all_merchants.select("merchant_key", F.col("id").alias("merchant_id")), "merchant_key").select("id", "merchant_id"))
+    rows = link_merchants(set_category_by_user(transactions, chosen.select("id", "category_id")), links)
+    known = chosen.drop("merchant_key").join(links.withColumnRenamed("merchant_id", "__own"), "id", "left").withColumn("merchant_id", F.coalesce("merchant_id", "__own"))
+    taught = known.where(F.col("learn") & F.col("merchant_id").isNotNull() & F.nullif("category_id", F.lit(UNCATEGORIZED)).isNotNull())
+    wanted = taught.groupBy("merchant_id").agg(F.max_by("category_id", "id").alias("category_id")).withColumn("source", F.lit("user"))
+    return rows, all_merchants, upsert_rules(rules, wanted, categories)
+
+
+def dismiss(messages: DataFrame, ids: DataFrame) -> DataFrame:
+    """Messages of these ids are no transactions: they leave the review queue and stay, so that they are known when they come again."""
+    said = ids.select("id", F.lit(True).alias("__said")).distinct()
+    rows = messages.join(said, "id", "left")
+    return rows.withColumn("dismissed_as_not_transaction", F.coalesce("__said", "dismissed_as_not_transaction")).select(*messages.columns)
+
+
 def link_settlement(instruments: DataFrame, links: DataFrame) -> DataFrame:
     """links (id, account_id, source): the first observation stands unless the user says otherwise."""
     rows = instruments.join(links.select("id", F.col("account_id").alias("__to"), F.col("source").alias("__by")), "id", "left")

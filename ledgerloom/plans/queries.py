@@ -927,11 +927,99 @@ def u7_transfer_decisions(spark, d):
     return mutations.decide_transfers(tx, said).select("id", "transfer_state", "transfer_group", "needs_review")
 
 
-@query(f"WITH m AS ({_MERCHANT}), r AS (SELECT id AS merchant_id, CASE WHEN id % 2 = 0 THEN 'groceries' ELSE 'gone' END AS category_id, id % 5 = 0 AS mine FROM m WHERE id % 3 = 0) SELECT id AS merchant_id, CASE WHEN r.mine THEN r.category_id ELSE 'dining' END AS category_id FROM m LEFT JOIN r ON r.merchant_id = m.id WHERE r.merchant_id IS NOT NULL OR id % 2 = 0")
+_RULES = "SELECT id, id AS merchant_id, CASE WHEN id % 2 = 0 THEN 'groceries' ELSE 'gone' END AS category_id, CASE WHEN id % 5 = 0 THEN 'user' ELSE 'seed' END AS source FROM m WHERE id % 3 = 0"
+
+
+@query(
+    f"""WITH m AS ({_MERCHANT}), r AS ({_RULES}), last AS (SELECT max(id) AS last FROM r), n AS (SELECT id AS merchant_id, row_number() OVER (ORDER BY id) AS k FROM m WHERE id % 2 = 0 AND id % 3 <> 0)
+SELECT id, merchant_id, 'dining' AS category_id, source FROM r UNION ALL SELECT last + k, merchant_id, 'dining', 'seed' FROM n, last"""
+)
 def u8_upsert_rules(spark, d):
     m, _, rules = _merchant_tables(spark, d)
     wanted = m.where("id % 3 = 0 OR id % 2 = 0").select(F.col("id").alias("merchant_id"), F.explode(F.array(F.lit("dining"), F.lit("no_such_category"))).alias("category_id"), F.lit("seed").alias("source"))
-    return mutations.upsert_rules(rules, wanted, categories(spark)).select("merchant_id", "category_id")
+    return mutations.upsert_rules(rules, wanted, categories(spark)).select("id", "merchant_id", "category_id", "source")
+
+
+@query(
+    f"""WITH m AS ({_MERCHANT}), w AS (SELECT id, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 5 = 0 THEN 'SHOP ' || CAST(id // 10 * 4 AS STRING) ELSE 'KIOSK ' || CAST(id // 3 AS STRING) END AS k FROM m),
+held AS (SELECT 'SHOP ' || CAST(id AS STRING) AS k FROM m WHERE id % 4 = 0)
+SELECT id AS merchant_id, CASE WHEN k IS NULL THEN 'no_key' WHEN k IN (SELECT k FROM held) OR row_number() OVER (PARTITION BY k ORDER BY id) > 1 THEN 'clash' ELSE 'linked' END AS status FROM w"""
+)
+def u8_link_aliases(spark, d):
+    m, aliases, _ = _merchant_tables(spark, d)
+    n = F.col("id")
+    told = F.when(n % 6 == 0, " ").when(n % 5 == 0, F.concat(F.lit("Shop "), (F.floor(n / 10) * 4).cast("string"))).otherwise(F.concat(F.lit("kiosk  "), F.floor(n / 3).cast("string")))
+    return mutations.link_aliases(aliases, m.select(n.alias("n"), n.alias("merchant_id"), told.alias("text")))[1].select("merchant_id", "status")
+
+
+def _choices(tx: DataFrame) -> DataFrame:
+    n = F.col("id")
+    category = F.when(n % 9 == 0, "uncategorized").when(n % 27 == 1, "no_such_category").when(n % 2 == 0, "dining").otherwise("utilities_bills")
+    return tx.where("id % 3 <> 2").select("id", category.alias("category_id"), (n % 5 != 0).alias("learn"))
+
+
+@query(
+    f"""WITH t AS ({_TX}), m AS ({_MERCHANT}), r AS ({_RULES}), c AS (SELECT id, merchant_id, CASE WHEN id % 9 = 0 THEN NULL WHEN id % 27 = 1 THEN 'no_such_category' WHEN id % 2 = 0 THEN 'dining' ELSE 'utilities_bills' END AS category_id, id % 5 <> 0 AS learn FROM t WHERE id % 3 <> 2),
+w AS (SELECT merchant_id, arg_max(category_id, id) AS category_id FROM c WHERE learn AND category_id IS NOT NULL AND merchant_id IS NOT NULL GROUP BY 1), good AS (SELECT * FROM w WHERE category_id <> 'no_such_category'),
+n AS (SELECT merchant_id, category_id, row_number() OVER (ORDER BY merchant_id) AS k FROM good WHERE merchant_id NOT IN (SELECT merchant_id FROM r))
+SELECT r.id, merchant_id, coalesce(g.category_id, r.category_id) AS category_id, CASE WHEN g.category_id IS NOT NULL THEN 'user' ELSE source END AS source FROM r LEFT JOIN good g USING (merchant_id)
+UNION ALL SELECT (SELECT max(id) FROM r) + k, merchant_id, category_id, 'user' FROM n"""
+)
+def u12_learnt_rules(spark, d):
+    tx = ledger(spark, d)
+    m, _, rules = _merchant_tables(spark, d)
+    return mutations.learn_from_choices(tx, m.select("id", "merchant_key"), rules, categories(spark), _choices(tx))[2].select("id", "merchant_id", "category_id", "source")
+
+
+@query(
+    f"""WITH t AS ({_TX}), m AS ({_MERCHANT}), k AS (SELECT id, upper(split_part(merchant_text, ' Store', 1)) || ' STORE' AS k FROM t WHERE id % 3 <> 2 AND id % 4 = 0),
+n AS (SELECT k, row_number() OVER (ORDER BY k) + (SELECT max(id) FROM m) AS merchant_id FROM (SELECT DISTINCT replace(k, '-', ' ') AS k FROM k))
+SELECT t.id, CASE WHEN t.id % 4 = 0 THEN n.merchant_id ELSE t.merchant_id END AS merchant_id FROM t LEFT JOIN k USING (id) LEFT JOIN n ON n.k = replace(k.k, '-', ' ')"""
+)
+def u12_merchants_of_choices(spark, d):
+    tx = ledger(spark, d).withColumn("merchant_id", F.when(F.col("id") % 4 != 0, F.col("merchant_id")))
+    m, _, rules = _merchant_tables(spark, d)
+    return mutations.learn_from_choices(tx, m.select("id", "merchant_key"), rules, categories(spark), _choices(tx))[0].select("id", "merchant_id")
+
+
+@query(f"SELECT id FROM ({_PENDING}) WHERE id % 5 <> 0")
+def u14_dismissed(spark, d):
+    rows = view(spark, d, _MESSAGES)
+    return mutations.dismiss(rows, rows.where("id % 5 = 0").select("id")).where(filters.PENDING_REVIEW).select("id")
+
+
+_AT = datetime(2026, 7, 1)
+_ENTRY_COLUMNS = ("seq", "action", "actor", "actor_detail", "field_changes")
+_JSON = lambda x: f"coalesce('\"' || {x} || '\"', 'null')"
+_CHANGE = lambda name, old, new: f"""'{{"field":"{name}","from":' || {_JSON(old)} || ',"to":' || {_JSON(new)} || '}}'"""
+
+
+@query(f"SELECT id AS seq, 'categorize' AS action, 'user' AS actor, CAST(NULL AS STRING) AS actor_detail, '[' || {_CHANGE('categoryId', 'category_id', chr(39) + 'dining' + chr(39))} || ',' || {_CHANGE('categorySource', 'category_source', chr(39) + 'user' + chr(39))} || ']' AS field_changes FROM ({_TX}) WHERE id % 10 = 3")
+def u1_audit_entries(spark, d):
+    tx = ledger(spark, d)
+    choices = tx.where("id % 10 = 3").select("id", F.lit("dining").alias("category_id"))
+    return audit.categorised_by_user(tx, mutations.set_category_by_user(tx, choices), choices, F.lit(_AT)).select(*_ENTRY_COLUMNS)
+
+
+@query(f"SELECT id AS seq, 'categorize' AS action, 'system_rule' AS actor, 'rule' AS actor_detail, '[' || {_CHANGE('categoryId', 'category_id', chr(39) + 'dining' + chr(39))} || ',' || {_CHANGE('categoryConfidence', 'CAST(category_confidence AS STRING)', chr(39) + '0.7' + chr(39))} || ']' AS field_changes FROM ({_TX}) WHERE id % 10 IN (0, 1) AND coalesce(category_source, '') <> 'user' AND category_id IS DISTINCT FROM 'dining'")
+def u2_audit_entries(spark, d):
+    tx = ledger(spark, d)
+    changes = tx.where("id % 10 IN (0, 1)").select("id", F.lit("dining").alias("category_id"), F.lit(1).cast("bigint").alias("rule_id"), F.lit(0.7).alias("confidence"), F.lit("low_confidence").alias("reason"))
+    return audit.categorised_by_rule(tx, mutations.set_category_automatically(tx, changes), changes, F.lit(_AT), "rule").select(*_ENTRY_COLUMNS)
+
+
+@query(f"SELECT id AS seq, 'delete' AS action, 'user' AS actor, CAST(NULL AS STRING) AS actor_detail, '[' || {_CHANGE('isDeleted', 'CAST(is_deleted AS STRING)', chr(39) + 'true' + chr(39))} || ']' AS field_changes FROM ({_TX}) WHERE id % 6 = 1")
+def u3_audit_entries(spark, d):
+    tx = ledger(spark, d)
+    ids = tx.where("id % 6 = 1").select("id")
+    return audit.deleted(tx, mutations.soft_delete(tx, ids, _AT), ids, F.lit(_AT)).select(*_ENTRY_COLUMNS)
+
+
+@query(f"SELECT id AS seq, 'update' AS action, 'user' AS actor, 'manual_edit' AS actor_detail, '[' || {_CHANGE('merchantRawText', 'merchant_text', chr(39) + 'NEW' + chr(39))} || CASE WHEN type <> 'fee' THEN ',' || {_CHANGE('transactionType', 'type', chr(39) + 'fee' + chr(39))} ELSE '' END || ']' AS field_changes FROM ({_TX}) WHERE id % 4 = 1")
+def u4_audit_entries(spark, d):
+    tx = ledger(spark, d)
+    edits = tx.where("id % 4 = 1").withColumns({"merchant_text": F.lit("NEW"), "type": F.lit("fee"), "set": F.array(F.lit("merchant_text"), F.lit("type"))})
+    return audit.edited(tx, mutations.edit(tx, edits), edits, F.lit(_AT)).select(*_ENTRY_COLUMNS)
 
 
 @query(f"WITH i AS ({_INST}) SELECT id, CASE WHEN settlement_account_id IS NULL OR id % 2 = 0 THEN 1 ELSE settlement_account_id END AS settlement_account_id FROM i")

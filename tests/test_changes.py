@@ -113,3 +113,61 @@ def test_audit_chain_shows_tampering(spark):
     assert [r["id"] for r in audit.verify(bad, b"k", block=7).where("NOT intact").collect()] == [20]
     gap = audit.verify(log.where("id <> 30"), b"k", block=7)
     assert [r["id"] for r in gap.where("NOT linked").collect()] == [31]
+
+
+def test_learning_from_choices(spark):
+    rows = [tx(1, "1", merchant_text="Tealeaf Cafe"), tx(2, "1", merchant_text="Tealeaf  cafe"), tx(3, "1", merchant_text="Bare", merchant_id=2), tx(4, "1"), tx(5, "1", merchant_text="Bare", merchant_id=2), tx(6, "1", merchant_text="Odd", merchant_id=3)]
+    merchants = spark.createDataFrame([(2, "BARE"), (3, "ODD")], "id bigint, merchant_key string")
+    rules = spark.createDataFrame([(7, 2, "groceries", "seed", True)], "id bigint, merchant_id bigint, category_id string, source string, is_enabled boolean")
+    choices = spark.createDataFrame([(1, "dining", True), (2, "groceries", False), (3, "dining", True), (4, "dining", True), (5, "shopping_retail", True), (6, "uncategorized", True), (99, "dining", True)], "id bigint, category_id string, learn boolean")
+    after, shops, learnt = mutations.learn_from_choices(frame(spark, rows), merchants, rules, categories(spark), choices)
+    assert {r["id"]: (r["merchant_id"], r["category_id"], r["category_source"]) for r in after.collect()} == {1: (4, "dining", "user"), 2: (4, "groceries", "user"), 3: (2, "dining", "user"), 4: (None, "dining", "user"), 5: (2, "shopping_retail", "user"), 6: (3, None, "user")}
+    assert sorted(map(tuple, shops.collect())) == [(2, "BARE"), (3, "ODD"), (4, "TEALEAF CAFE")]
+    assert sorted((r["id"], r["merchant_id"], r["category_id"], r["source"]) for r in learnt.collect()) == [(7, 2, "shopping_retail", "user"), (8, 4, "dining", "user")]
+
+
+def test_a_seed_does_not_demote_a_user_s_rule(spark):
+    rules = spark.createDataFrame([(1, 2, "groceries", "user", True)], "id bigint, merchant_id bigint, category_id string, source string, is_enabled boolean")
+    wanted = spark.createDataFrame([(2, "dining", "seed"), (3, "nowhere", "seed")], "merchant_id bigint, category_id string, source string")
+    assert [tuple(r)[1:4] for r in mutations.upsert_rules(rules, wanted, categories(spark)).collect()] == [(2, "dining", "user")]
+
+
+def test_an_alias_is_linked_once(spark):
+    aliases = spark.createDataFrame([(1, "CORNER", "latin")], "merchant_id bigint, alias_key string, script string")
+    wanted = spark.createDataFrame([(1, 2, "corner"), (2, 3, " "), (3, 4, "المتجر"), (4, 5, "المتجر"), (5, 6, None)], "n bigint, merchant_id bigint, text string")
+    after, told = mutations.link_aliases(aliases, wanted)
+    assert {r["n"]: r["status"] for r in told.collect()} == {1: "clash", 2: "no_key", 3: "linked", 4: "clash", 5: "no_key"}
+    assert sorted((r["merchant_id"], r["script"]) for r in after.collect()) == [(1, "latin"), (4, "arabic")]
+
+
+def test_entries_of_changes_are_chained(spark):
+    before = frame(spark, [tx(1, "1", category_id="dining"), tx(2, "1", merchant_text="Old"), tx(3, "1")]).withColumn("merged_into", F.when(F.col("id") == 3, F.lit(1).cast("bigint")))
+    at, ids = F.lit(datetime(2026, 7, 1)), lambda *n: spark.createDataFrame([(i,) for i in n], "id bigint")
+    choices = ids(1).withColumn("category_id", F.lit("dining"))
+    one = mutations.set_category_by_user(before, choices)
+    two = mutations.edit(one, one.where("id = 2").withColumns({"merchant_text": F.lit("New"), "set": F.array(F.lit("merchant_text"))}))
+    three = mutations.soft_delete(two, ids(3), datetime(2026, 7, 1))
+    four = mutations.restore(three, ids(3))
+    logs = [audit.categorised_by_user(before, one, choices, at), audit.edited(one, two, ids(2), at), audit.deleted(two, three, ids(3), at), audit.restored(three, four, ids(3), at)]
+    chain, last, n = None, audit.GENESIS, 0
+    for log in logs:
+        done = audit.append(log, b"k", last, n)
+        row = done.orderBy(F.desc("id")).first()
+        last, n = row["entry_hash"], row["id"]
+        chain = done if chain is None else chain.unionByName(done)
+    got = [(r["action"], json.loads(r["field_changes"])) for r in chain.orderBy("id").collect()]
+    change = lambda f, a, b: {"field": f, "from": a, "to": b}
+    assert got == [
+        ("categorize", [change("categoryId", "dining", "dining"), change("categorySource", None, "user")]),
+        ("update", [change("merchantRawText", "Old", "New")]),
+        ("delete", [change("isDeleted", "false", "true")]),
+        ("restore", [change("isDeleted", "true", "false"), change("mergedIntoId", "1", None)]),
+    ]
+    assert all(r["linked"] and r["intact"] for r in audit.verify(chain, b"k").collect())
+    assert audit.edited(four, four, ids(1, 2, 3), at).count() == 0
+
+
+def test_dismissed_messages_leave_the_queue_and_stay(spark):
+    rows = spark.createDataFrame([(1, "financial_unparsed", False), (2, "financial_unparsed", None), (3, "ignored", False)], "id bigint, classification string, dismissed_as_not_transaction boolean")
+    after = mutations.dismiss(rows, spark.createDataFrame([(2,), (9,), (2,)], "id bigint"))
+    assert sorted(map(tuple, after.collect())) == [(1, "financial_unparsed", False), (2, "financial_unparsed", True), (3, "ignored", False)]
