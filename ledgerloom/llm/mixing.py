@@ -23,7 +23,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import numbered
@@ -110,12 +110,12 @@ def settle_all(fraction: np.ndarray, size: np.ndarray, rng: np.random.Generator)
     return p
 
 
-_ROWS = "row long, doc_id long, hash long, rank long, size long, base long, fraction double, copies long"
+_ROWS = "row long, doc_id long, hash long, number long, rank long, size long, base long, fraction double, copies long"
 
 
 def _round_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     level, rank, block = (int(x) for x in key[:3])
-    pdf = pdf.sort_values(["size", "order", "doc_id", "hash"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["size", "order", "doc_id", "hash", "number"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
     rng = np.random.default_rng([level, rank, block])
     size = pdf["size"].to_numpy(float)
     fraction = pdf["fraction"].to_numpy()
@@ -123,15 +123,19 @@ def _round_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     copies = pd.Series(np.rint(p).astype(np.int64) + pdf["base"].to_numpy(), dtype="Int64")
     if left >= 0:
         copies[left] = pd.NA
-    return pdf[["row", "doc_id", "hash", "rank", "size", "base"]].assign(fraction=p, copies=copies)
+    return pdf[["row", "doc_id", "hash", "number", "rank", "size", "base"]].assign(fraction=p, copies=copies)
+
+
+def dealt(rows: DataFrame, level: int, block_rows: int) -> DataFrame:
+    """Rows with the block in which they are rounded at a level, by a hash of what tells them apart."""
+    order = F.xxhash64(F.lit(level), "doc_id", "size", "hash", "number")
+    blocks = F.greatest(F.ceil(F.col("n") / float(block_rows)), F.lit(1))
+    return rows.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64(F.col("order")), blocks)).withColumn("level", F.lit(level)).withColumn("last", blocks == 1)
 
 
 def _round_level(rows: DataFrame, level: int, block_rows: int) -> tuple[DataFrame, DataFrame, int]:
     """Rounds in blocks: (settled rows, one unsettled row a block, how many unsettled)."""
-    order = F.xxhash64(F.lit(level), "doc_id", "size", "hash")
-    blocks = F.greatest(F.ceil(F.col("n") / float(block_rows)), F.lit(1))
-    dealt = rows.withColumn("order", order).withColumn("block", F.pmod(F.xxhash64(F.col("order")), blocks)).withColumn("level", F.lit(level)).withColumn("last", blocks == 1)
-    done = cut(dealt.groupBy("level", "rank", "block", "last").applyInPandas(_round_block, _ROWS))
+    done = cut(dealt(rows, level, block_rows).groupBy("level", "rank", "block", "last").applyInPandas(_round_block, _ROWS))
     open_ = done.where(F.col("copies").isNull())
     return done.where(F.col("copies").isNotNull()), open_, open_.count()
 
@@ -142,16 +146,31 @@ def _sized() -> list[Column]:
     return [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), hashed, F.col("source"), word_count(F.col("text")).alias("size")]
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Adds ``number``, which tells equal rows apart, from 1; so they spread over blocks as other rows do.
+
+    Rows are counted in their partition first, so that no task gets all rows that are equal. Which of them has
+    which number depends on the partitions, but as they are equal, results do not.
+    """
+    named = sized.withColumns({"part": F.shiftright("row", 33), "same": F.xxhash64("doc_id", "size", "hash")})
+    counts = named.groupBy("same", "part").agg(F.count("*").alias("here"))
+    before = F.sum("here").over(Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = counts.select("same", "part", before.alias("before")).where("before > 0")
+    inside = named.withColumn("number", F.row_number().over(Window.partitionBy("same", "part").orderBy("row")).cast("long"))
+    return inside.join(earlier, ["same", "part"], "left").withColumn("number", F.col("number") + F.coalesce("before", F.lit(0))).drop("same", "part", "before")
+
+
 def _copies(sized: DataFrame, weights: tuple[float, ...], most_copies: int, block_rows: int) -> DataFrame:
     """(row, doc_id, source, size, source_size, target, copies, taken) for the rows of ``sized``."""
     targets = source_targets(sized, weights, most_copies)
+    sized = _numbered(sized)
     if targets.count() <= MAX_BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     rows = sized.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.abs(share - F.round(share)) < 1e-12
     base = F.when(whole, F.round(share)).otherwise(F.floor(share)).cast("long")
-    ready = rows.select("row", "doc_id", "hash", "rank", F.col("docs").alias("n"), "size", base.alias("base"), F.when(whole | (F.col("size") == 0), 0.0).otherwise(share - F.floor(share)).alias("fraction"))
+    ready = rows.select("row", "doc_id", "hash", "number", "rank", F.col("docs").alias("n"), "size", base.alias("base"), F.when(whole | (F.col("size") == 0), 0.0).otherwise(share - F.floor(share)).alias("fraction"))
     fixed = ready.where(F.col("fraction") == 0).select("row", "doc_id", "rank", "size", F.col("base").alias("copies"))
     settled, unsettled, left = _round_level(ready.where(F.col("fraction") > 0), 0, block_rows)
     out, level = fixed.unionByName(settled.select("row", "doc_id", "rank", "size", "copies")), 0

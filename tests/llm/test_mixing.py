@@ -102,6 +102,26 @@ def test_equal_rows_without_id(spark):
     assert sum(r["taken"] for r in out if r["source"] == "y") == pytest.approx(200 / 7, abs=4)
 
 
+def test_equal_rows_spread_over_blocks(spark):
+    n, block_rows = 1_000_000, 1024
+    sized = spark.range(n, numPartitions=8).select(F.monotonically_increasing_id().alias("row"), F.lit(7).cast("long").alias("doc_id"), F.lit(5).cast("long").alias("hash"), F.lit("x").alias("source"), F.lit(3).cast("long").alias("size"))
+    numbered = mixing._numbered(sized)
+    assert numbered.select("number").distinct().count() == n
+    assert numbered.agg(F.max("number")).first()[0] == n
+    blocks = -(-n // block_rows)
+    dealt = mixing.dealt(numbered.withColumns({"n": F.lit(n), "rank": F.lit(1)}), 0, block_rows).groupBy("block").count()
+    sizes = [r["count"] for r in dealt.collect()]
+    assert len(sizes) == blocks
+    assert max(sizes) < 1.3 * block_rows
+
+
+def test_equal_rows_agree_whatever_the_partitions(spark):
+    rows = [(i % 3, "a b c", "en", "x", 5) for i in range(300)] + [(None, "d e", "en", "y", 3)] * 50
+    df = spark.createDataFrame(rows, DOCS)
+    runs = [sorted(map(tuple, mixing.copies(df.repartition(p), block_rows=16).collect()), key=repr) for p in (1, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert mixing.copies(none).count() == 0
