@@ -64,8 +64,10 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archive = write_archive(table(spark, sf_dir, "pages"), folder)
-    write_warc(spark, archive, f"{folder}/files")
-    forget(spark, archive)
+    try:
+        write_warc(spark, archive, f"{folder}/files")
+    finally:
+        forget(spark, archive)
     return read_pages(spark, f"{folder}/files")
 
 

@@ -31,8 +31,8 @@ from .shared import cut, shared_dir, shuffle_partitions, spread
 _EOL = "\r\n"
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 RECORD_DATE = "2024-01-01T00:00:00Z"
-#: Most records of a file.
-FILE_RECORDS = 100_000
+#: Most records of a file, and the bytes of payloads that a file and a bucket of payloads shall have about.
+FILE_RECORDS, FILE_BYTES, BUCKET_BYTES = 100_000, 256 << 20, 128 << 20
 #: Spark's own limit of buckets.
 MAX_BUCKETS = 100_000
 _CHUNK = 1 << 20
@@ -113,7 +113,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_bytes: int =
     # equal addresses have equal bytes, so any row of an address will do
     table = f"warc_payloads_{uuid.uuid4().hex}"
     kept = rows.select(F.sha2("payload", 256).alias("address"), "payload").dropDuplicates(["address"])
-    buckets = min(MAX_BUCKETS, shuffle_partitions(spark))
+    stored = keyed.groupBy("address").agg(F.first("payload_bytes").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    buckets = min(MAX_BUCKETS, max(shuffle_partitions(spark), -(-stored // BUCKET_BYTES)))
     kept.write.bucketBy(buckets, "address").format("parquet").option("compression", "zstd").option("path", f"{folder}/payloads").saveAsTable(table)
     return Archive(f"{folder}/headers", f"{folder}/payloads", table)
 
@@ -147,7 +148,15 @@ def write_warc(spark: SparkSession, archive: Archive, folder: str, compression:
     Pages of equal payloads have a record each, and their order in the files is not defined.
     """
     records = warc_records(spark, archive).select(F.concat("header", F.decode("payload", "UTF-8")).alias("value"))
-    records.write.option("lineSep", _EOL * 2).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    per_file = records_per_file(read_headers(spark, archive))
+    records.write.option("lineSep", _EOL * 2).option("compression", compression).option("maxRecordsPerFile", per_file).text(folder)
+
+
+def records_per_file(headers: DataFrame) -> int:
+    """How many records make up ``FILE_BYTES``, at the mean size of a record's payload and header."""
+    size = F.octet_length("header") + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
+    row = headers.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return max(1, min(FILE_RECORDS, FILE_BYTES * row["n"] // max(1, row["size"])))
 
 
 def forget(spark: SparkSession, archive: Archive) -> None:

@@ -120,3 +120,16 @@ def test_null_ids_repeats_small_and_empty(spark, tmp_path):
     only_null = read(spark, tmp_path, [(None, "u", "x"), (None, "u", "x")])[2]
     assert [r["record_type"] for r in only_null.collect()] == ["response", "response"]
     assert read(spark, tmp_path, [])[2].count() == 0
+
+
+def test_files_and_buckets_are_sized_by_bytes(spark, tmp_path, monkeypatch):
+    for name, value in (("FILE_BYTES", 40_000), ("BUCKET_BYTES", 50_000)):
+        monkeypatch.setattr(warc, name, value)
+    pages = spark.range(400).selectExpr("id AS page_id", "'http://x.y/' AS url", "repeat(CAST(id + 1000 AS STRING), 250) AS html")
+    archive = warc.write_archive(pages, f"{tmp_path}/a")
+    assert len(list((tmp_path / "a/payloads").glob("*.parquet"))) >= 400_000 // 50_000
+    warc.write_warc(spark, archive, f"file://{tmp_path}/files", compression="none")
+    warc.forget(spark, archive)
+    sizes = [p.stat().st_size for p in (tmp_path / "files").glob("part-*")]
+    assert max(sizes) < 2 * 40_000
+    assert warc.read_pages(spark, f"file://{tmp_path}/files").count() == 400
