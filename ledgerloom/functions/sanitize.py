@@ -7,6 +7,7 @@ only the others go through a pandas UDF, in Arrow batches.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,15 +72,18 @@ def _cards(view: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _secrets(view: str) -> Iterator[tuple[int, int, str]]:
+    """Runs of digits near a keyword. Only the nearest keyword on either side is looked at: the gap to any other holds that one's."""
     words = [(m.start(), m.end()) for m in _SECRET.finditer(view)]
     if not words:
         return
+    starts = [start for start, _ in words]
     for run in re.finditer("[0-9]{3,}", view):
-        for start, end in words:
-            gap = view[run.end() : start] if run.end() <= start else view[end : run.start()]
-            if len(gap) <= NEAR_CHARS and len(gap.split()) <= NEAR_WORDS:
-                yield run.start(), run.end(), "[REDACTED]"
-                break
+        after = bisect(starts, run.start())
+        gaps = [(words[after - 1][1], run.start())] if after else []
+        if after < len(words):
+            gaps.append((run.end(), words[after][0]))
+        if any(b - a <= NEAR_CHARS and len(view[a:b].split()) <= NEAR_WORDS for a, b in gaps):
+            yield run.start(), run.end(), "[REDACTED]"
 
 
 def sanitize_text(text: str, patterns: tuple[re.Pattern, ...] = ()) -> tuple[str, bool]:

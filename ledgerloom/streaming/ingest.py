@@ -34,14 +34,16 @@ from ..operators.duplicates import batch_decisions, exact_new, flag_pairs
 from ..operators.lineage import cut, small
 from ..operators.mutations import flag_duplicates
 from ..schema import RAW_MESSAGE, TRANSACTION, with_defaults
-from ..sources.messages import high_water_mark
+from ..sources.messages import high_water_mark, read_since
 from ..sources.rule_pack import RulePack, bank_of, parse_messages, partial_json, profiles, redactions
 
 #: What becomes of a message; every examined one has exactly one of these.
 OUTCOMES = ("transaction", "flagged", "duplicate", "review", "ignored", "not_financial", "failed")
 MESSAGE = "sms_provider_id bigint, address string, received_at timestamp, sanitized_body string, content_hmac string, bank_id string, classification string, dismissed_as_not_transaction boolean, pan_redacted boolean, unparsed_reason string, rule_id string, partial_extraction string"
 ROW = f"{MESSAGE}, transaction struct<{TRANSACTION.simpleString().removeprefix('struct<')}"
-COUNTERS = "outcome string, n bigint"
+COUNTERS = "outcome string, n bigint, last_id bigint"
+#: The run of bounded sweeps; they share one cursor.
+SWEEP = "sweep"
 #: Names of committed batches (about 60 bytes each) are broadcast up to this number.
 MAX_BROADCAST_BATCHES = 100_000
 DEAD = "provider_id bigint, address string, body string, received_at timestamp, error string"
@@ -124,7 +126,7 @@ class Ingest:
 
     def counters(self, spark: SparkSession) -> DataFrame:
         """(outcome, n) over all batches; the numbers add up to the messages examined."""
-        return self._read(spark, "counters", COUNTERS).groupBy("outcome").agg(F.sum("n").alias("n"))
+        return self._read(spark, "counters", COUNTERS).where("n > 0").groupBy("outcome").agg(F.sum("n").alias("n"))
 
     def outcomes(self, batch: DataFrame) -> DataFrame:
         """A batch through sanitising, normalising and parsing, in this order; the hash covers the normalised, sanitised text.
@@ -205,7 +207,37 @@ class Ingest:
         dead.select("provider_id", "address", "body", "received_at", "error").write.mode("overwrite").parquet(f"{self.folder}/dead_letter/{into}")
         new_banks.write.mode("overwrite").parquet(f"{self.folder}/banks/{into}")
         new_instruments.write.mode("overwrite").parquet(f"{self.folder}/instruments/{into}")
-        done.groupBy("outcome").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counters/{into}")
+        newest = done.agg(F.max("provider_id").alias("last_id"))  # one row
+        done.groupBy("outcome").agg(F.count("*").alias("n")).join(F.broadcast(newest)).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counters/{into}")
+
+    def cursor(self, spark: SparkSession) -> tuple[int | None, int]:
+        """(the last provider id that sweeps have passed, the number of the next batch)."""
+        row = self._read(spark, "counters", COUNTERS).where(F.col("run") == SWEEP).agg(F.max("last_id").alias("id"), F.max("batch").alias("batch")).first()
+        return row["id"], -1 if row["batch"] is None else row["batch"] + 1
+
+    def sweep(self, spark: SparkSession, messages: DataFrame, batch_rows: int = 100, most_batches: int = 10) -> int:
+        """Ingests what came after the last sweep, in order of provider ids, in batches of so many rows and at most so many.
+
+        The first sweep only marks the newest message there is and reads none. Where a sweep stands is part of the
+        commit of its batches, so one that was stopped goes on after its last whole batch. Returns the messages read.
+        """
+        last, number = self.cursor(spark)
+        if last is None:
+            newest = high_water_mark(messages).first()["last_id"] or 0
+            row = spark.createDataFrame([("transaction", 0, newest)], COUNTERS)
+            row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counters/run={SWEEP}/batch={max(number, 0)}")
+            return 0
+        read = 0
+        for n in range(number, number + most_batches):
+            page = cut(read_since(messages, last, batch_rows))
+            size, last = page.agg(F.count("*"), F.max("provider_id")).first()
+            if not size:
+                break
+            self.write(page, n, SWEEP)
+            read += size
+            if size < batch_rows:
+                break
+        return read
 
     def retry(self, spark: SparkSession) -> None:
         """Tries the failed messages that have an id once more, for instance with a mended pack."""

@@ -148,3 +148,22 @@ def test_patterns_of_a_bank(spark):
     rows = spark.createDataFrame([("a", "member M55 and M6"), ("b", "member M55"), (None, "member M55"), ("a", None)], "bank string, t string")
     got = [r["s"]["text"] for r in rows.select(sanitize.sanitize(F.col("t"), bank=F.col("bank"), by_bank={"a": ("member (?P<secret>M[0-9]+)",)}).alias("s")).collect()]
     assert got == ["member [REDACTED] and M6", "member M55", "member M55", None]
+
+
+def test_secrets_near_keywords_as_with_every_keyword():
+    import random
+    import re
+
+    def plain(view):
+        words = [(m.start(), m.end()) for m in sanitize._SECRET.finditer(view)]
+        for run in re.finditer("[0-9]{3,}", view):
+            gaps = [view[run.end() : a] if run.end() <= a else view[b : run.start()] for a, b in words]
+            if any(len(g) <= sanitize.NEAR_CHARS and len(g.split()) <= sanitize.NEAR_WORDS for g in gaps):
+                yield run.start(), run.end(), "[REDACTED]"
+
+    rng = random.Random(1)
+    parts = ["PIN", "otp", "CVV", "123", "99", "4567", "a", "bb ccc", "x" * 60, "رمز", "رمز التحقق", ",", "pinX", "one time password"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", " - "]) for _ in range(rng.randint(1, 40)))
+        assert list(plain(text)) == list(sanitize._secrets(text))
+    assert len(list(sanitize._secrets("PIN 123 " * 50_000))) == 50_000
