@@ -815,6 +815,16 @@ def g10_ingested_transactions(spark, d):
     return rows.select("provider_id", *_double("amount"), "currency", "masked_ref", "merchant_text", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "time_source", "instrument_id", F.col("fx_rate").cast("double").alias("fx_rate"), "fx_rate_source", "conversion_pending")
 
 
+@query(
+    _FED
+    + """, v AS (SELECT date_trunc('month', t.at + INTERVAL 3 HOUR) AS month, currency, CAST(amount AS DECIMAL(20,4)) AS amount, CASE WHEN currency = 'SAR' THEN CAST(amount AS DECIMAL(20,4)) ELSE round(CAST(amount AS DECIMAL(20,4)) * CAST(rate AS DECIMAL(18,8)), 2) END AS base FROM t)
+SELECT month, 'spend' AS measure, currency, CAST(sum(amount) AS DOUBLE) AS net, count(*) AS transactions, CAST(sum(base) AS DOUBLE) AS base, count(base) AS converted_count, CAST(sum(amount) FILTER (base IS NULL) AS DOUBLE) AS unconverted_net, count(*) FILTER (base IS NULL) AS unconverted FROM v GROUP BY ALL"""
+)
+def s9_live_totals(spark, d):
+    totals = reports.merged_totals(_ingested(spark, d).totals(spark))
+    return totals.select(F.col("month").cast("timestamp_ntz").alias("month"), "measure", "currency", *_double("net"), "transactions", *_double("base"), "converted_count", *_double("unconverted_net"), "unconverted")
+
+
 @query(
     _FED
     + """, linked AS (SELECT card, arg_min(account, id) AS account FROM t WHERE account IS NOT NULL GROUP BY 1)

@@ -57,6 +57,37 @@ def period_report(classified: DataFrame, start, end, base: str) -> DataFrame:
     return out.select("measure", "base", count("converted_count").alias("converted_count"), count("unconverted_count").alias("unconverted_count"), (count("unconverted_count") > 0).alias("is_incomplete"))
 
 
+TOTALS = "month timestamp, measure string, currency string, net decimal(30,4), transactions bigint, base decimal(30,4), converted_count bigint, unconverted_net decimal(30,4), unconverted bigint"
+_SUMS = ("net", "transactions", "base", "converted_count", "unconverted_net", "unconverted")
+
+
+def partial_totals(classified: DataFrame, base: str) -> DataFrame:
+    """Sums of dated rows by local month, measure and currency, which add up over disjoint sets of rows. See ``TOTALS``."""
+    rows = measured(classified, base).where("occurred_at IS NOT NULL").withColumn("month", local_month(F.col("occurred_at")).cast("timestamp"))
+    missing = F.col("base_value").isNull()
+    values = (F.sum("native"), F.count("*"), F.sum("base_value"), F.count("base_value"), F.sum(F.when(missing, F.col("native"))), F.count_if(missing))
+    kinds = dict(part.split(" ") for part in TOTALS.split(", "))
+    return rows.groupBy("month", "measure", "currency").agg(*(v.cast(kinds[name]).alias(name) for name, v in zip(_SUMS, values, strict=True)))
+
+
+def merged_totals(partials: DataFrame) -> DataFrame:
+    """Partial totals of several batches as those of all their rows."""
+    kinds = dict(part.split(" ") for part in TOTALS.split(", "))
+    return partials.groupBy("month", "measure", "currency").agg(*(F.sum(c).cast(kinds[c]).alias(c) for c in _SUMS))
+
+
+def months_by_currency(totals: DataFrame) -> DataFrame:
+    """``by_currency`` of every month, from totals."""
+    order = Window.partitionBy("month", "measure").orderBy(F.desc("transactions"), F.asc("currency"))
+    return totals.select("month", "measure", "currency", "net", "transactions", "unconverted_net", "unconverted", F.row_number().over(order).alias("position"))
+
+
+def month_reports(totals: DataFrame) -> DataFrame:
+    """``period_report`` of every month with rows, from totals; measures without rows are left out."""
+    sums = totals.groupBy("month", "measure").agg(F.sum("base").alias("base"), F.sum("converted_count").alias("converted_count"), F.sum("unconverted").alias("unconverted_count"))
+    return sums.withColumn("is_incomplete", F.col("unconverted_count") > 0)
+
+
 def net_kept(classified: DataFrame, start, end, base: str) -> DataFrame:
     """(net_kept, needs_review): income less spend; null if a side has rows but none converted, or both have none."""
     live = classified.where(LIVE).where(in_period(start, end))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.money import month_window
+from ..plans.reports import merged_totals
 from ..schema import RAW_MESSAGE
 from ..sources.rule_pack import bank_of
 from .ingest import COUNTERS, Ingest
@@ -61,3 +62,18 @@ def watch(spark: SparkSession, ingest: Ingest, report: Callable[[DataFrame], Dat
 
     writer = spark.readStream.schema(f"{COUNTERS}, run string, batch bigint").parquet(f"{ingest.folder}/counters").writeStream.foreachBatch(again).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime="10 seconds") if continuous else writer.trigger(availableNow=True)).start()
+
+
+def watch_months(spark: SparkSession, ingest: Ingest, emit: Callable[[DataFrame, int], None], checkpoint: str, continuous: bool = False) -> StreamingQuery:
+    """Live totals: whenever batches are committed, the totals of the months that they changed are emitted.
+
+    They are added up from what each batch has brought; neither messages nor transactions are read again.
+    """
+
+    def changed(commits: DataFrame, batch_id: int) -> None:
+        parts = ingest.totals(spark)
+        months = parts.join(commits.select("run", "batch").distinct(), ["run", "batch"], "left_semi").select("month").distinct()
+        emit(merged_totals(parts.join(months, "month", "left_semi")), batch_id)
+
+    writer = spark.readStream.schema(f"{COUNTERS}, run string, batch bigint").parquet(f"{ingest.folder}/counters").writeStream.foreachBatch(changed).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime="10 seconds") if continuous else writer.trigger(availableNow=True)).start()

@@ -30,9 +30,11 @@ from ..functions.sanitize import sanitize
 from ..functions.text import normalize_message
 from ..operators import entities
 from ..operators.categorise import categorise
+from ..operators.classify import classified
 from ..operators.duplicates import batch_decisions, exact_new, flag_pairs
 from ..operators.lineage import cut, small
 from ..operators.mutations import flag_duplicates
+from ..plans import reports
 from ..schema import RAW_MESSAGE, TRANSACTION, with_defaults
 from ..sources.messages import high_water_mark, read_since
 from ..sources.rule_pack import RulePack, bank_of, parse_messages, partial_json, profiles, redactions
@@ -121,6 +123,13 @@ class Ingest:
     def instrument_log(self, spark: SparkSession) -> DataFrame:
         return self._committed(spark, "instruments", entities.INSTRUMENT_LOG).drop("run", "batch")
 
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """Sums by month, measure and currency of what each batch brought (see ``reports.TOTALS``), with run and batch.
+
+        Legs of a transfer count as what they are until their state is set; pairing sees the whole ledger.
+        """
+        return self._committed(spark, "totals", reports.TOTALS)
+
     def dead_letters(self, spark: SparkSession) -> DataFrame:
         return self._committed(spark, "dead_letter", DEAD)
 
@@ -207,6 +216,8 @@ class Ingest:
         dead.select("provider_id", "address", "body", "received_at", "error").write.mode("overwrite").parquet(f"{self.folder}/dead_letter/{into}")
         new_banks.write.mode("overwrite").parquet(f"{self.folder}/banks/{into}")
         new_instruments.write.mode("overwrite").parquet(f"{self.folder}/instruments/{into}")
+        brought = new.where("transaction IS NOT NULL").select("transaction.*")
+        reports.partial_totals(classified(brought), self.base).write.mode("overwrite").parquet(f"{self.folder}/totals/{into}")
         newest = done.agg(F.max("provider_id").alias("last_id"))  # one row
         done.groupBy("outcome").agg(F.count("*").alias("n")).join(F.broadcast(newest)).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counters/{into}")
 

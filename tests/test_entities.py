@@ -1,15 +1,16 @@
 """Banks, instruments and exchange at ingest, and the commit of a batch."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import entities
+from ledgerloom.operators import classify, entities
+from ledgerloom.plans import reports
 from ledgerloom.schema import RAW_MESSAGE
 from ledgerloom.sources import rule_pack
-from ledgerloom.streaming import ingest
+from ledgerloom.streaming import backfill, ingest
 
 PAID = {
     "ruleId": "paid", "priority": 1, "messageType": "pos_purchase", "intent": "transaction",
@@ -87,7 +88,7 @@ def test_a_batch_is_there_as_a_whole_or_not_at_all(spark, job, monkeypatch):
     batch = spark.createDataFrame([*FEED[3:], (None, "HERON", "x", AT)], RAW_MESSAGE)
     writer = type(batch.write)
     plain, written = writer.parquet, []
-    for stop in range(1, 6):  # killed after each of the writes but the last
+    for stop in range(1, 7):  # killed after each of the writes but the last
 
         def parquet(self, path, *args, stop=stop, **options):
             if len(written) == stop:
@@ -98,7 +99,7 @@ def test_a_batch_is_there_as_a_whole_or_not_at_all(spark, job, monkeypatch):
         written.clear()
         with monkeypatch.context() as m:
             m.setattr(writer, "parquet", parquet)
-            if stop < 5:
+            if stop < 6:
                 with pytest.raises(InterruptedError):
                     job.write(batch, 1, "r")
                 assert (tables(spark, job), job.ingested(spark).count(), job.dead_letters(spark).count()) == before
@@ -134,6 +135,26 @@ def test_history_before_the_window_is_not_read(spark, job):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
+def test_live_totals_are_those_of_the_reports(spark, job, tmp_path):
+    feed = [(i, "HERON", f"paid {i} {'USD' if i % 3 else 'SAR'} by card 1111{' rate 3.75' if i % 2 else ''} at 2026-0{1 + i % 4}-1{i % 10} 10:00", AT) for i in range(1, 25)]
+    seen = []
+    for n, at in enumerate((0, 12)):
+        rows = [r for r in feed[at : at + 12] if n == 0 or r[0] % 4 < 2]  # the second batch has two months only
+        job.write(spark.createDataFrame(rows, RAW_MESSAGE), n, "r")
+        backfill.watch_months(spark, job, lambda df, _: seen.append(df.collect()), f"{tmp_path}/watch").awaitTermination()
+        rows = classify.classified(job.transactions(spark))
+        totals = reports.merged_totals(job.totals(spark))
+        for month in range(1, 5):
+            start, end = (datetime(2026, m, 1) - timedelta(hours=3) for m in (month, month + 1))
+            of_month = totals.where(F.col("month") == datetime(2026, month, 1))
+            columns = ["measure", "base", "converted_count", "unconverted_count", "is_incomplete"]
+            wanted = reports.period_report(rows, start, end, "SAR").where("converted_count + unconverted_count > 0")
+            assert sorted(map(tuple, reports.month_reports(of_month).select(columns).collect())) == sorted(map(tuple, wanted.select(columns).collect()))
+            wanted = reports.by_currency(rows, start, end, "SAR")
+            assert sorted(map(tuple, reports.months_by_currency(of_month).select(wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    assert [len({r["month"] for r in rows}) for rows in seen] == [4, 2]
+
+
 def test_sweeps_are_bounded_by_rows_and_batches(spark, job):
     text = lambda i: (i, "HERON", f"paid {i} SAR by card 1111", AT)
     old = spark.createDataFrame([text(i) for i in range(1, 4)], RAW_MESSAGE)
