@@ -40,10 +40,16 @@ from ..operators.lineage import cut, small, spread
 
 #: Code points that decide on a cut; a power of two.
 WINDOW = 16
-#: A cut after one in so many places, on average, of those that are allowed.
-SPACING = 1024
-#: Code points of a chunk, but for the last of a text.
-LEAST, MOST = 128, 8192
+@dataclass(frozen=True)
+class Sizes:
+    """Code points of a chunk, but for the last of a text; a cut is made after one in ``spacing`` places of those allowed."""
+
+    least: int = 128
+    spacing: int = 1024
+    most: int = 8192
+
+
+SIZES = Sizes()
 #: Words that a task remembers; then it begins anew.
 WORDS = 1 << 18
 #: Names of texts whose chunks are encoded for others (about 100 bytes each), broadcast to the scan up to this number.
@@ -108,10 +114,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def ends(text: str) -> list[int]:
+def ends(text: str, sizes: Sizes = SIZES) -> list[int]:
     """Where the chunks of a text end."""
     n = len(text)
-    if n <= LEAST:
+    if n <= sizes.least:
         return [n] if n else []
     h = np.frombuffer(text.encode("utf-32-le"), np.uint32) * np.uint32(2654435761) + np.uint32(1)
     step, power = 1, _FACTOR
@@ -120,12 +126,12 @@ def ends(text: str) -> list[int]:
         wider[step:] += h[:-step] * power
         h, step, power = wider, 2 * step, np.uint32(int(power) ** 2 & 0xFFFFFFFF)
     # the upper bits depend on all code points of the window
-    marks = (np.flatnonzero(h >> np.uint32(12) < np.uint32((1 << 20) // SPACING)) + 1).tolist()
+    marks = (np.flatnonzero(h >> np.uint32(12) < np.uint32((1 << 20) // sizes.spacing)) + 1).tolist()
     out, last, k = [], 0, 0
-    while n - last > LEAST:
-        while k < len(marks) and marks[k] < last + LEAST:
+    while n - last > sizes.least:
+        while k < len(marks) and marks[k] < last + sizes.least:
             k += 1
-        end = min(marks[k] if k < len(marks) else n, last + MOST, n)
+        end = min(marks[k] if k < len(marks) else n, last + sizes.most, n)
         out.append(end)
         last = end
     if last < n:
@@ -227,24 +233,27 @@ def _texts(packed: pa.Array) -> list[str]:
     return [unpack(z).decode() for z in packed.to_pylist()]
 
 
-def _chunk_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, places, digests = [], [], []
-        for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            for k, (a, b) in enumerate(pairwise((0, *ends(text)))):
-                keys.append(h)
-                places.append(k)
-                digests.append(digest(text[a:b]))
-        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], ["h", "place", "c"])
+def _chunk_digests(sizes: Sizes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places, digests = [], [], []
+            for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for k, (a, b) in enumerate(pairwise((0, *ends(text, sizes)))):
+                    keys.append(h)
+                    places.append(k)
+                    digests.append(digest(text[a:b]))
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(places, pa.int32()), pa.array(digests, pa.binary())], ["h", "place", "c"])
+
+    return run
 
 
-def _encode_chunks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode_chunks(path: str, sizes: Sizes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             digests, ids, counts = [], [], []
             for text, owned in zip(batch["text"].to_pylist(), batch["owned"].to_pylist(), strict=True):
-                spans = list(pairwise((0, *ends(text))))
+                spans = list(pairwise((0, *ends(text, sizes))))
                 for o in owned:
                     a, b = spans[o["place"]]
                     own, outers = encoded(encode, text[a:b])
@@ -270,41 +279,41 @@ def _description(encode: Encoder, rows: list[Ids]) -> dict[str, pa.Array]:
     }
 
 
-def _assemble(path: str, columns: Callable[[Encoder, list[Ids]], dict[str, pa.Array]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _assemble(path: str, columns: Callable[[Encoder, list[Ids]], dict[str, pa.Array]], sizes: Sizes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
             rows = []
             for text, have in zip(_texts(batch["packed"]), batch["have"].to_pylist(), strict=True):
                 shared = {s["place"]: (s["ids"], s["counts"]) for s in have or ()}
-                rows.append(assembled(encode, text, ends(text) if shared else [], shared))
+                rows.append(assembled(encode, text, ends(text, sizes) if shared else [], shared))
             made = columns(encode, rows)
             yield pa.record_batch([batch["h"], *made.values()], ["h", *made])
 
     return run
 
 
-def shared_chunks(texts: DataFrame) -> DataFrame:
+def shared_chunks(texts: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
     """(h, place, c, owned): the chunks that occur more than once in (h, text); one occurrence of each is ``owned``."""
-    digests = cut(texts.mapInArrow(_chunk_digests, "h binary, place int, c binary").distinct())
+    digests = cut(texts.mapInArrow(_chunk_digests(sizes), "h binary, place int, c binary").distinct())
     counted = digests.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("h", "place")).alias("owner"))
     shared = spread(counted.where("n > 1").select("c", "owner"))
     return cut(digests.join(shared, "c").select("h", "place", "c", (F.col("owner") == F.struct("h", "place")).alias("owned")))
 
 
-def _encoded_texts(texts: DataFrame, path: str, columns: Callable[[Encoder, list[Ids]], dict[str, pa.Array]], schema: str) -> DataFrame:
-    shared = shared_chunks(texts)
+def _encoded_texts(texts: DataFrame, path: str, columns: Callable[[Encoder, list[Ids]], dict[str, pa.Array]], schema: str, sizes: Sizes) -> DataFrame:
+    shared = shared_chunks(texts, sizes)
     owned = cut(shared.where("owned").groupBy("h").agg(F.collect_list(F.struct("place", "c")).alias("owned")))
     owners = texts.join(small(owned, MAX_BROADCAST_OWNERS), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("owned").alias("owned"))
-    chunks = owners.select("text", "owned").mapInArrow(_encode_chunks(path), "c binary, ids array<int>, counts array<int>")
+    chunks = owners.select("text", "owned").mapInArrow(_encode_chunks(path, sizes), "c binary, ids array<int>, counts array<int>")
     once = texts.mapInArrow(_packed, "h binary, packed binary").groupBy("h").agg(F.first("packed").alias("packed"))
     have = shared.join(chunks, "c").groupBy("h").agg(F.collect_list(F.struct("place", "ids", "counts")).alias("have"))
-    return once.join(have, "h", "left").mapInArrow(_assemble(path, columns), f"h binary, {schema}")
+    return once.join(have, "h", "left").mapInArrow(_assemble(path, columns, sizes), f"h binary, {schema}")
 
 
-def encode_texts(texts: DataFrame, path: str) -> DataFrame:
+def encode_texts(texts: DataFrame, path: str, sizes: Sizes = SIZES) -> DataFrame:
     """(h, ids) for each different text of (h, text), where equal texts have equal keys h."""
-    return _encoded_texts(texts, path, _ids_column, "ids array<int>")
+    return _encoded_texts(texts, path, _ids_column, "ids array<int>", sizes)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -313,16 +322,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _key(text).alias("h"), text.alias("text"))
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, sizes: Sizes = SIZES) -> DataFrame:
     """doc_id, ids of all documents."""
     rows = keyed(docs)
-    return rows.select("doc_id", "h").join(spread(encode_texts(rows.select("h", "text"), path)), "h").select("doc_id", "ids")
+    return rows.select("doc_id", "h").join(spread(encode_texts(rows.select("h", "text"), path, sizes)), "h").select("doc_id", "ids")
 
 
-def describe_documents(docs: DataFrame, path: str) -> DataFrame:
+def describe_documents(docs: DataFrame, path: str, sizes: Sizes = SIZES) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
     rows = keyed(docs)
-    done = _encoded_texts(rows.select("h", "text"), path, _description, "n_tokens long, ids_sha256 binary, decoded_sha256 binary")
+    done = _encoded_texts(rows.select("h", "text"), path, _description, "n_tokens long, ids_sha256 binary, decoded_sha256 binary", sizes)
     hexed = (F.lower(F.hex(c)).alias(c) for c in ("ids_sha256", "decoded_sha256"))
     return rows.select("doc_id", "h").join(spread(done), "h").select("doc_id", "n_tokens", *hexed)
 

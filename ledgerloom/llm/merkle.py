@@ -97,9 +97,9 @@ def version(nodes: list[list[str]], at: int, leaf: str) -> dict[tuple[int, int],
     return copied
 
 
-def _block(rows: pa.Table) -> pa.Table:
+def _block(rows: pa.Table, block_levels: int) -> pa.Table:
     rows = rows.sort_by("pos")
-    height = min(BLOCK_LEVELS, levels(rows["n"][0].as_py()))
+    height = min(block_levels, levels(rows["n"][0].as_py()))
     nodes = grown(rows["node"].to_pylist(), height)
     changed, lefts, rights = [], [], []
     for at, other in enumerate(rows["other"].to_pylist()):
@@ -118,23 +118,23 @@ def _block(rows: pa.Table) -> pa.Table:
     return out.append_column("changed", pa.array(changed, pa.string())).append_column("lefts", pa.array(lefts, many)).append_column("rights", pa.array(rights, many))
 
 
-def in_blocks(nodes: DataFrame) -> DataFrame:
+def in_blocks(nodes: DataFrame, block_levels: int) -> DataFrame:
     """The nodes of a level (tree, pos, n, node, other, further columns) with what their block makes of them.
 
     Adds ``block``, its root ``block_root``, the root ``changed`` of the version in which ``other`` stands for
     the node, and for each level of the block the siblings on the left and on the right.
     """
-    nodes = nodes.withColumn("block", F.floor(F.col("pos") / F.lit(FAN_OUT**BLOCK_LEVELS)).cast("long"))
+    nodes = nodes.withColumn("block", F.floor(F.col("pos") / F.lit(FAN_OUT**block_levels)).cast("long"))
     kinds = [f"`{c}` {kind}" for c, kind in nodes.dtypes if c not in ("n", "other")]
     schema = ", ".join([*kinds, "block_root string", "changed string", "lefts array<string>", "rights array<string>"])
-    return nodes.groupBy("tree", "block").applyInArrow(_block, schema)
+    return nodes.groupBy("tree", "block").applyInArrow(lambda rows: _block(rows, block_levels), schema)
 
 
-def built(nodes: DataFrame) -> list[DataFrame]:
-    """The blocks of all trees, a table for every ``BLOCK_LEVELS`` levels; in the last each tree is one block."""
+def built(nodes: DataFrame, block_levels: int) -> list[DataFrame]:
+    """The blocks of all trees, a table for every ``block_levels`` levels; in the last each tree is one block."""
     out = []
     while True:
-        done = cut(in_blocks(nodes))
+        done = cut(in_blocks(nodes, block_levels))
         out.append(done)
         if not done.where("block > 0").take(1):
             return out
@@ -162,7 +162,7 @@ def folded(node: Column, lefts: Column, rights: Column) -> Column:
     return F.aggregate(runs, node, lambda acc, x: _sha(F.concat(x["l"], acc, x["r"])))
 
 
-def manifest(docs: DataFrame, tampered: Column, when: Column) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column, when: Column, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """doc_id, source, leaf, lefts, rights, subroot, root and folded_root of every document.
 
     ``lefts`` and ``rights`` are its siblings from the leaf to the root. Where ``when`` is true the document
@@ -171,9 +171,9 @@ def manifest(docs: DataFrame, tampered: Column, when: Column) -> DataFrame:
     rows = docs.select(
         "doc_id", "source", tree_of_source(F.col("source")).alias("tree"), leaf_digest(F.col("text")).alias("node"), F.when(when, leaf_digest(tampered)).alias("other")
     )
-    tables = built(placed(rows, "doc_id", "node"))
+    tables = built(placed(rows, "doc_id", "node"), block_levels)
     subroots = tables[-1].where("pos = 0").select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("block_root").alias("node"))
-    upper = built(placed(subroots, "name").withColumn("other", F.lit(None).cast("string")))
+    upper = built(placed(subroots, "name").withColumn("other", F.lit(None).cast("string")), block_levels)
     nothing = F.array().cast("array<string>")
     root = upper[-1].where("pos = 0").select("tree", "block", nothing.alias("up_lefts"), nothing.alias("up_rights"), F.col("block_root").alias("root"))
     ends = upper[0].join(_ways(upper, root), ["tree", "block"]).select(

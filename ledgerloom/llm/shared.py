@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, shared_dir, spread
+
+__all__ = ["cut", "held_out", "lower_ascii", "shared_dir", "shuffle_partitions", "spread", "table"]
+
 #: Share of labelled documents that is kept out of training: crc32(doc_id) mod 4 == 2.
 HELD_OUT_REMAINDER = 2
 
@@ -15,39 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it.
-
-    Only a local session without the setting (tests) gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder is None:
-        folder = context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here: rows go to the shared checkpoint folder and outlive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``cut`` after dealing the rows anew, for a reduced table that is joined on the key it was grouped by.
-
-    A join that would reuse the grouping's partitions cannot be split at a hot key; one over two
-    fresh exchanges can.
-    """
-    return cut(df.repartition(shuffle_partitions(df.sparkSession)))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..operators.lineage import unused
-from .graph import components
 from .shared import cut, shuffle_partitions, spread
 
 SHINGLE_WORDS = 4

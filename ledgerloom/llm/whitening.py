@@ -71,10 +71,9 @@ def scatter(matrix: BlockMatrix, splits: int) -> np.ndarray:
 def projected(matrix: BlockMatrix, weights: np.ndarray) -> DataFrame:
     """(i, w): rows times weights."""
     context = matrix.blocks.context
-    parts = [
-        ((r, 0), DenseMatrix(*(part := weights[at : at + BLOCK]).shape, part.flatten(order="F")))
-        for r, at in enumerate(range(0, len(weights), BLOCK))
-    ]
+    starts = lambda n: enumerate(range(0, n, BLOCK))
+    cells = {(r, c): weights[i : i + BLOCK, j : j + BLOCK] for r, i in starts(weights.shape[0]) for c, j in starts(weights.shape[1])}
+    parts = [(at, DenseMatrix(*cell.shape, cell.flatten(order="F"))) for at, cell in cells.items()]
     product = matrix.multiply(BlockMatrix(context.parallelize(parts, 1), BLOCK, BLOCK)).toIndexedRowMatrix()
     rows = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)
     return rows.select(F.col("index").alias("i"), vector_to_array("vector").alias("w"))

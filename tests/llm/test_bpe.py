@@ -1,7 +1,6 @@
 import hashlib
 import random
 
-import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,10 +21,7 @@ def library(text):
     return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-@pytest.fixture
-def small_chunks(monkeypatch):
-    for name, value in (("LEAST", 4), ("SPACING", 8), ("MOST", 40)):
-        monkeypatch.setattr(bpe, name, value)
+SMALL = bpe.Sizes(4, 8, 40)
 
 
 @given(TEXT)
@@ -41,11 +37,11 @@ def test_every_plain_character():
             assert encode(text) == library(text), text
 
 
-def test_joins_are_repaired(small_chunks):
+def test_joins_are_repaired():
     encode, rng, joins = bpe.encoder(PATH), random.Random(3), 0
     for _ in range(3000):
         text = "".join(rng.choice(WORDS) + rng.choice([" ", " ", "\n", ""]) for _ in range(rng.randint(1, 60)))
-        cuts = bpe.ends(text)
+        cuts = bpe.ends(text, SMALL)
         spans = list(zip([0, *cuts], cuts, strict=False))
         assert "".join(text[a:b] for a, b in spans) == text
         shared = {k: bpe.encoded(encode, text[a:b]) for k, (a, b) in enumerate(spans) if rng.random() < 0.5}
@@ -68,30 +64,30 @@ def test_cuts_follow_the_content():
     chunks = lambda text: {text[a:b] for a, b in zip([0, *bpe.ends(text)], bpe.ends(text), strict=False)}
     own = chunks(passage)
     assert len(own & chunks("something before it " * 9 + passage + " and after")) >= len(own) - 3
-    assert max(map(len, chunks("a" * 100_000))) <= bpe.MOST
+    assert max(map(len, chunks("a" * 100_000))) <= bpe.SIZES.most
     assert bpe.ends("") == []
 
 
-def test_documents(spark, small_chunks):
+def test_documents(spark):
     rng = random.Random(7)
     passage = " ".join(rng.choice(WORDS) for _ in range(200))
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 30))) + (passage if i % 2 else "")) for i in range(40)]
     rows += [(100, None), (101, ""), (102, passage * 50), (102, passage * 50), (None, passage), (103, "漢" * 3000), (104, "<|endoftext|>" * 30), (105, "x" * 5000)]
-    got = sorted(map(tuple, bpe.describe_documents(docs(spark, rows), PATH).collect()), key=repr)
+    got = sorted(map(tuple, bpe.describe_documents(docs(spark, rows), PATH, SMALL).collect()), key=repr)
     want = []
     for i, text in rows:
         ids = library(text or "")
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(LIBRARY.decode(ids, skip_special_tokens=False))))
     assert got == sorted(want, key=repr)
-    ids = bpe.encode_documents(docs(spark, rows), PATH)
+    ids = bpe.encode_documents(docs(spark, rows), PATH, SMALL)
     decoded = sorted(map(tuple, bpe.decode_documents(ids, PATH).collect()), key=repr)
     assert decoded == sorted(((i, LIBRARY.decode(library(t or ""), skip_special_tokens=False)) for i, t in rows), key=repr)
 
 
-def test_shared_chunks_are_encoded_once(spark, small_chunks):
+def test_shared_chunks_are_encoded_once(spark):
     passage = " ".join(f"word{i}" for i in range(300))
     texts = bpe.keyed(docs(spark, [(1, passage), (2, "x y z " + passage), (3, "alone"), (4, passage)])).select("h", "text")
-    shared = bpe.shared_chunks(texts).collect()
+    shared = bpe.shared_chunks(texts, SMALL).collect()
     assert len({r["h"] for r in shared}) == 2
     assert sum(r["owned"] for r in shared) == len({r["c"] for r in shared}) > 10
 

@@ -54,25 +54,23 @@ def plain(rows):
     return sorted(out, key=repr)
 
 
-def found(df):
-    rows = merkle.manifest(df, F.replace("text", F.lit("\n"), F.lit("")), F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+def found(df, block_levels=6):
+    rows = merkle.manifest(df, F.replace("text", F.lit("\n"), F.lit("")), F.crc32(F.col("doc_id").cast("string")) % 2 == 0, block_levels)
     return sorted(map(tuple, rows.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("lefts"), F.col("rights")), "folded_root").collect()), key=repr)
 
 
 @pytest.mark.parametrize("block_levels", [1, 2, 6])
-def test_same_as_in_memory(spark, monkeypatch, block_levels):
-    monkeypatch.setattr(merkle, "BLOCK_LEVELS", block_levels)
+def test_same_as_in_memory(spark, block_levels):
     rows = [(i, f"text\n{i}" * (i % 3), "en", None if i % 7 == 0 else f"s{i % 7}" if i % 3 else "hot", i, 1, "x") for i in range(120)]
     rows += [(None, None, None, None, None, 1, "x"), (None, "no id\n", None, "é", None, 1, "x"), (5, "a\nb", "en", "alone", 3, 1, "x"), *rows[:4], *rows[:4]]
     df = spark.createDataFrame(rows, DOCS).repartition(5)
-    assert found(df) == plain(rows)
+    assert found(df, block_levels) == plain(rows)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 9, 10, 27, 28])
-def test_sizes_around_powers(spark, monkeypatch, n):
-    monkeypatch.setattr(merkle, "BLOCK_LEVELS", 2)
+def test_sizes_around_powers(spark, n):
     rows = [(i, "a\nb", "en", "s", 3, 0, "") for i in range(n)]
-    assert found(spark.createDataFrame(rows, DOCS)) == plain(rows)
+    assert found(spark.createDataFrame(rows, DOCS), 2) == plain(rows)
 
 
 def test_empty_table(spark):
