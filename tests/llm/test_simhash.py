@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import graph, simhash
+from ledgerloom.llm import simhash
+from ledgerloom.operators import components as graph
 
 from .brute import docs, linked
 from .brute import simhash as plain_simhash
