@@ -208,3 +208,39 @@ def test_merchant_tiers(spark):
     texts = spark.createDataFrame([(1, "PNDA"), (2, "QAFE LATTE HOUSE"), (3, "BARE"), (4, "MALL EAST CITY MARKET PANDA"), (5, "INTERNATOINAL"), (6, "ZZZZZZ"), (7, "QAFE QAFE LATTE HOUSE"), (8, None)], "id bigint, key string")
     got = {r["id"]: (r["tier"], r["merchant_id"], r["auto_apply"]) for r in matching.match_merchants(texts, c).collect()}
     assert got == {1: ("exact_user", 1, True), 2: ("exact_seed", 2, True), 3: ("none", 3, False), 4: ("token", 1, True), 5: ("edit", 4, False)}
+
+
+def test_close_pairs_miss_none_and_skip_common_pieces(spark):
+    from ledgerloom.functions.similarity import osa_distance
+
+    rng = random.Random(5)
+
+    def edited(s):
+        for _ in range(rng.randint(0, len(s) // 10)):
+            i, c = rng.randrange(len(s)), rng.choice("AB C")
+            s = rng.choice([s[:i] + c + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + c + s[i:], s[:i] + s[i : i + 2][::-1] + s[i + 2 :]])
+        return s
+
+    names = ["".join(rng.choice("AB CDEF") for _ in range(n)) for n in (8, 9, 10, 11, 18, 19, 20, 21, 25, 28, 29, 30, 31, 33, 37, 39, 40, 41, 52) for _ in range(4)]
+    keys = sorted({edited(s) for s in names for _ in range(6)})
+    hashed = lambda xs, c, h: spark.createDataFrame([(x,) for x in xs], f"{c} string").withColumn(h, F.xxhash64(c))
+    left, right = hashed(keys, "key", "k"), hashed(names, "name", "n")
+    pairs = matching.close_pairs(left.select("key"), right.select("name")).join(left, "k").join(right, "n").select("key", "name")
+    got = {(r["key"], r["name"]) for r in pairs.collect()}
+    wanted = {(k, n) for k in keys for n in names if k != n and osa_distance(k, n) <= max(len(k), len(n)) // 10}
+    assert len(wanted) > 200 and wanted <= got
+    # names of one beginning and numbers far apart: each name meets at most itself
+    shops = hashed([f"LARGE RING {i * 1111:07d}" for i in range(300)], "name", "n")
+    met = matching.close_pairs(shops.select(F.concat(F.lit("LARGE RING "), F.reverse(F.substring("name", 12, 7))).alias("key")), shops.select("name"))
+    assert met.count() < 1000
+
+
+def test_matching_broadcasts_no_table_by_its_file_size(spark, tmp_path):
+    spark.range(20000).select("id", F.concat(F.lit("SHOP "), F.col("id")).alias("merchant_key")).write.parquet(f"{tmp_path}/merchants")
+    merchants = spark.read.parquet(f"{tmp_path}/merchants")
+    rules = merchants.select("id", F.col("id").alias("merchant_id"), F.lit("groceries").alias("category_id"), F.lit("seed").alias("source"), F.lit(True).alias("is_enabled"))
+    c = matching.merchant_candidates(merchants, merchants.select(F.col("id").alias("merchant_id"), F.col("merchant_key").alias("alias_key")), rules, categories(spark))
+    texts = merchants.select("id", F.reverse("merchant_key").alias("key"))
+    plan = matching.match_merchants(texts, c)._jdf.queryExecution().executedPlan().toString()
+    # what is broadcast is the categories' or lengths' tables, which were cut or are local
+    assert plan.count("BroadcastExchange") <= 4 and "SortMergeJoin" in plan
