@@ -167,3 +167,14 @@ def test_secrets_near_keywords_as_with_every_keyword():
         text = "".join(rng.choice(parts) + rng.choice([" ", "", " - "]) for _ in range(rng.randint(1, 40)))
         assert list(plain(text)) == list(sanitize._secrets(text))
     assert len(list(sanitize._secrets("PIN 123 " * 50_000))) == 50_000
+
+
+def test_only_suspect_texts_leave_the_jvm(spark):
+    texts = ["your pin is set in Pinewood", "رمز", "shopping 123456 in Pinewood", "code 1234", "PIN 1234", "رمز ١٢٣", "pın 123", "4111 1111 1111 1111", "SA03 8000 0000 6080 1016 7519", "P\u200bIN 12\u200b34"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", sanitize.suspect(F.col("t")).alias("s"), sanitize.sanitize(F.col("t"))["text"].alias("clean")).collect()
+    assert [r["s"] for r in rows] == [False] * 2 + [True] * 8
+    assert [r["clean"] != r["t"] for r in rows] == [False] * 4 + [True] * 6
+
+
+def test_hidden_characters_stay_where_they_are(spark):
+    assert sanitize.sanitize_text("a\u200bb PIN \u200f12\u200b34\u200c c\u200b") == ("a\u200bb PIN \u200f[REDACTED]\u200c c\u200b", False)
