@@ -244,3 +244,12 @@ def test_matching_broadcasts_no_table_by_its_file_size(spark, tmp_path):
     plan = matching.match_merchants(texts, c)._jdf.queryExecution().executedPlan().toString()
     # what is broadcast is the categories' or lengths' tables, which were cut or are local
     assert plan.count("BroadcastExchange") <= 4 and "SortMergeJoin" in plan
+
+
+def test_keys_of_a_length_that_no_name_has_meet_none(spark):
+    # digests of 32 characters beside short names: not even a hash of them is made
+    keys = spark.range(500).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key"))
+    names = spark.range(500).select(F.concat(F.lit("SHOP NUMBER "), F.col("id")).alias("name"))
+    lengths = [(32, 13), (32, 14), (32, 15)]
+    assert all(abs(m - r) > max(m, r) // 10 for m, r in lengths)
+    assert matching.close_pairs(keys, names).count() == 0
