@@ -137,18 +137,23 @@ class Ingest:
         """(outcome, n) over all batches; the numbers add up to the messages examined."""
         return self._read(spark, "counters", COUNTERS).where("n > 0").groupBy("outcome").agg(F.sum("n").alias("n"))
 
-    def outcomes(self, batch: DataFrame) -> DataFrame:
-        """A batch through sanitising, normalising and parsing, in this order; the hash covers the normalised, sanitised text.
-
-        An amount that is missing or negative is no transaction: the message goes to the review queue.
-        """
+    def cleaned(self, batch: DataFrame) -> DataFrame:
+        """A batch through sanitising and normalising, with its banks; the hash covers the normalised, sanitised text."""
         clean = batch.withColumn("__s", sanitize(F.col("body"), self.redact, bank_of(self.pack, F.col("address")), redactions(self.pack)))
         rows = clean.select("provider_id", "address", "received_at", normalize_message(F.col("__s.text")).alias("body"), F.col("__s.pan_redacted").alias("pan_redacted"), F.col("__s.error").alias("error"))
-        parsed = parse_messages(rows.withColumn("content_hmac", content_hmac(self.hmac_key, F.col("body"), F.col("address"))), self.pack)
+        return rows.withColumn("content_hmac", content_hmac(self.hmac_key, F.col("body"), F.col("address"))).withColumn("bank_id", bank_of(self.pack, F.col("address")))
+
+    def parsed(self, rows: DataFrame) -> DataFrame:
+        """Cleaned rows with what the pack reads in them. An amount that is missing or negative is no transaction: the message goes to the review queue."""
+        parsed = parse_messages(rows, self.pack)
         bad = (F.col("parsed.outcome") == "parsed") & ~F.coalesce(F.col("parsed.amount") >= 0, F.lit(False))
         p = F.col("parsed").withField("outcome", F.lit("unparsed")).withField("reason", F.lit("required_field_missing"))
         return parsed.withColumn("parsed", F.when(bad, p.withField("amount", F.lit(None).cast("decimal(20,4)"))).otherwise(F.col("parsed")))
 
+    def outcomes(self, batch: DataFrame) -> DataFrame:
+        """A batch through sanitising, normalising and parsing, in this order."""
+        return self.parsed(self.cleaned(batch))
+
     def entities(self, parsed: DataFrame, bank_log: DataFrame, instrument_log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(rows for the log of banks, rows for that of instruments, (seen, instrument_id) of the transactions)."""
         new_banks = cut(entities.add_banks(bank_log, parsed, profiles(parsed.sparkSession, self.pack)))
@@ -162,14 +167,16 @@ class Ingest:
         """What a batch comes to: messages, and what it adds to the logs of banks and instruments.
 
         Messages have one row each: (provider_id, outcome, error, the columns of a message, transaction).
-        ``earlier`` has what was ingested before. Messages of other senders are neither compared nor kept.
+        ``earlier`` has what was ingested before. Messages of other senders are neither compared nor kept, and
+        only messages that are new are parsed: a duplicate has no classification.
         """
         spark = batch.sparkSession
         bank_log = spark.createDataFrame([], entities.BANK_LOG) if bank_log is None else bank_log
         instrument_log = spark.createDataFrame([], entities.INSTRUMENT_LOG) if instrument_log is None else instrument_log
-        rows = cut(self.outcomes(batch).withColumn("sms_provider_id", F.col("provider_id")).withColumn("error", F.when(F.col("provider_id").isNull(), "no_provider_id").otherwise(F.col("error"))).withColumn("__row", F.monotonically_increasing_id()))
-        relevant = rows.where("error IS NULL AND parsed.outcome <> 'not_financial'")
-        fresh = cut(exact_new(relevant, earlier.select("content_hmac", "sms_provider_id")))
+        rows = cut(self.cleaned(batch).withColumn("sms_provider_id", F.col("provider_id")).withColumn("error", F.when(F.col("provider_id").isNull(), "no_provider_id").otherwise(F.col("error"))).withColumn("__row", F.monotonically_increasing_id()))
+        relevant = rows.where("error IS NULL AND bank_id IS NOT NULL")
+        kept = exact_new(relevant.select("__row", "provider_id", "content_hmac", "sms_provider_id"), earlier.select("content_hmac", "sms_provider_id"))
+        fresh = cut(self.parsed(relevant.join(kept.select("__row"), "__row", "left_semi")))
         parsed = fresh.where("parsed.outcome = 'parsed'")
         new_banks, new_instruments, ids = self.entities(parsed, bank_log, instrument_log)
         made = _exchange(parsed.select("__row", _transaction().alias("t")).select("__row", "t.*"), self.base)
@@ -181,8 +188,8 @@ class Ingest:
             transactions = categorise(transactions, self.candidates(spark))
         held = transactions.select(F.col("id").alias("provider_id"), F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TRANSACTION)).alias("transaction"))
         made = new.select("__row", F.col("id").alias("provider_id")).join(held, "provider_id").select("__row", "transaction")
-        joined = rows.join(fresh.select("__row", F.lit(True).alias("__new")), "__row", "left").join(made, "__row", "left")
-        kind = F.col("parsed.outcome")
+        joined = rows.join(fresh.select("__row", "parsed", F.lit(True).alias("__new")), "__row", "left").join(made, "__row", "left")
+        kind = F.when(F.col("bank_id").isNull(), "not_financial").otherwise(F.col("parsed.outcome"))
         outcome = (
             F.when(F.col("error").isNotNull(), "failed")
             .when(kind == "not_financial", "not_financial")

@@ -188,3 +188,12 @@ def test_import_rescan_and_live_query(spark, tmp_path, job):
     seen = []
     backfill.watch(spark, job, lambda t: t.agg(F.count("transaction").alias("n")), lambda df, _: seen.append(df.first()["n"]), f"{tmp_path}/c").awaitTermination()
     assert seen == [3]
+
+
+def test_only_new_messages_are_parsed(spark, tmp_path):
+    rows = [(1, "BANK", "Hello 12", None), (2, "BANK", "Hello  12", None), (3, "OTHER", "Hello 12", None)]
+    pack = rule_pack.RulePack("p", "1", (rule_pack.Bank("b", {}, (), ("^BANK$",), ()),))
+    job = ingest.Ingest(str(tmp_path / "out"), pack, b"k")
+    messages, _, _ = job.process(spark.createDataFrame(rows, RAW_MESSAGE), job.ingested(spark))
+    got = {r["provider_id"]: (r["outcome"], r["classification"]) for r in messages.collect()}
+    assert got == {1: ("review", "financial_unparsed"), 2: ("duplicate", None), 3: ("not_financial", "not_financial")}
