@@ -253,3 +253,24 @@ def test_keys_of_a_length_that_no_name_has_meet_none(spark):
     lengths = [(32, 13), (32, 14), (32, 15)]
     assert all(abs(m - r) > max(m, r) // 10 for m, r in lengths)
     assert matching.close_pairs(keys, names).count() == 0
+
+
+def test_rows_shuffled_for_keys_without_a_near_name_follow_the_input(spark):
+    context = spark.sparkContext
+
+    def shuffled():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    def rows(n):
+        merchants = spark.range(n).select("id", F.concat(F.lit("LARGE RING "), F.col("id")).alias("merchant_key"))
+        rules = merchants.select("id", F.col("id").alias("merchant_id"), F.lit("groceries").alias("category_id"), F.lit("seed").alias("source"), F.lit(True).alias("is_enabled"))
+        c = matching.merchant_candidates(merchants, spark.createDataFrame([], "merchant_id bigint, alias_key string"), rules, categories(spark))
+        before = shuffled()
+        assert matching.match_merchants(spark.range(n).select("id", F.md5(F.col("id").cast("string").cast("binary")).alias("key")), c).count() == 0
+        return sum(v for k, v in shuffled().items() if k not in before)
+
+    # a key, a name and a rule go through a dozen joins; pieces of the keys were 177 rows a key
+    few, many = rows(500), rows(2000)
+    assert many < 30 * 2000 and many < 4.4 * few
